@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelens.contracts import ALERTS, Thresholds
-from curvelens.functions.scalars import from_minute_index, hour_index, is_buy, is_sell, position, ratio
+from curvelens.functions.scalars import from_minute_index, hour_index, is_buy, is_sell, position, ratio, rounded
 
 
 def _alert(kind: str, severity: str, metric: Column, threshold: Column | float) -> Column:
@@ -26,7 +26,7 @@ def trade_alerts(tracked_states: DataFrame, thresholds: Thresholds = Thresholds(
     """
     t = thresholds
     base, supply = F.col("base_asset_amount"), F.col("initial_token_supply")
-    remaining = F.col("graduation_threshold_base") - F.col("base_before")
+    remaining = rounded(F.col("graduation_threshold_base") - F.col("base_before"), 9)  # free of summing noise
     inflow_limit = remaining * t.whale_inflow_share
     whale = is_buy() & (remaining > 0) & (base > inflow_limit)
     sold, sold_before = F.col("creator_sold_after"), F.col("creator_sold_before")
@@ -72,16 +72,19 @@ def alerts(tracked_states: DataFrame, penetration: DataFrame, thresholds: Thresh
     return trade_alerts(tracked_states, thresholds).unionByName(sniper_hijack(penetration, thresholds))
 
 
-def fee_spike(swaps: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Hours whose fees exceed three times the mean of the 168 hours before them.
+def hourly_fees(swaps: DataFrame) -> DataFrame:
+    return swaps.groupBy(hour_index("block_timestamp").alias("hour")).agg(
+        F.sum("protocol_fee_amount").alias("hourly_fees")
+    )
+
 
-    Hours without trades count as zero; the first 168 hours raise nothing. Fees are summed per hour
-    before the window, which then holds one row per hour of the tape (under 9,000 a year).
+def fee_spike(hours: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Hours (from :func:`hourly_fees`) whose fees exceed three times the mean of the 168 before them.
+
+    Hours without trades count as zero; the first 168 hours raise nothing. The window holds one row
+    per hour of the tape (under 9,000 a year), whatever the number of trades.
     """
     n = thresholds.fee_spike_hours
-    hours = swaps.groupBy(hour_index("block_timestamp").alias("hour")).agg(
-        F.sum("protocol_fee_amount").alias("hourly_fees")
-    )
     tape = Window.orderBy("hour")
     mean = F.coalesce(F.sum("hourly_fees").over(tape.rangeBetween(-n, -1)), F.lit(0.0)) / n
     history = F.col("hour") - F.min("hour").over(tape.rowsBetween(Window.unboundedPreceding, 0))

@@ -28,13 +28,15 @@ def trade_states(
     thresholds: Thresholds = Thresholds(),
     track_creator: bool = False,
     status: str = "instant",
+    opening: DataFrame | None = None,
 ) -> DataFrame:
     """Staged swaps with the reserves, prices, fill and status of their curve after each of them.
 
     The launch parameters are joined by curve after the running sums, so swaps on unknown curves
     drop out and a curve created twice yields its trades twice. ``track_creator`` adds the
     creator's running balance and sales. ``status='sticky'`` keeps a curve graduated after its first
-    graduation; the default follows each trade.
+    graduation; the default follows each trade. ``opening`` holds one row of running totals per
+    curve (``base``, ``tokens``, ...) from which the trades continue, as in the streaming job.
     """
     trades = swaps
     deltas: dict[str, Column] = {"base": signed("base_asset_amount"), "tokens": signed("token_amount")}
@@ -47,7 +49,7 @@ def trade_states(
         deltas["creator_balance"] = signed(amount)
         deltas["creator_sold"] = F.when(is_sell(), amount).otherwise(F.lit(0.0))
 
-    walked = running_totals(trades, deltas, spec, attach=_launches(meta))
+    walked = _carried(trades, deltas, spec, _launches(meta), opening)
     x, y = F.col("virtual_base_reserves"), F.col("virtual_token_reserves")
     spot_before = spot_price(x + F.col("base_before"), y - F.col("tokens_before"))
     states = walked.withColumns(
@@ -80,6 +82,22 @@ def trade_states(
     return states.withColumn("curve_status", status_label("graduated"))
 
 
+def _carried(
+    trades: DataFrame, deltas: dict[str, Column], spec: SliceSpec, launches: DataFrame, opening: DataFrame | None
+) -> DataFrame:
+    if opening is None:
+        return running_totals(trades, deltas, spec, attach=launches)
+    carried = opening.select("curve_address", F.lit(True).alias("_opened"), *[F.col(n).alias(f"_open_{n}") for n in deltas])
+    walked = running_totals(trades, deltas, spec, attach=launches.join(carried, "curve_address", "left"))
+    totals = {
+        f"{name}_{end}": F.col(f"{name}_{end}") + F.coalesce(f"_open_{name}", F.lit(0.0))
+        for name in deltas
+        for end in ("before", "after")
+    }
+    first = F.col("first_of_curve") & F.col("_opened").isNull()
+    return walked.withColumns(totals | {"first_of_curve": first}).drop("_opened", *[f"_open_{n}" for n in deltas])
+
+
 def status_label(graduated: str) -> Column:
     return F.when(F.col(graduated) == 1, "GRADUATED").otherwise("ACTIVE")
 
@@ -207,20 +225,23 @@ def graduation_eta(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = T
         .agg(F.sum(signed("base_asset_amount")).alias("net"))
     )
     tape = Window.partitionBy("curve_address").orderBy("minute")
-    remaining = F.col("graduation_threshold_base") - F.col("collected")
-    rate = F.col("inflow_per_minute")
+    # Running sums of doubles leave noise near zero; nine places remove it from the sign tests.
+    remaining = rounded(F.col("graduation_threshold_base") - F.col("collected"), 9)
+    inflow = rounded("inflow", 9)
+    rate = inflow / width
     return (
         minutes.withColumns(
             {
                 "collected": F.sum("net").over(tape.rowsBetween(Window.unboundedPreceding, 0)),
-                "inflow_per_minute": F.sum("net").over(tape.rangeBetween(-(width - 1), 0)) / width,
+                "inflow": F.sum("net").over(tape.rangeBetween(-(width - 1), 0)),
             }
         )
         .join(meta, "curve_address")
         .select(
             "token_address", "curve_address", from_minute_index("minute").alias("minute_start"),
-            F.col("collected").alias("base_collected"), remaining.alias("base_remaining"), "inflow_per_minute",
-            F.when(remaining <= 0, F.lit(0.0)).when(rate > 0, remaining / rate).alias("est_minutes_to_graduate"),
+            F.col("collected").alias("base_collected"), remaining.alias("base_remaining"),
+            rate.alias("inflow_per_minute"),
+            F.when(remaining <= 0, F.lit(0.0)).when(inflow > 0, remaining / rate).alias("est_minutes_to_graduate"),
         )
     )
 

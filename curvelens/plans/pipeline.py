@@ -188,7 +188,7 @@ class Pipeline:
 
     @cached_property
     def fee_spike(self) -> DataFrame:
-        return alerts.fee_spike(self.swaps, self.thresholds)
+        return alerts.fee_spike(alerts.hourly_fees(self.swaps), self.thresholds)
 
     # ------------------------------------------------------------------ velocity
     @cached_property

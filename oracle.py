@@ -275,18 +275,19 @@ from (from state qualify row_number() over (partition by curve_address
      (values (0.5::double), (2), (10)) sizes(d)""",
     "graduation_eta": """
 select token_address, curve_address, minute as minute_start, round(collected, 4) as base_collected,
-       round(graduation_threshold_base - collected, 4) as base_remaining, round(inflow / 15, 6) as inflow_per_minute,
-       round(case when round(graduation_threshold_base - collected, 6) <= 0 then 0
-                  when round(inflow, 6) > 0 then (graduation_threshold_base - collected) / (inflow / 15) end, 6)
+       round(remaining, 4) as base_remaining, round(inflow / 15, 6) as inflow_per_minute,
+       round(case when remaining <= 0 then 0 when inflow > 0 then remaining / (inflow / 15) end, 6)
          as est_minutes_to_graduate
 from (
+  select * replace (round(inflow, 9) as inflow), round(graduation_threshold_base - collected, 9) as remaining
+  from (
   select curve_address, minute,
          sum(net) over (partition by curve_address order by minute rows unbounded preceding) as collected,
          sum(net) over (partition by curve_address order by minute
                         range between interval 14 minutes preceding and current row) as inflow
   from (select curve_address, date_trunc('minute', block_timestamp) as minute, sum(side * base_asset_amount) as net
         from swaps group by all)
-) join launches using (curve_address)""",
+  ) join launches using (curve_address))""",
     "inflow_15m": """
 select curve_address, date_trunc('minute', block_timestamp) - to_minutes(k) as window_start,
        round(sum(side * base_asset_amount), 4) as net_inflow_base, round(sum(base_asset_amount), 4) as volume_base,
@@ -456,11 +457,10 @@ from (
     "rollup_5m": "from rollup",
     "alerts": """
 select 'WHALE_INFLOW' as alert_type, 'Medium' as severity, token_address, curve_address, block_timestamp as event_ts,
-       tx_hash, round(base_asset_amount, 4) as metric_value,
-       round(0.15 * (graduation_threshold_base - (collected - side * base_asset_amount)), 6) as threshold
-from state
-where side = 1 and graduation_threshold_base - (collected - base_asset_amount) > 1e-9
-  and base_asset_amount > 0.15 * (graduation_threshold_base - (collected - base_asset_amount))
+       tx_hash, round(base_asset_amount, 6) as metric_value, round(remaining * 0.15, 6) as threshold
+from (select *, round(graduation_threshold_base - (collected - base_asset_amount), 9) as remaining
+      from state where side = 1)
+where remaining > 0 and base_asset_amount > remaining * 0.15
 union all
 select 'IMMINENT_GRADUATION', 'Info', token_address, curve_address, block_timestamp, tx_hash, fill, 90
 from (from state where fill >= 90 and coalesce(fill_before, 0) < 90
@@ -469,8 +469,8 @@ union all
 select 'DEV_DUMPING', 'Critical', token_address, curve_address, block_timestamp, tx_hash,
        round(dev_sold / initial_token_supply * 100, 6), 5
 from dev
-where side = -1 and fill < 100 and dev_sold > 0.05 * initial_token_supply
-  and dev_sold - token_amount <= 0.05 * initial_token_supply
+where side = -1 and fill < 100 and dev_sold > initial_token_supply * 5.0 / 100
+  and dev_sold - token_amount <= initial_token_supply * 5.0 / 100
 union all
 select 'SNIPER_HIJACK', 'High', token_address, curve_address, last_early_buy, null, penetration_pct, 35
 from early where penetration_pct > 35""",
