@@ -10,7 +10,11 @@ from curvelens.functions.scalars import (
     fill_pct, first_match, flag, from_minute_index, is_buy, is_sell, minute_index, minutes_between, position, ratio,
     rounded, signed, spot_price,
 )
-from curvelens.operators.running import SliceSpec, running_totals
+from curvelens.operators.running import Attached, SliceSpec, running_totals
+from curvelens.operators.skew import spread_join
+
+# Running totals of a curve that the streaming job carries from batch to batch.
+RUNNING = ["base", "tokens", "creator_balance", "creator_sold"]
 
 
 # --------------------------------------------------------------------------- per trade
@@ -38,18 +42,38 @@ def trade_states(
     graduation; the default follows each trade. ``opening`` holds one row of running totals per
     curve (``base``, ``tokens``, ...) from which the trades continue, as in the streaming job.
     """
-    trades = swaps
-    deltas: dict[str, Column] = {"base": signed("base_asset_amount"), "tokens": signed("token_amount")}
+    launches = _launches(meta)
+    if opening is not None:
+        launches = launches.join(opening.withColumn("opened", F.lit(True)).withColumnsRenamed(
+            {name: f"opening_{name}" for name in RUNNING}
+        ).select("curve_address", "opened", *[f"opening_{name}" for name in RUNNING]), "curve_address", "left")
+    attached = Attached(launches, "launch_copy")
+    if track_creator:
+        own = F.when(F.col("trader_address") == F.col("creator_address"), F.col("token_amount")).otherwise(F.lit(0.0))
+        creators = meta.selectExpr("curve_address", "creator_address", "creator_address as trader_address").distinct()
+        attached = Attached(
+            launches, "launch_copy",
+            deltas={
+                "creator_balance": signed(own),
+                "creator_sold": F.when(is_sell(), own).otherwise(F.lit(0.0)),
+            },
+            contributors=spread_join(swaps, creators, ["curve_address", "trader_address"], by="tx_hash"),
+            link=("creator_address",),
+        )
+    deltas = {"base": signed("base_asset_amount"), "tokens": signed("token_amount")}
+    walked = running_totals(swaps, deltas, spec, attached=attached).withColumnRenamed("first_of_key", "first_of_curve")
+    if opening is not None:
+        names = RUNNING if track_creator else RUNNING[:2]
+        walked = walked.withColumns(
+            {"first_of_curve": F.col("first_of_curve") & F.col("opened").isNull()}
+            | {
+                f"{name}_{end}": F.col(f"{name}_{end}") + F.coalesce(f"opening_{name}", F.lit(0.0))
+                for name in names
+                for end in ("before", "after")
+            }
+        ).drop("opened", *[f"opening_{name}" for name in RUNNING])
     if track_creator:
-        creators = meta.select("curve_address", F.col("creator_address").alias("trader_address")).distinct()
-        trades = swaps.join(
-            creators.withColumn("by_creator", F.lit(True)), ["curve_address", "trader_address"], "left"
-        ).select(*swaps.columns, F.coalesce("by_creator", F.lit(False)).alias("by_creator"))
-        amount = F.when(F.col("by_creator"), F.col("token_amount")).otherwise(F.lit(0.0))
-        deltas["creator_balance"] = signed(amount)
-        deltas["creator_sold"] = F.when(is_sell(), amount).otherwise(F.lit(0.0))
-
-    walked = _carried(trades, deltas, spec, _launches(meta), opening)
+        walked = walked.withColumn("by_creator", F.col("trader_address").eqNullSafe(F.col("creator_address")))
     x, y = F.col("virtual_base_reserves"), F.col("virtual_token_reserves")
     spot_before = spot_price(x + F.col("base_before"), y - F.col("tokens_before"))
     states = walked.withColumns(
@@ -82,22 +106,6 @@ def trade_states(
     return states.withColumn("curve_status", status_label("graduated"))
 
 
-def _carried(
-    trades: DataFrame, deltas: dict[str, Column], spec: SliceSpec, launches: DataFrame, opening: DataFrame | None
-) -> DataFrame:
-    if opening is None:
-        return running_totals(trades, deltas, spec, attach=launches)
-    carried = opening.select("curve_address", F.lit(True).alias("_opened"), *[F.col(n).alias(f"_open_{n}") for n in deltas])
-    walked = running_totals(trades, deltas, spec, attach=launches.join(carried, "curve_address", "left"))
-    totals = {
-        f"{name}_{end}": F.col(f"{name}_{end}") + F.coalesce(f"_open_{name}", F.lit(0.0))
-        for name in deltas
-        for end in ("before", "after")
-    }
-    first = F.col("first_of_curve") & F.col("_opened").isNull()
-    return walked.withColumns(totals | {"first_of_curve": first}).drop("_opened", *[f"_open_{n}" for n in deltas])
-
-
 def status_label(graduated: str) -> Column:
     return F.when(F.col(graduated) == 1, "GRADUATED").otherwise("ACTIVE")
 

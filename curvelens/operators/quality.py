@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curvelens.contracts import GRAINS, Thresholds
 from curvelens.functions.scalars import count_if
+from curvelens.operators.skew import spread_join
 from curvelens.operators.wallets import is_sniper
 
 
@@ -51,8 +52,10 @@ def check_velocity(token_velocity: DataFrame) -> DataFrame:
 
 def check_wallet_grain(swaps: DataFrame, meta: DataFrame, dim_wallets: DataFrame) -> DataFrame:
     """Every trader of a known curve has one row in the wallet dimension."""
+    pairs = swaps.select("curve_address", "trader_address").distinct()
+    known = meta.select("curve_address").distinct()
     traders = (
-        swaps.join(meta.select("curve_address").distinct(), "curve_address", "left_semi")
+        spread_join(pairs, known, ["curve_address"], by="trader_address")
         .select("trader_address").distinct()
         .select("trader_address", F.lit(1).alias("expected"))
     )

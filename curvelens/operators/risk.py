@@ -43,7 +43,7 @@ def dev_activity(tracked_states: DataFrame) -> DataFrame:
 
     Needs states built with ``track_creator=True``.
     """
-    return tracked_states.where(F.col("by_creator") & (F.col("trader_address") == F.col("creator_address"))).select(
+    return tracked_states.where("by_creator").select(
         "tx_hash", "block_number", "block_timestamp", "tx_index", "token_address", "curve_address",
         "creator_address", "trade_type", "token_amount", "curve_fill_pct",
         F.col("creator_balance_after").alias("creator_balance"),

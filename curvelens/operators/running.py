@@ -7,14 +7,16 @@ bounded slices and summed on two levels:
 * a slice with more than ``max_rows`` trades is cut further, at block borders and at every
   ``tx_run`` transaction positions inside a block.
 
-Per-slice sums (map-side combined) give each slice its opening balance; the trades themselves are
-shuffled once, by slice, and the window runs inside the slice. The only broadcast is the list of
-over-full slices: at most (all trades / ``max_rows``) short rows.
+Per-slice sums (map-side combined) give each slice its opening balance. Launch parameters join those
+sums, not the trades. The trades are shuffled once, by slice; they meet their slice's row in a
+shuffled hash join (the slice side holds one short row per slice) and the window runs inside the
+slice. The only broadcast is the list of over-full slices: at most (all trades / ``max_rows``) rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,90 +40,110 @@ def tape_order() -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in TAPE_ORDER]
 
 
+@dataclass(frozen=True)
+class Attached:
+    """Rows joined to every slice of their key, and totals that depend on them.
+
+    ``copy`` tells several rows of one key apart. ``deltas`` may use columns of ``rows``;
+    ``contributors`` are the trades for which they are not zero, already joined to ``rows`` by an
+    equality that includes ``link``.
+    """
+
+    rows: DataFrame
+    copy: str
+    deltas: dict[str, Column] = field(default_factory=dict)
+    contributors: DataFrame | None = None
+    link: tuple[str, ...] = ()
+
+
 def _opening(name: str, window) -> Column:
     return F.coalesce(F.sum(name).over(window), F.lit(0.0))
 
 
+def _placed(trades: DataFrame, spec: SliceSpec) -> DataFrame:
+    block = f"coalesce(block_number, {_NO_BLOCK}L)"
+    index = f"coalesce(cast(tx_index as bigint), {_NO_INDEX}L)"
+    return trades.selectExpr(
+        "*", f"floor({block} / {spec.blocks}) as _bin", f"{block} as _block", f"floor({index} / {spec.tx_run}) as _run"
+    )
+
+
+def _sums(deltas: dict[str, Column]) -> list[Column]:
+    return [F.sum(delta).alias(f"_sum_{name}") for name, delta in deltas.items()]
+
+
 def running_totals(
     trades: DataFrame,
     deltas: dict[str, Column],
     spec: SliceSpec = SliceSpec(),
     key: str = "curve_address",
-    attach: DataFrame | None = None,
+    attached: Attached | None = None,
 ) -> DataFrame:
-    """Adds ``<name>_before`` and ``<name>_after`` for every delta, ``first_of_curve`` and ``first_of_tx``.
+    """Adds ``<name>_before`` and ``<name>_after`` for every delta, ``first_of_key`` and ``first_of_tx``.
 
-    ``attach`` (one or few rows per key) is inner-joined to the slices rather than to the trades, so
-    the trades are not shuffled a second time for it. ``first_of_tx`` marks the first row of a
-    transaction hash: a transaction has one block and one index, so its rows are neighbours.
+    With ``attached``, only trades of its keys remain, once per copy. ``first_of_tx`` marks the first
+    row of a transaction hash: a transaction has one block and one index, so its rows are neighbours.
     """
-    sums = [f"_sum_{name}" for name in deltas]
-    moves = trades.where(F.col(key).isNotNull()).withColumns(
-        {f"_d_{name}": delta for name, delta in deltas.items()}
-        | {
-            "_bin": F.floor(F.coalesce("block_number", F.lit(_NO_BLOCK)) / spec.blocks),
-            "_block": F.coalesce("block_number", F.lit(_NO_BLOCK)),
-            "_run": F.floor(F.coalesce(F.col("tx_index").cast("long"), F.lit(_NO_INDEX)) / spec.tx_run),
-        }
-    )
-    totals = [F.sum(f"_d_{name}").alias(f"_sum_{name}") for name in deltas]
+    moves = _placed(trades.where(F.col(key).isNotNull()), spec)
+    late = attached.deltas if attached else {}
+    names = [*deltas, *late]
+    sums = [f"_sum_{name}" for name in names]
+    copies = [attached.copy] if attached else []
+    slice_key = [key, "_bin", "_block", "_run"]
+
+    def with_late_sums(totals: DataFrame, grain: list[str]) -> DataFrame:
+        if not late:
+            return totals
+        own = _placed(attached.contributors, spec).groupBy(*grain, *attached.link).agg(*_sums(late))
+        zeros = {f"_sum_{name}": F.coalesce(f"_sum_{name}", F.lit(0.0)) for name in late}
+        return totals.join(own, [*grain, *attached.link], "left").withColumns(zeros)
 
-    bins = moves.groupBy(key, "_bin").agg(F.count("*").alias("_rows"), *totals)
-    full = F.broadcast(bins.where(F.col("_rows") > spec.max_rows).select(key, "_bin", F.lit(True).alias("_full")))
+    bins = moves.groupBy(key, "_bin").agg(F.count("*").alias("_rows"), *_sums(deltas))
+    over_full = F.col("_rows") > spec.max_rows
+    # The NULL tests never fail. They keep the sums in this plan, so that it is the same aggregate as
+    # the one for the balances and Spark computes it once.
+    summed = [F.col(f"_sum_{name}").isNotNull() for name in deltas]
+    full = F.broadcast(bins.where(reduce(Column.__and__, summed, over_full)).select(key, "_bin", F.lit(True).alias("_full")))
 
     # opening balance of every slice
-    along_curve = Window.partitionBy(key).orderBy("_bin")
-    before = along_curve.rowsBetween(Window.unboundedPreceding, -1)
-    opened = bins.select(
-        key, "_bin", "_rows",
-        (F.row_number().over(along_curve) == 1).alias("_opens_curve"),
-        *[_opening(s, before).alias(s) for s in sums],
+    along_key = Window.partitionBy(key, *copies).orderBy("_bin")
+    before = along_key.rowsBetween(Window.unboundedPreceding, -1)
+    per_copy = bins.join(attached.rows, key) if attached else bins
+    opened = with_late_sums(per_copy, [key, "_bin"]).withColumns(
+        {"_opens_key": F.row_number().over(along_key) == 1} | {s: _opening(s, before) for s in sums}
     )
-    whole = opened.where(F.col("_rows") <= spec.max_rows).select(
-        key, "_bin", F.lit(0).cast("long").alias("_block"), F.lit(0).cast("long").alias("_run"), "_opens_curve", *sums
-    )
-    cuts = moves.join(full, [key, "_bin"]).groupBy(key, "_bin", "_block", "_run").agg(*totals)
-    along_bin = Window.partitionBy(key, "_bin").orderBy("_block", "_run")
+    whole = opened.where(~over_full).selectExpr("*", "0L as _block", "0L as _run")
+    cuts = moves.join(full, [key, "_bin"]).groupBy(*slice_key).agg(*_sums(deltas))
+    along_bin = Window.partitionBy(key, "_bin", *copies).orderBy("_block", "_run")
     before_cut = along_bin.rowsBetween(Window.unboundedPreceding, -1)
-    cut = cuts.select(
-        key, "_bin", "_block", "_run",
-        (F.row_number().over(along_bin) == 1).alias("_opens_bin"),
-        *[_opening(s, before_cut).alias(f"{s}_in_bin") for s in sums],
-    ).join(opened, [key, "_bin"])
-    cut = cut.select(
-        key, "_bin", "_block", "_run",
-        (F.col("_opens_curve") & F.col("_opens_bin")).alias("_opens_curve"),
-        *[(F.col(s) + F.col(f"{s}_in_bin")).alias(s) for s in sums],
+    opened_bins = opened.where(over_full).withColumnsRenamed({s: f"_bin{s}" for s in sums})
+    cut = with_late_sums(cuts.join(opened_bins, [key, "_bin"]), slice_key).withColumns(
+        {"_opens_key": F.col("_opens_key") & (F.row_number().over(along_bin) == 1)}
+        | {s: F.col(f"_bin{s}") + _opening(s, before_cut) for s in sums}
     )
-    slices = whole.unionByName(cut)
-    if attach is not None:
-        slices = slices.join(attach, key)
+    extra = [c for c in attached.rows.columns if c != key] if attached else []
+    columns = [*slice_key, *extra, "_opens_key", *sums]
+    slices = whole.select(*columns).unionByName(cut.select(*columns))
 
     # the trades, shuffled once by slice
-    in_full = F.col("_full").isNotNull()
     sliced = moves.join(full, [key, "_bin"], "left").withColumns(
-        {
-            "_block": F.when(in_full, F.col("_block")).otherwise(F.lit(0)),
-            "_run": F.when(in_full, F.col("_run")).otherwise(F.lit(0)),
-        }
+        {c: F.when(F.col("_full"), F.col(c)).otherwise(F.lit(0)) for c in ("_block", "_run")}
     )
-    slice_key = [key, "_bin", "_block", "_run"]
-    inside = Window.partitionBy(*slice_key).orderBy(*tape_order())
+    inside = Window.partitionBy(*slice_key, *copies).orderBy(*tape_order())
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    walked = sliced.select(
-        *trades.columns, *[c for c in slice_key if c not in trades.columns],
-        (F.row_number().over(inside) == 1).alias("_opens_slice"),
+    moved = {f"_d_{name}": delta for name, delta in (deltas | late).items()}
+    walked = sliced.join(slices.hint("shuffle_hash"), slice_key).withColumns(moved).select(
+        *trades.columns, *extra, "_opens_key", *sums,
+        F.row_number().over(inside).alias("_nth"),
         F.lag("tx_hash").over(inside).alias("_last_tx"),
-        *[F.sum(f"_d_{name}").over(upto).alias(f"_upto_{name}") for name in deltas],
-        *[_opening(f"_d_{name}", earlier).alias(f"_earlier_{name}") for name in deltas],
+        *[F.sum(f"_d_{name}").over(upto).alias(f"_upto_{name}") for name in names],
+        *[_opening(f"_d_{name}", earlier).alias(f"_earlier_{name}") for name in names],
     )
-    out = walked.join(slices, slice_key)
-    attached = [c for c in attach.columns if c != key] if attach is not None else []
-    return out.select(
-        *trades.columns, *attached,
-        (F.col("_opens_slice") & F.col("_opens_curve")).alias("first_of_curve"),
-        (F.col("_opens_slice") | ~F.col("tx_hash").eqNullSafe(F.col("_last_tx"))).alias("first_of_tx"),
-        *[(F.col(f"_sum_{n}") + F.col(f"_earlier_{n}")).alias(f"{n}_before") for n in deltas],
-        *[(F.col(f"_sum_{n}") + F.col(f"_upto_{n}")).alias(f"{n}_after") for n in deltas],
+    return walked.selectExpr(
+        *trades.columns, *extra,
+        "_nth = 1 and _opens_key as first_of_key",
+        "_nth = 1 or not (tx_hash <=> _last_tx) as first_of_tx",
+        *[f"_sum_{n} + _earlier_{n} as {n}_before" for n in names],
+        *[f"_sum_{n} + _upto_{n} as {n}_after" for n in names],
     )

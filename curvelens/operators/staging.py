@@ -3,61 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from curvelens.functions.scalars import ratio
 
+def _select(raw: DataFrame, changed: dict[str, str]) -> list[str]:
+    return [f"{changed[c]} as {c}" if c in changed else c for c in raw.columns]
 
-def _lowered(*names: str):
-    return {name: F.lower(name) for name in names}
 
+def _lowered(*names: str) -> dict[str, str]:
+    return {name: f"lower({name})" for name in names}
 
-def _as(dtype: str, *names: str):
-    return {name: F.col(name).cast(dtype) for name in names}
+
+def _as(dtype: str, *names: str) -> dict[str, str]:
+    return {name: f"cast({name} as {dtype})" for name in names}
 
 
 def stage_swaps(raw: DataFrame) -> DataFrame:
     """Swaps with a positive token amount and a non-negative base amount, plus their execution price."""
+    amounts = ["base_asset_amount", "token_amount", "protocol_fee_amount", "gas_price_gwei"]
+    changed = (
+        _as("double", *amounts) | _as("int", "tx_index")
+        | _lowered("token_address", "curve_address", "trader_address") | {"trade_type": "upper(trade_type)"}
+    )
     return (
-        raw.withColumns(
-            _as("double", "base_asset_amount", "token_amount", "protocol_fee_amount", "gas_price_gwei")
-            | _as("int", "tx_index")
-        )
-        .where((F.col("token_amount") > 0) & (F.col("base_asset_amount") >= 0))
-        .withColumns(
-            _lowered("token_address", "curve_address", "trader_address")
-            | {
-                "trade_type": F.upper("trade_type"),
-                "execution_price": ratio("base_asset_amount", "token_amount"),
-            }
-        )
-        .select(*raw.columns, "execution_price")
+        raw.selectExpr(*_select(raw, changed))
+        .where("token_amount > 0 and base_asset_amount >= 0")
+        .selectExpr("*", "base_asset_amount / token_amount as execution_price")
     )
 
 
 def stage_curve_events(raw: DataFrame) -> DataFrame:
-    return raw.withColumns(
-        _lowered("token_address", "curve_address", "creator_address")
-        | _as(
-            "double", "initial_token_supply", "virtual_base_reserves", "virtual_token_reserves",
-            "graduation_threshold_base",
-        )
-    ).select(*raw.columns)
+    changed = _lowered("token_address", "curve_address", "creator_address") | _as(
+        "double", "initial_token_supply", "virtual_base_reserves", "virtual_token_reserves",
+        "graduation_threshold_base",
+    )
+    return raw.selectExpr(*_select(raw, changed))
 
 
 def stage_transfers(raw: DataFrame) -> DataFrame:
     """Transfers of a positive amount between two different addresses (case ignored)."""
-    return (
-        raw.withColumns(_as("double", "amount") | _lowered("token_address", "from_address", "to_address"))
-        .where((F.col("amount") > 0) & (F.col("from_address") != F.col("to_address")))
-        .select(*raw.columns)
-    )
+    changed = _as("double", "amount") | _lowered("token_address", "from_address", "to_address")
+    return raw.selectExpr(*_select(raw, changed)).where("amount > 0 and from_address != to_address")
 
 
 def curve_meta(curve_events: DataFrame) -> DataFrame:
     """Launch parameters: one row per CurveCreated event."""
-    return curve_events.where(F.col("event_type") == "CurveCreated").select(
+    return curve_events.where("event_type = 'CurveCreated'").selectExpr(
         "token_address", "curve_address", "creator_address", "initial_token_supply", "virtual_base_reserves",
-        "virtual_token_reserves", "graduation_threshold_base",
-        F.col("block_timestamp").alias("creation_timestamp"), F.col("block_number").alias("creation_block"),
+        "virtual_token_reserves", "graduation_threshold_base", "block_timestamp as creation_timestamp",
+        "block_number as creation_block",
     )

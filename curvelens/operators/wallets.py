@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelens.contracts import DIM_WALLETS, SUPPLY_CONCENTRATION, WALLET_CLUSTERS, Thresholds
-from curvelens.functions.scalars import count_if, first_match, flag, is_buy, is_sell, ratio, rounded, signed, sum_if
+from curvelens.functions.scalars import (
+    count_if, first_match, flag, is_buy, is_sell, ratio, rounded, signed, sum_if,
+)
+from curvelens.operators.skew import spread_join
 
 WALLET_KEY = ["token_address", "curve_address", "trader_address"]
 
@@ -53,7 +56,9 @@ def wallet_base(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = Thre
     """
     counted = ["buy_count", "sell_count", "total_base_invested", "total_base_realized", "current_token_balance",
                "volume_base"]
-    wallets = swaps.groupBy(*WALLET_KEY).agg(*wallet_measures()).join(_creators(meta), "curve_address")
+    wallets = spread_join(
+        swaps.groupBy(*WALLET_KEY).agg(*wallet_measures()), _creators(meta), ["curve_address"], by="trader_address"
+    )
     by_creator = F.col("trader_address").eqNullSafe(F.col("creator_address")) & F.col("creator_address").isNotNull()
     buys, sells, balance = F.col("buy_count"), F.col("sell_count"), F.col("current_token_balance")
     return (
@@ -172,7 +177,7 @@ def wallet_forensics(log: DataFrame, curves: DataFrame, thresholds: Thresholds =
         "curve_address", "creator_address", F.col("initial_token_supply").alias("total_supply"), "creation_block"
     ).agg(F.count("*").alias("copies"))
     counted = ["buy_tx_count", "sell_tx_count", "total_base_invested", "total_base_realized", "current_token_balance"]
-    wallets = (
+    traded = (
         log.groupBy("curve_address", "token_address", "trader_address")
         .agg(
             F.min("block_number").alias("first_block_traded"),
@@ -183,8 +188,9 @@ def wallet_forensics(log: DataFrame, curves: DataFrame, thresholds: Thresholds =
             F.sum(signed("token_amount", bought)).alias("current_token_balance"),
             F.max("gas_price_gwei").alias("peak_gas_gwei"),
         )
-        .join(launch, "curve_address")
-        .withColumns({name: F.col(name) * F.col("copies") for name in counted})
+    )
+    wallets = spread_join(traded, launch, ["curve_address"], by="trader_address").withColumns(
+        {name: F.col(name) * F.col("copies") for name in counted}
     )
     held = ratio("current_token_balance", "total_supply")
     delta, buys, sells = F.col("sniper_block_delta"), F.col("buy_tx_count"), F.col("sell_tx_count")
@@ -249,7 +255,7 @@ def supply_concentration(
     if denominator == "circulating":
         held = holders.groupBy(*key).agg(F.sum("current_token_balance").alias("circulating"))
         holders = (
-            holders.join(held, key)
+            spread_join(holders, held, key, by="trader_address")
             .withColumn("pct_supply_held", rounded(ratio("current_token_balance", "circulating") * 100.0, 4))
             .drop("circulating")
         )

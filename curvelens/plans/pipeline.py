@@ -15,7 +15,8 @@ from curvelens.contracts import GRAINS, Thresholds
 from curvelens.operators import alerts, curve, kpis, marts, quality, risk, staging, velocity, wallets
 from curvelens.operators.running import SliceSpec
 from curvelens.session import shared_dir
-from curvelens.sources import chain, event_tape
+from curvelens.sources import chain
+from curvelens.sources.event_tape import EventTape
 from curvelens.sources.tables import write_mart
 
 
@@ -29,16 +30,10 @@ class RawTables:
     chain_swaps: DataFrame | None = None
     chain_curves: DataFrame | None = None
 
-    @classmethod
-    def from_events(cls, spark: SparkSession, folder: str) -> RawTables:
-        events = event_tape.read_events(spark, folder)
-        return cls(
-            swaps=event_tape.swaps(events),
-            curve_events=event_tape.curve_events(events),
-            transfers=event_tape.transfers(events),
-            chain_swaps=event_tape.chain_swaps(events),
-            chain_curves=event_tape.chain_curves(events),
-        )
+    @staticmethod
+    def from_events(spark: SparkSession, folder: str) -> EventTape:
+        """Launch data derived from a generic event table, with the same attributes."""
+        return EventTape(spark, folder)
 
     @classmethod
     def from_chain(cls, chain_swaps: DataFrame, chain_curves: DataFrame) -> RawTables:
@@ -60,7 +55,7 @@ class Pipeline:
 
     def __init__(
         self,
-        raw: RawTables,
+        raw: RawTables | EventTape,
         thresholds: Thresholds = Thresholds(),
         slices: SliceSpec = SliceSpec(),
         close: str = "max",

@@ -2,43 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 WEI = 1e18
 GWEI = 1e9
 
 
-def _units(name: str, scale: float = WEI) -> Column:
+def _units(name: str, alias: str | None = None, scale: float = WEI) -> str:
     """Integer amount as double. Strings are accepted too: 256-bit amounts do not fit DECIMAL(38,0)."""
-    return F.col(name).cast("double") / scale
+    return f"cast({name} as double) / {scale}D as {alias or name}"
 
 
 def decode_swaps(chain_swaps: DataFrame) -> DataFrame:
-    return chain_swaps.select(
-        F.col("evt_tx_hash").alias("tx_hash"),
-        F.col("evt_block_number").alias("block_number"),
-        F.col("evt_block_time").alias("block_time"),
-        F.col("contract_address").alias("curve_address"),
+    return chain_swaps.selectExpr(
+        "evt_tx_hash as tx_hash",
+        "evt_block_number as block_number",
+        "evt_block_time as block_time",
+        "contract_address as curve_address",
         "token_address",
-        F.col("trader").alias("trader_address"),
+        "trader as trader_address",
         "is_buy",
-        _units("base_asset_amount").alias("base_asset_amount"),
-        _units("token_amount").alias("token_amount"),
-        _units("fee_amount").alias("protocol_fee"),
-        _units("gas_price", GWEI).alias("gas_price_gwei"),
+        _units("base_asset_amount"),
+        _units("token_amount"),
+        _units("fee_amount", "protocol_fee"),
+        _units("gas_price", "gas_price_gwei", GWEI),
     )
 
 
 def decode_curves(chain_curves: DataFrame) -> DataFrame:
     amounts = ["initial_token_supply", "virtual_base_reserves", "virtual_token_reserves", "graduation_threshold_base"]
-    return chain_curves.select(
-        F.col("contract_address").alias("curve_address"),
+    return chain_curves.selectExpr(
+        "contract_address as curve_address",
         "token_address",
-        F.col("creator").alias("creator_address"),
-        F.col("evt_block_number").alias("creation_block"),
-        F.col("evt_block_time").alias("creation_time"),
-        *[_units(a).alias(a) for a in amounts],
+        "creator as creator_address",
+        "evt_block_number as creation_block",
+        "evt_block_time as creation_time",
+        *[_units(a) for a in amounts],
     )
 
 
@@ -47,18 +46,17 @@ def to_raw_swaps(decoded: DataFrame) -> DataFrame:
 
     The log carries no transaction index, so trades of one block are ordered by transaction hash.
     """
-    return decoded.select(
-        "tx_hash", "block_number", F.col("block_time").alias("block_timestamp"), "token_address", "curve_address",
-        "trader_address", F.when(F.col("is_buy"), "BUY").otherwise("SELL").alias("trade_type"), "base_asset_amount",
-        "token_amount", F.col("protocol_fee").alias("protocol_fee_amount"), "gas_price_gwei",
-        F.lit(None).cast("int").alias("tx_index"),
+    return decoded.selectExpr(
+        "tx_hash", "block_number", "block_time as block_timestamp", "token_address", "curve_address",
+        "trader_address", "if(is_buy, 'BUY', 'SELL') as trade_type", "base_asset_amount", "token_amount",
+        "protocol_fee as protocol_fee_amount", "gas_price_gwei", "cast(null as int) as tx_index",
     )
 
 
 def to_raw_curve_events(decoded: DataFrame) -> DataFrame:
-    return decoded.select(
-        F.concat(F.lit("created_"), "curve_address").alias("event_id"), F.lit(None).cast("string").alias("tx_hash"),
-        F.col("creation_block").alias("block_number"), F.col("creation_time").alias("block_timestamp"),
-        "token_address", "curve_address", F.lit("CurveCreated").alias("event_type"), "creator_address",
-        "initial_token_supply", "virtual_base_reserves", "virtual_token_reserves", "graduation_threshold_base",
+    return decoded.selectExpr(
+        "concat('created_', curve_address) as event_id", "cast(null as string) as tx_hash",
+        "creation_block as block_number", "creation_time as block_timestamp", "token_address", "curve_address",
+        "'CurveCreated' as event_type", "creator_address", "initial_token_supply", "virtual_base_reserves",
+        "virtual_token_reserves", "graduation_threshold_base",
     )

@@ -7,158 +7,140 @@ scaled so that all cohorts, tiers and alerts occur.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import cached_property
 
-from curvelens.functions.scalars import hour_index
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CURVES = 20
 WALLETS = 150
 
+_CURVE = f"cast(get_json_object(props, '$.k') as bigint) % {CURVES}"
+_HOUR = "unix_date(date(ts)) * 24L + hour(ts)"  # one-hour blocks, independent of the session time zone
+_SUPPLY_COLUMNS = [
+    "initial_token_supply", "virtual_base_reserves", "virtual_token_reserves", "graduation_threshold_base",
+]
+
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/events.parquet")
 
 
-def _named(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
-
-
-def _curve_number() -> Column:
-    return F.get_json_object("props", "$.k").cast("long") % CURVES
-
-
-def _tx_index() -> Column:
-    """Event number as tape index, kept inside the 32-bit index of the swap contract."""
-    return F.pmod(F.col("event_id"), F.lit(2**31)).cast("int")
+def _of_type(events: DataFrame, *types: str) -> DataFrame:
+    listed = ", ".join(f"'{t}'" for t in types)
+    return events.where(f"event_type in ({listed})").selectExpr("*", f"{_CURVE} as c", f"{_HOUR} as block_number")
 
 
 def swaps(events: DataFrame) -> DataFrame:
-    c = F.col("c")
-    return (
-        events.where(F.col("event_type").isin("purchase", "click", "error"))
-        .withColumn("c", _curve_number())
-        .select(
-            _named("0xSW_", F.col("event_id")).alias("tx_hash"),
-            hour_index("ts").alias("block_number"),
-            F.col("ts").alias("block_timestamp"),
-            _named("0xTOK_", c).alias("token_address"),
-            _named("0xCURVE_", c).alias("curve_address"),
-            _named("0xUSER_", F.col("user_id")).alias("trader_address"),
-            F.when(F.col("event_type") == "error", "sell").otherwise("buy").alias("trade_type"),
-            (F.col("value") / 20).alias("base_asset_amount"),
-            (F.col("value") * 1000 * (1 + F.col("event_id") % 7)).alias("token_amount"),
-            (F.col("value") / 2000).alias("protocol_fee_amount"),
-            (10 + F.col("event_id") % 200).cast("double").alias("gas_price_gwei"),
-            _tx_index().alias("tx_index"),
-        )
+    """The event number is the tape index, kept inside the 32-bit index of the swap contract."""
+    return _of_type(events, "purchase", "click", "error").selectExpr(
+        "concat('0xSW_', event_id) as tx_hash",
+        "block_number",
+        "ts as block_timestamp",
+        "concat('0xTOK_', c) as token_address",
+        "concat('0xCURVE_', c) as curve_address",
+        "concat('0xUSER_', user_id) as trader_address",
+        "if(event_type = 'error', 'sell', 'buy') as trade_type",
+        "value / 20 as base_asset_amount",
+        "value * 1000 * (1 + event_id % 7) as token_amount",
+        "value / 2000 as protocol_fee_amount",
+        "cast(10 + event_id % 200 as double) as gas_price_gwei",
+        "cast(event_id % 2147483648 as int) as tx_index",
     )
 
 
 def curve_events(events: DataFrame) -> DataFrame:
-    c = F.col("c")
-    amount = lambda value: value.cast("double")
     # min_by over fixed-width columns keeps this a hash aggregate
     first = (
-        events.withColumn("c", _curve_number())
+        events.selectExpr("event_id", "ts", "user_id", f"{_CURVE} as c")
         .groupBy("c")
-        .agg(
-            F.min("event_id").alias("event_id"),
-            F.min_by("ts", "event_id").alias("ts"),
-            F.min_by("user_id", "event_id").alias("user_id"),
-        )
+        .agg(F.expr("min(event_id) as event_id"), F.expr("min_by(ts, event_id) as ts"),
+             F.expr("min_by(user_id, event_id) as user_id"))
     )
-    created = first.select(
-        _named("evt_", F.col("event_id")).alias("event_id"),
-        _named("0xEV_", F.col("event_id")).alias("tx_hash"),
-        hour_index("ts").alias("block_number"),
-        F.col("ts").alias("block_timestamp"),
-        _named("0xTOK_", c).alias("token_address"),
-        _named("0xCURVE_", c).alias("curve_address"),
-        F.lit("CurveCreated").alias("event_type"),
-        _named("0xUSER_", F.col("user_id")).alias("creator_address"),
-        amount(F.lit(5e5) * F.pow(F.lit(4.0), (c % 5).cast("double"))).alias("initial_token_supply"),
-        F.lit(15000.0).alias("virtual_base_reserves"),
-        F.lit(1.073e9).alias("virtual_token_reserves"),
-        amount(25 + 20 * c).alias("graduation_threshold_base"),
+    created = first.selectExpr(
+        "concat('evt_', event_id) as event_id",
+        "concat('0xEV_', event_id) as tx_hash",
+        f"{_HOUR} as block_number",
+        "ts as block_timestamp",
+        "concat('0xTOK_', c) as token_address",
+        "concat('0xCURVE_', c) as curve_address",
+        "'CurveCreated' as event_type",
+        "concat('0xUSER_', user_id) as creator_address",
+        "5e5 * power(4, c % 5) as initial_token_supply",
+        "15000D as virtual_base_reserves",
+        "1.073e9D as virtual_token_reserves",
+        "cast(25 + 20 * c as double) as graduation_threshold_base",
     )
-    fees = (
-        events.where(F.col("event_type") == "signup")
-        .withColumn("c", _curve_number())
-        .select(
-            _named("fee_", F.col("event_id")).alias("event_id"),
-            _named("0xEV_", F.col("event_id")).alias("tx_hash"),
-            hour_index("ts").alias("block_number"),
-            F.col("ts").alias("block_timestamp"),
-            _named("0xTOK_", c).alias("token_address"),
-            _named("0xCURVE_", c).alias("curve_address"),
-            F.lit("FeeCollected").alias("event_type"),
-            _named("0xUSER_", F.col("user_id")).alias("creator_address"),
-            *[
-                F.lit(None).cast("double").alias(name)
-                for name in (
-                    "initial_token_supply", "virtual_base_reserves", "virtual_token_reserves",
-                    "graduation_threshold_base",
-                )
-            ],
-        )
+    fees = _of_type(events, "signup").selectExpr(
+        "concat('fee_', event_id) as event_id",
+        "concat('0xEV_', event_id) as tx_hash",
+        "block_number",
+        "ts as block_timestamp",
+        "concat('0xTOK_', c) as token_address",
+        "concat('0xCURVE_', c) as curve_address",
+        "'FeeCollected' as event_type",
+        "concat('0xUSER_', user_id) as creator_address",
+        *[f"cast(null as double) as {name}" for name in _SUPPLY_COLUMNS],
     )
     return created.unionByName(fees)
 
 
 def transfers(events: DataFrame) -> DataFrame:
-    return (
-        events.where(F.col("event_type") == "view")
-        .withColumn("c", _curve_number())
-        .select(
-            _named("0xTR_", F.col("event_id")).alias("tx_hash"),
-            hour_index("ts").alias("block_number"),
-            F.col("ts").alias("block_timestamp"),
-            _named("0xTOK_", F.col("c")).alias("token_address"),
-            _named("0xUSER_", F.col("user_id")).alias("from_address"),
-            _named("0xUSER_", F.col("event_id") % WALLETS).alias("to_address"),
-            (F.col("value") * 1000).alias("amount"),
-        )
+    return _of_type(events, "view").selectExpr(
+        "concat('0xTR_', event_id) as tx_hash",
+        "block_number",
+        "ts as block_timestamp",
+        "concat('0xTOK_', c) as token_address",
+        "concat('0xUSER_', user_id) as from_address",
+        f"concat('0xUSER_', event_id % {WALLETS}) as to_address",
+        "value * 1000 as amount",
     )
 
 
-def _wei(name: str, scale: float = 1e18) -> Column:
-    return (F.col(name) * scale).cast("decimal(38,0)")
+def _wei(name: str, alias: str | None = None, scale: str = "1e18D") -> str:
+    return f"cast({name} * {scale} as decimal(38, 0)) as {alias or name}"
 
 
 def chain_swaps(events: DataFrame) -> DataFrame:
     """The same swaps as a decoded on-chain log in wei."""
-    return swaps(events).select(
-        F.col("tx_hash").alias("evt_tx_hash"),
-        F.col("block_number").alias("evt_block_number"),
-        F.col("block_timestamp").alias("evt_block_time"),
-        F.col("curve_address").alias("contract_address"),
+    return swaps(events).selectExpr(
+        "tx_hash as evt_tx_hash",
+        "block_number as evt_block_number",
+        "block_timestamp as evt_block_time",
+        "curve_address as contract_address",
         "token_address",
-        F.col("trader_address").alias("trader"),
-        (F.col("trade_type") == "buy").alias("is_buy"),
-        _wei("base_asset_amount").alias("base_asset_amount"),
-        _wei("token_amount").alias("token_amount"),
-        _wei("protocol_fee_amount").alias("fee_amount"),
-        _wei("gas_price_gwei", 1e9).alias("gas_price"),
+        "trader_address as trader",
+        "trade_type = 'buy' as is_buy",
+        _wei("base_asset_amount"),
+        _wei("token_amount"),
+        _wei("protocol_fee_amount", "fee_amount"),
+        _wei("gas_price_gwei", "gas_price", "1e9D"),
     )
 
 
 def chain_curves(events: DataFrame) -> DataFrame:
     return (
         curve_events(events)
-        .where(F.col("event_type") == "CurveCreated")
-        .select(
-            F.col("curve_address").alias("contract_address"),
+        .where("event_type = 'CurveCreated'")
+        .selectExpr(
+            "curve_address as contract_address",
             "token_address",
-            F.col("creator_address").alias("creator"),
-            F.col("block_number").alias("evt_block_number"),
-            F.col("block_timestamp").alias("evt_block_time"),
-            *[
-                _wei(name).alias(name)
-                for name in (
-                    "initial_token_supply", "virtual_base_reserves", "virtual_token_reserves",
-                    "graduation_threshold_base",
-                )
-            ],
+            "creator_address as creator",
+            "block_number as evt_block_number",
+            "block_timestamp as evt_block_time",
+            *[_wei(name) for name in _SUPPLY_COLUMNS],
         )
     )
+
+
+class EventTape:
+    """The raw tables of an ``events`` folder, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._events = read_events(spark, folder)
+
+    swaps = cached_property(lambda self: swaps(self._events))
+    curve_events = cached_property(lambda self: curve_events(self._events))
+    transfers = cached_property(lambda self: transfers(self._events))
+    chain_swaps = cached_property(lambda self: chain_swaps(self._events))
+    chain_curves = cached_property(lambda self: chain_curves(self._events))

@@ -28,13 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelens.contracts import ALERTS, FCT_CURVE_DAILY, Thresholds
-from curvelens.functions.scalars import day_text, is_sell, signed
+from curvelens.functions.scalars import day_text, is_sell, signed, sum_if
 from curvelens.operators import alerts, curve, marts
 from curvelens.operators.running import SliceSpec
+from curvelens.operators.skew import spread_join
 from curvelens.operators.wallets import WALLET_KEY
 
-BALANCES = ["base", "tokens", "creator_balance", "creator_sold"]
-
 
 @dataclass(frozen=True)
 class _Carry:
@@ -159,19 +158,21 @@ class LiveCurves:
     def _store_balances(self, stored: DataFrame, ready: DataFrame, carry: _Carry | None, batch_id: int) -> None:
         """Balances per curve after this batch: sums of all trades, known curve or not."""
         creators = self.launches().select("curve_address", F.col("creator_address").alias("trader_address")).distinct()
-        marked = ready.join(creators.withColumn("own", F.lit(True)), ["curve_address", "trader_address"], "left")
-        own = F.when(F.col("own"), F.col("token_amount")).otherwise(F.lit(0.0))
-        moved = marked.groupBy("curve_address").agg(
-            F.sum(signed("base_asset_amount")).alias("base"),
-            F.sum(signed("token_amount")).alias("tokens"),
-            F.sum(signed(own)).alias("creator_balance"),
-            F.sum(F.when(is_sell(), own).otherwise(F.lit(0.0))).alias("creator_sold"),
+        own = spread_join(ready, creators, ["curve_address", "trader_address"], by="tx_hash")
+        creator = own.groupBy("curve_address").agg(
+            F.sum(signed("token_amount")).alias("creator_balance"), sum_if(is_sell(), "token_amount").alias("creator_sold")
+        )
+        moved = ready.groupBy("curve_address").agg(
+            F.sum(signed("base_asset_amount")).alias("base"), F.sum(signed("token_amount")).alias("tokens")
         )
         peak = stored.groupBy("curve_address").agg(F.max("curve_fill_pct").alias("peak_fill"))
-        balances = moved.join(peak, "curve_address", "left")
+        balances = (
+            moved.join(creator, "curve_address", "left").join(peak, "curve_address", "left")
+            .select("curve_address", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in curve.RUNNING], "peak_fill")
+        )
         if carry:
             balances = balances.unionByName(carry.balances).groupBy("curve_address").agg(
-                *[F.sum(name).alias(name) for name in BALANCES], F.max("peak_fill").alias("peak_fill")
+                *[F.sum(name).alias(name) for name in curve.RUNNING], F.max("peak_fill").alias("peak_fill")
             )
         balances.write.mode("overwrite").parquet(f"{self.folder}/carry/batch={batch_id}/balances")
 

@@ -99,27 +99,55 @@ def test_sliced_reports_agree(spark, folder):
             assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in b.items()} == a
 
 
-def test_plan_shuffles_trades_once(spark, folder):
-    """The only exchange of whole trade rows is the one by slice; no window partitions by curve alone."""
-    from curvelens import RawTables
+def exchanged(plan):
+    """For every exchange of a plan printout: its line and the line of its child."""
+    lines = plan.splitlines()
+    return [(line, lines[i + 1]) for i, line in enumerate(lines[:-1]) if "Exchange hashpartitioning" in line]
+
 
-    p = Pipeline(RawTables.from_events(spark, folder))
+def plan_of(spark, df):
+    """Physical plan as for large inputs: no side is small enough to broadcast by estimate."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = p.curve_state._jdf.queryExecution().executedPlan().toString()
+        return df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
-    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_block" in line]
-    assert len(wide) <= 3  # trades, slices, and the cut sums of over-full slices
+
+
+@pytest.mark.parametrize("stage", ["curve_state", "alerts", "dim_tokens"])
+def test_plan_shuffles_whole_trades_once(spark, folder, stage):
+    from curvelens import RawTables
+
+    plan = plan_of(spark, getattr(Pipeline(RawTables.from_events(spark, folder)), stage))
+    wide = [e for e, child in exchanged(plan) if "tx_hash" in child and "tx_index" in child and "ReusedExchange" not in e]
+    by_slice = [e for e in wide if "_bin" in e and "_run" in e]
+    assert len(by_slice) == 1
+    assert len(wide) - len(by_slice) <= (stage == "alerts")  # alert rows by curve and type, after the rank limit
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "ReusedExchange" in plan
+
+
+def test_plan_has_no_whole_curve_window_over_trades(spark, folder):
+    from curvelens import RawTables
+
+    plan = plan_of(spark, Pipeline(RawTables.from_events(spark, folder)).curve_state)
+    windows = [line for line in plan.splitlines() if "Window [" in line and "tx_index" in line]
+    assert windows and all("_bin" in w and "_run" in w for w in windows)
+
+
+def test_top_holders_are_limited_before_the_shuffle(spark, folder):
+    from curvelens import RawTables
+
+    plan = plan_of(spark, Pipeline(RawTables.from_events(spark, folder)).holder_rank)
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_running_totals_on_other_keys(spark):
     rows_ = [("a", 1, 1, "t1", 2.0), ("a", 1, 2, "t2", 3.0), ("b", 5, 1, "t3", 4.0)]
     df = spark.createDataFrame(rows_, "k string, block_number long, tx_index int, tx_hash string, v double")
     got = running_totals(df, {"v": F.col("v")}, SliceSpec(blocks=1, max_rows=1, tx_run=1), key="k").collect()
-    assert {r["tx_hash"]: (r["v_before"], r["v_after"], r["first_of_curve"]) for r in got} == {
+    assert {r["tx_hash"]: (r["v_before"], r["v_after"], r["first_of_key"]) for r in got} == {
         "t1": (0.0, 2.0, True), "t2": (2.0, 5.0, False), "t3": (0.0, 4.0, True),
     }
