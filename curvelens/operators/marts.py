@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelens.contracts import DIM_TOKENS, FCT_CURVE_DAILY, FCT_TRADES, Thresholds
-from curvelens.functions.scalars import count_if, rounded, share_pct, sum_if
+from curvelens.functions.scalars import count_if, rounded, share_pct, steady, sum_if
 from curvelens.operators.curve import status_label
 from curvelens.operators.velocity import daily_velocity, trader_days
 from curvelens.operators.wallets import WALLET_KEY, is_sniper
@@ -83,9 +83,9 @@ def dim_tokens(states: DataFrame, meta: DataFrame, thresholds: Thresholds = Thre
             {
                 "total_trades": F.coalesce("txs", F.lit(0).cast("long")),
                 "total_unique_traders": F.coalesce("traders", F.lit(0).cast("long")),
-                "lifetime_volume_base": rounded(F.coalesce("volume", zero), 4),
-                "lifetime_protocol_fees_base": rounded(F.coalesce("fees", zero), 4),
-                "current_base_in_curve": rounded(F.coalesce("collected", zero), 4),
+                "lifetime_volume_base": steady(F.coalesce("volume", zero), 4),
+                "lifetime_protocol_fees_base": steady(F.coalesce("fees", zero), 4),
+                "current_base_in_curve": steady(F.coalesce("collected", zero), 4),
                 "curve_fill_pct": F.coalesce("fill", zero),
                 "curve_status": status_label("graduated"),
                 "all_time_high_price": rounded(F.coalesce("price", zero), 8),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelens.contracts import Thresholds
-from curvelens.functions.scalars import first_match, is_buy, is_sell, ratio, rounded, sum_if
+from curvelens.functions.scalars import first_match, is_buy, is_sell, ratio, steady, sum_if
 
 
 def sniper_penetration(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -27,7 +27,7 @@ def sniper_penetration(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds
         launches.join(blocks, ["curve_address", "block_number"], "left")
         .groupBy("token_address", "curve_address", "initial_token_supply")
         .agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("tokens_bought_early"), F.max("last_buy").alias("last_early_buy"))
-        .withColumn("penetration_pct", rounded(ratio("tokens_bought_early", "initial_token_supply") * 100.0, 4))
+        .withColumn("penetration_pct", steady(ratio("tokens_bought_early", "initial_token_supply") * 100.0, 4))
         .withColumn(
             "risk_tag",
             first_match(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curvelens.contracts import TOKEN_VELOCITY, VELOCITY_PROFILE, Thresholds
 from curvelens.functions.scalars import (
     day_start, day_text, first_match, from_minute_index, hour_index, is_buy, position, ratio, rounded, signed,
-    spot_price,
+    spot_price, steady,
 )
 from curvelens.operators.curve import status_label
 
@@ -98,7 +98,7 @@ def daily_velocity(
                 "avg_daily_price": ratio("price_sum", "price_count"),
                 "curve_status": status_label("graduated"),
                 "implied_market_cap_base": rounded(cap, 4),
-                "turnover_rate_pct": rounded(ratio("daily_tokens_traded", "total_token_supply") * 100.0, 4),
+                "turnover_rate_pct": steady(ratio("daily_tokens_traded", "total_token_supply") * 100.0, 4),
                 "token_velocity_index": velocity_index("daily_volume_base", cap),
             }
         )
@@ -132,7 +132,7 @@ def velocity_profile(log: DataFrame, curves: DataFrame, thresholds: Thresholds =
             {
                 "volume_base": rounded("volume", 4),
                 "market_cap_base": rounded(cap, 4),
-                "turnover_pct": rounded(ratio("tokens", "initial_token_supply") * 100.0, 4),
+                "turnover_pct": steady(ratio("tokens", "initial_token_supply") * 100.0, 4),
                 "token_velocity": velocity_index("volume", cap),
             }
         )

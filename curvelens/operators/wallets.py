@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvelens.contracts import DIM_WALLETS, SUPPLY_CONCENTRATION, WALLET_CLUSTERS, Thresholds
 from curvelens.functions.scalars import (
-    count_if, first_match, flag, is_buy, is_sell, ratio, rounded, signed, sum_if,
+    count_if, first_match, flag, is_buy, is_sell, ratio, rounded, signed, steady, sum_if,
 )
 from curvelens.operators.skew import spread_join
 
@@ -138,7 +138,7 @@ def dim_wallets(base: DataFrame, thresholds: Thresholds = Thresholds()) -> DataF
         .withColumn(
             "profitability_status", first_match([(pnl > 0, "PROFITABLE"), (pnl < 0, "UNPROFITABLE")], "BREAKEVEN")
         )
-        .withColumns({name: rounded(name, 4) for name in amounts})
+        .withColumns({name: steady(name, 4) for name in amounts})
         .select(*DIM_WALLETS)
     )
 
@@ -199,7 +199,7 @@ def wallet_forensics(log: DataFrame, curves: DataFrame, thresholds: Thresholds =
         .withColumns(
             {
                 "net_pnl_base": rounded(F.col("total_base_realized") - F.col("total_base_invested"), 4),
-                "pct_supply_held": rounded(held * 100.0, 4),
+                "pct_supply_held": steady(held * 100.0, 4),
                 "wallet_cohort": first_match(
                     [
                         (F.col("trader_address") == F.col("creator_address"), "DEV_TEAM_WALLET"),
@@ -256,7 +256,7 @@ def supply_concentration(
         held = holders.groupBy(*key).agg(F.sum("current_token_balance").alias("circulating"))
         holders = (
             spread_join(holders, held, key, by="trader_address")
-            .withColumn("pct_supply_held", rounded(ratio("current_token_balance", "circulating") * 100.0, 4))
+            .withColumn("pct_supply_held", steady(ratio("current_token_balance", "circulating") * 100.0, 4))
             .drop("circulating")
         )
     elif denominator != "total":
@@ -267,7 +267,7 @@ def supply_concentration(
         F.countDistinct("trader_address").alias("unique_holders"),
         count_if(sniper).alias("sniper_count"),
         sum_if(sniper, "current_token_balance").alias("sniper_held_tokens"),
-        rounded(F.sum(F.pow(F.greatest(F.lit(0.0), pct), F.lit(2.0))), 2).alias("concentration_hhi"),
+        steady(F.sum(F.pow(F.greatest(F.lit(0.0), pct), F.lit(2.0))), 2).alias("concentration_hhi"),
     )
     top = top_holders(holders, thresholds).groupBy(*key).agg(F.sum("pct_supply_held").alias("top_share"))
     hhi = F.col("concentration_hhi")
@@ -275,7 +275,7 @@ def supply_concentration(
         spread.join(top, key, "left")
         .withColumns(
             {
-                "top_10_supply_pct": rounded("top_share", 2),
+                "top_10_supply_pct": steady("top_share", 2),
                 "distribution_health": first_match(
                     [
                         (hhi > thresholds.hhi_high, "HIGH_CENTRALIZATION_RISK (WHALE / CABAL)"),

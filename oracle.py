@@ -92,7 +92,7 @@ facts as (
 ),
 velocity as (
   select *, round(total_token_supply * close_price, 4) as implied_market_cap_base,
-         round(tokens / nullif(total_token_supply, 0) * 100, 4) as turnover_rate_pct,
+         round(round(tokens / nullif(total_token_supply, 0) * 100, 9), 4) as turnover_rate_pct,
          if(total_token_supply * close_price > 0, round(volume / (total_token_supply * close_price), 4), 0) as v
   from (
     select token_address, curve_address, strftime(block_timestamp, '%Y-%m-%d') as trade_date,
@@ -125,9 +125,9 @@ tokens as (
   select l.token_address, l.curve_address, l.creator_address, l.creation_timestamp, l.creation_block,
          l.initial_token_supply, l.graduation_threshold_base, count(distinct f.tx_hash) as total_trades,
          count(distinct f.trader_address) as total_unique_traders,
-         round(coalesce(sum(f.base_asset_amount), 0), 4) as lifetime_volume_base,
-         round(coalesce(sum(f.protocol_fee_amount), 0), 4) as lifetime_protocol_fees_base,
-         round(coalesce(max(f.collected), 0), 4) as current_base_in_curve, coalesce(max(f.fill), 0) as curve_fill_pct,
+         round(round(coalesce(sum(f.base_asset_amount), 0), 9), 4) as lifetime_volume_base,
+         round(round(coalesce(sum(f.protocol_fee_amount), 0), 9), 4) as lifetime_protocol_fees_base,
+         round(round(coalesce(max(f.collected), 0), 9), 4) as current_base_in_curve, coalesce(max(f.fill), 0) as curve_fill_pct,
          coalesce(max(f.curve_status), 'ACTIVE') as curve_status, round(coalesce(max(f.spot), 0), 8) as all_time_high_price,
          count(distinct f.trader_address) filter (f.is_sniper = 1) as total_snipers_detected,
          coalesce(round(coalesce(sum(f.base_asset_amount) filter (f.is_sniper = 1), 0)
@@ -166,7 +166,7 @@ monitor as (
   ) t join log_curves l using (curve_address)
 ),
 forensics as (
-  select *, round(realized - invested, 4) as net_pnl_base, round(balance / nullif(supply, 0) * 100, 4) as pct,
+  select *, round(realized - invested, 4) as net_pnl_base, round(round(balance / nullif(supply, 0) * 100, 9), 4) as pct,
          case when trader_address = creator_address then 'DEV_TEAM_WALLET' when delta <= 1 then 'BLOCK_0_1_MEV_SNIPER'
               when delta <= 5 then 'EARLY_BOT_SNIPER' when balance / nullif(supply, 0) >= 0.02 then 'WHALE_HOLDER'
               when least(buys, sells) >= 2 then 'HIGH_FREQUENCY_TRADER'
@@ -183,13 +183,13 @@ forensics as (
 ),
 holders as (
   select *, row_number() over (partition by curve_address order by balance desc, trader_address) as holder_rank,
-         round(balance / sum(balance) over (partition by curve_address) * 100, 4) as circulating_pct
+         round(round(balance / sum(balance) over (partition by curve_address) * 100, 9), 4) as circulating_pct
   from forensics where balance > 0
 ),
 early as (
   select l.token_address, l.curve_address, l.initial_token_supply, max(block_timestamp) as last_early_buy,
          coalesce(sum(s.token_amount), 0) as tokens_bought_early,
-         round(coalesce(sum(s.token_amount), 0) / l.initial_token_supply * 100, 4) as penetration_pct
+         round(round(coalesce(sum(s.token_amount), 0) / l.initial_token_supply * 100, 9), 4) as penetration_pct
   from launches l left join swaps s
     on s.curve_address = l.curve_address and s.side = 1 and s.block_number - l.creation_block between 0 and 2
   group by l.token_address, l.curve_address, l.initial_token_supply
@@ -221,10 +221,10 @@ _MONITOR_BANDS = """case when curve_fill_pct >= 100 then 'GRADUATED_TO_DEX'
 _CONCENTRATION = """
 select token_address, curve_address, count(distinct trader_address) as unique_holders,
        count(*) filter (wallet_cohort in ('BLOCK_0_1_MEV_SNIPER', 'EARLY_BOT_SNIPER')) as sniper_count,
-       round(sum({pct}) filter (holder_rank <= 10), 2) as top_10_supply_pct,
-       round(sum({pct} * {pct}), 2) as concentration_hhi,
-       case when round(sum({pct} * {pct}), 2) > 2500 then 'HIGH_CENTRALIZATION_RISK (WHALE / CABAL)'
-            when round(sum({pct} * {pct}), 2) > 1500 then 'MODERATE_CONCENTRATION'
+       round(round(sum({pct}) filter (holder_rank <= 10), 9), 2) as top_10_supply_pct,
+       round(round(sum({pct} * {pct}), 9), 2) as concentration_hhi,
+       case when round(round(sum({pct} * {pct}), 9), 2) > 2500 then 'HIGH_CENTRALIZATION_RISK (WHALE / CABAL)'
+            when round(round(sum({pct} * {pct}), 9), 2) > 1500 then 'MODERATE_CONCENTRATION'
             else 'HEALTHY_DECENTRALIZED_DISTRIBUTION' end as distribution_health
 from holders group by all"""
 
@@ -356,7 +356,7 @@ select token_address, curve_address, trade_date, tx_count, unique_active_traders
 from velocity_tiers""",
     "velocity_profile": """
 select trade_date, token_address, curve_address, tx_count, active_traders_count, round(volume, 4) as volume_base,
-       round(cap, 4) as market_cap_base, round(tokens / nullif(supply, 0) * 100, 4) as turnover_pct, v as token_velocity,
+       round(cap, 4) as market_cap_base, round(round(tokens / nullif(supply, 0) * 100, 9), 4) as turnover_pct, v as token_velocity,
        case when v > 2 then 'HYPER_VELOCITY (HIGH SPECULATION / BOT CHURN)' when v >= 0.5 then 'ORGANIC_LIQUID_VELOCITY'
             when v >= 0.1 then 'LOW_VELOCITY (ACCUMULATION PHASE)' else 'STAGNANT (LIQUIDITY RISK)' end as velocity_profile
 from (
@@ -439,7 +439,7 @@ select count(*) as created_curves, count(*) filter (graduated_at is null) as act
        count(*) filter (l.creation_timestamp::date = last.ts::date) as created_today,
        count(graduated_at) as graduated_curves, round(count(graduated_at) / count(*) * 100, 2) as graduation_rate_pct,
        round(avg(date_sub('minute', l.creation_timestamp, graduated_at)), 4) as avg_minutes_to_graduate,
-       any_value(round(fees, 4)) as fees_24h, any_value(round(volume, 4)) as volume_24h, any_value(traders) as traders_24h
+       any_value(round(fees, 6)) as fees_24h, any_value(round(volume, 4)) as volume_24h, any_value(traders) as traders_24h
 from launches l left join graduations using (token_address, curve_address),
      (select max(block_timestamp) as ts from swaps) last,
      (select sum(protocol_fee_amount) as fees, sum(base_asset_amount) as volume,
