@@ -63,8 +63,10 @@ def _opening(name: str, window) -> Column:
 def _placed(trades: DataFrame, spec: SliceSpec) -> DataFrame:
     block = f"coalesce(block_number, {_NO_BLOCK}L)"
     index = f"coalesce(cast(tx_index as bigint), {_NO_INDEX}L)"
+    # coalesced to be known as not null: no null filters then set equal aggregates apart
     return trades.selectExpr(
-        "*", f"floor({block} / {spec.blocks}) as _bin", f"{block} as _block", f"floor({index} / {spec.tx_run}) as _run"
+        "*", f"coalesce({block} div {spec.blocks}, 0L) as _bin", f"{block} as _block",
+        f"coalesce({index} div {spec.tx_run}, 0L) as _run",
     )
 
 
