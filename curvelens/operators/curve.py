@@ -279,6 +279,7 @@ def fill_leaderboard(swaps: DataFrame, meta: DataFrame, minutes: int = 1440, top
     net = signed("base_asset_amount")
     now = fill_pct("collected", "graduation_threshold_base")
     then = fill_pct(F.col("collected") - F.col("gained"), "graduation_threshold_base")
+    gain = rounded(now - then, 2)
     ranked = Window.orderBy(F.desc("fill_gain_pct"), "curve_address")
     return (
         swaps.groupBy("curve_address")
@@ -286,8 +287,7 @@ def fill_leaderboard(swaps: DataFrame, meta: DataFrame, minutes: int = 1440, top
         .join(meta, "curve_address")
         .select(
             "token_address", "curve_address", now.alias("curve_fill_pct"),
-            rounded(now - then, 2).alias("fill_gain_pct"),
-            rounded((now - then) / minutes, 6).alias("fill_pct_per_minute"),
+            gain.alias("fill_gain_pct"), rounded(gain / minutes, 6).alias("fill_pct_per_minute"),
         )
         .orderBy(F.desc("fill_gain_pct"), "curve_address")
         .limit(top)
