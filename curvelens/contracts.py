@@ -170,5 +170,5 @@ class Thresholds:
     retention_days: tuple[int, ...] = (1, 3, 7)
 
 
-# The validation script of the reference uses a higher whale limit in both places.
+# A stricter published variant with one whale limit for cohort and segment.
 STRICT_WHALES = Thresholds(whale_invested=20.0, whale_lifetime_invested=20.0)
