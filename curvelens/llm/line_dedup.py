@@ -71,7 +71,8 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(names).withColumn("__key", _key(F.col("doc_id"), body()))
-    joined = rows.join(staged(covered, "line-covers"), "__key", "left").withColumn("__lines", F.split(body(), "\n"))
+    # Merged at every size: the covers grow with the corpus.
+    joined = rows.join(staged(covered, "line-covers").hint("merge"), "__key", "left").withColumn("__lines", F.split(body(), "\n"))
     hit = F.col("__covered").isNotNull()
     out = joined.withColumns({
         "text": F.when(hit, F.array_join(_gaps(F.col("__lines"), F.col("__covered")), "\n")).otherwise(F.col("text")),
