@@ -55,14 +55,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SPACE), "")
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, also where it is used inside another lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def shingles(tokens: Column, width: int = 5) -> Column:
     """Distinct 64-bit hashes of the runs of ``width`` words.
 
     Fewer words make one shingle of the whole sequence, no words none.
     """
-    n = F.size(tokens)
-    run = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))),
-        lambda i: F.xxhash64(*[F.get(tokens, i + (k - 1)) for k in range(width)]),
-    )
-    return F.when(n > 0, F.array_distinct(run)).otherwise(F.array().cast("array<bigint>"))
+
+    def of(t: Column) -> Column:
+        run = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(t) - (width - 1), F.lit(1))),
+            lambda i: F.xxhash64(*[F.get(t, i + (k - 1)) for k in range(width)]),
+        )
+        return F.when(F.size(t) > 0, F.array_distinct(run)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens, of)

@@ -21,7 +21,7 @@ WIDTH = 5
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, __shingles, n_item_shingles), rows without words left out."""
-    rows = items.select("item_id", shingles(words(body()), width).alias("__shingles"))
+    rows = items.select("item_id", F.array_sort(shingles(words(body()), width)).alias("__shingles"))
     return rows.withColumn("n_item_shingles", F.size("__shingles")).where("n_item_shingles > 0").distinct()
 
 
@@ -29,7 +29,7 @@ def sketches(sets: DataFrame, share: float = CONTAINMENT) -> DataFrame:
     """(item_id, __shingle) of the bottom-k sketches; sizes are partitioned at powers of two."""
     upper = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_item_shingles"))))
     k = F.floor(upper * (1 - share) + 1e-9).cast("int") + 1
-    return sets.select("item_id", F.explode(F.slice(F.array_sort("__shingles"), F.lit(1), k)).alias("__shingle"))
+    return sets.select("item_id", F.explode(F.slice("__shingles", F.lit(1), k)).alias("__shingle"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:

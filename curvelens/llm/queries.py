@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.llm import bpe, decontam, line_dedup, sharding, sql
+from curvelens.llm import bpe, decontam, fingerprints, licenses, line_dedup, quality, sharding, sql
 from curvelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def tokenizer_path(spark: SparkSession) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "score")], "rejected")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(spark))
     return coded.select(
@@ -30,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -38,12 +47,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_bpe, op6_line_dedup, op7_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe, op4_fingerprints, op6_line_dedup, op7_sharding, op8_licences, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

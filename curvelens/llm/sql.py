@@ -2,13 +2,21 @@
 
 SPACE = r"[\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS = f"list_filter(string_split_regex({LOWER}, '{SPACE}'), x -> x <> '')"
+WORDS = f"list_filter(string_split_regex({LOWER}, '{SPACE}'), lambda x: x <> '')"
 
-#: Distinct five-word shingles of a list of words ``w``.
-SHINGLES = """
-    list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' ')))
+
+def shingles(name: str, key: str) -> str:
+    """Distinct five-word shingles ``s`` of each text of a table; shorter texts are one."""
+    following = ", ".join(f"lead(w, {k}) over (partition by {key} order by i) w{k}" for k in range(1, 5))
+    return f"""
+    select distinct {key}, concat_ws(' ', w, w1, w2, w3, w4) s from (
+        select {key}, i, n, w, {following} from (
+            select {key}, unnest(w) w, generate_subscripts(w, 1) i, len(w) n from (select {key}, {WORDS} w from {name})
+        )
+    ) where i + 4 <= n or i = 1
 """
 
+
 LINE_DEDUP = """
 with lines as (
     select doc_id, coalesce(text, '') body, string_split(coalesce(text, ''), chr(10)) l from documents
@@ -23,20 +31,17 @@ with lines as (
 )
 select d.doc_id,
        case when c is null then d.text
-            else coalesce(array_to_string(list_filter(l, (x, i) -> not list_contains(c, i)), chr(10)), '') end as text,
+            else coalesce(array_to_string(list_filter(l, lambda x, i: not list_contains(c, i)), chr(10)), '') end as text,
        d.lang, d.source,
        case when c is null then d.n_chars
-            else length(coalesce(array_to_string(list_filter(l, (x, i) -> not list_contains(c, i)), chr(10)), '')) end as n_chars,
+            else length(coalesce(array_to_string(list_filter(l, lambda x, i: not list_contains(c, i)), chr(10)), '')) end as n_chars,
        cast(len(l) as int) n_lines, cast(coalesce(len(c), 0) as int) n_removed
 from documents d join lines using (doc_id) left join covered using (doc_id)
 """
 
 LEAKS = f"""
-with d as (
-    select doc_id, unnest({SHINGLES}) s from (select doc_id, {WORDS} w from documents) where len(w) > 0
-), b as (
-    select item_id, unnest({SHINGLES}) s from (select item_id, {WORDS} w from benchmark) where len(w) > 0
-), q as (select item_id, count(*) n_item_shingles from b group by item_id)
+with d as ({shingles("documents", "doc_id")}), b as ({shingles("benchmark", "item_id")}),
+q as (select item_id, count(*) n_item_shingles from b group by item_id)
 select doc_id, item_id, cast(n_item_shingles as int) n_item_shingles, count(*) n_shared,
        count(*) / n_item_shingles containment
 from d join b using (s) join q using (item_id)
