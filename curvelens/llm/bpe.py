@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from curvelens.llm.common import ship
+
 #: The published pattern of this tokenizer family (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CLASSES = [regex.compile(p) for p in (r"\s+", r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
@@ -288,6 +290,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select(columns)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "token_ids binary", "decoded string"])
 
+    ship(docs.sparkSession)
+
     def run(batches):
         return _with_ids(batches, path, columns)
 

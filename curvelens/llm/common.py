@@ -6,21 +6,37 @@ columns of a caller's table pass through or are ignored without clashing.
 
 from __future__ import annotations
 
-import re
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import curvelens
 from curvelens.session import shared_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tables up to this many rows may be sent to every executor; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for a Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_curvelens_shipped", False):
+        return
+    package = Path(curvelens.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="curvelens-")) / "curvelens.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(target))
+    context._curvelens_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelens.llm.common import small, staged
+from curvelens.llm.common import ship, small, staged
 
 #: Labelled rows that the classifier is fitted on, at most.
 FIT_ROWS = 20_000
@@ -79,6 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifie
 
     None if the labels do not hold both classes.
     """
+    ship(docs.sparkSession)
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y"))
     chosen = staged(known.distinct().orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows), "quality-labels")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
@@ -132,6 +133,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """
     new = ["evidence", "host_posterior", "path_posterior", "score", "rejected"]
     names = [c for c in docs.columns if c not in new]
+    ship(docs.sparkSession)
     model = model or train(docs, labels)
     rows = docs.select(names).withColumns({
         "__host": F.struct(F.col(host)), "__path": F.struct(F.col(path)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.llm import bpe, decontam, fingerprints, licenses, line_dedup, quality, sharding, sql
+from curvelens.llm import bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, quality, sharding, sql
 from curvelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality, op3_bpe, op4_fingerprints, op6_line_dedup, op7_sharding, op8_licences, op10_decontamination)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
