@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.llm import bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, quality, sharding, sql
+from curvelens.llm import bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, quality, sharding, sql, toxicity
 from curvelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,20 @@ def tokenizer_path(spark: SparkSession) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), labels.where(_fold(5) != 0))
+    score = F.round("toxicity", 9)
+    return scored.select(
+        "doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "score")], "rejected")
@@ -60,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
