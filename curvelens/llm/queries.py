@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.llm import bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, quality, sharding, sql, toxicity
+from curvelens.llm import bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, lm, quality, sharding, sql, toxicity
 from curvelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,12 +69,17 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.document_licences(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), _fold(10) == 0)
+    return scored.select("*").withColumn("bits_per_byte", F.round("bits_per_byte", 6))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op9_lm, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
