@@ -1,0 +1,215 @@
+"""Line dedup, near duplicates, sharding, decontamination and the pipeline."""
+
+import os
+import random
+import subprocess
+import sys
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from brute import components, dedup_lines, leaks, shingles
+from conftest import EDGES, documents, lines, prose
+
+import corpus_pipeline
+from curvelens.llm import decontam, fingerprints, jaccard_join, line_dedup, queries, sharding, sql
+from curvelens.llm import components as graph
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    got = queries.queries()[name](spark, FOLDER)
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    names = ", ".join(sorted(got.columns))
+    plain = lambda rows: Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    assert plain(got.select(sorted(got.columns)).collect()) == plain(con.sql(f"select {names} from want").fetchall())
+
+
+def test_repeated_lines_go(spark):
+    rows = [(i, lines(i % 4, 8) + "\n" + lines(("own", i), 3)) for i in range(12)] + [(20, "a\nb"), (21, "a\nb"), (22, "x\nx\nx\nx\nx")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(documents(spark, rows)).collect()}
+    assert got == dedup_lines(rows)
+
+
+def test_line_dedup_edges(edges, nothing):
+    rows = line_dedup.remove_repeated_lines(edges).collect()
+    assert len(rows) == len(EDGES) and line_dedup.remove_repeated_lines(nothing).count() == 0
+    by_id = Counter((r.doc_id, r.text) for r in rows)
+    assert by_id[7, lines("a", 9)] == 2 and by_id[8, ""] == 1 and by_id[9, "another end of the text it is"] == 1
+    assert by_id[None, None] == 1 and all(r.score.startswith("score") for r in rows)
+
+
+def _planted(n=40):
+    rng, rows = random.Random(7), []
+    for g in range(n):
+        base = prose(g, rng.randint(3, 90)).split()
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            edited = list(base)
+            for _ in range(rng.randint(0, 3)):
+                edited[rng.randrange(len(edited))] = f"w{rng.random()}"
+            rows.append((len(rows), " ".join(edited)))
+    return rows + [(1000 + k, t) for k, t in enumerate(["", None, "one two", "One  two", "one two three four five", "one two three four five six"])]
+
+
+def test_components_equal_brute_force(spark):
+    rows = _planted()
+    got = jaccard_join.near_duplicates(documents(spark, rows)).collect()
+    want, texts = components(rows), dict(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert all(r.n_shingles == len(shingles(texts[r.doc_id])) for r in got)
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Many texts that share passages without linking, and pairs among them that do."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    passage, rows = prose("p", 40), []
+    for i in range(60):
+        own = prose(("own", i // 2), 45)
+        rows.append((i, f"{passage} {own}" if i % 2 else f"{passage} {own} {prose(i, 4)}"))
+    got = jaccard_join.near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows)
+
+
+def test_trees_lose_no_pair():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(30):
+        base = np.unique(rng.integers(0, 1 << 64, rng.integers(5, 400), np.uint64))
+        sets.append(base)
+        for _ in range(3):
+            kept = base[rng.random(len(base)) > rng.uniform(0, 0.3)]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 64, rng.integers(0, 20), np.uint64))))
+    members = [(k, len(s), jaccard_join.bitmap(s), k) for k, s in enumerate(sets)]
+    found = list(jaccard_join.candidates(members))
+    want = {
+        (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+        if jaccard_join.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))
+    }
+    assert want <= set(found) and len(found) == len(set(found)) and len(found) < 4 * len(want) + 50
+    one = [(k, n, b, 0) for k, n, b, _ in members]
+    assert not list(jaccard_join.candidates(one))
+
+
+def test_near_duplicate_edges(edges, nothing):
+    got = jaccard_join.near_duplicates(edges).collect()
+    assert len(got) == len(EDGES) and jaccard_join.near_duplicates(nothing).count() == 0
+    by_id = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert by_id[6] == 5 and by_id[8] == by_id[9] == 7 and by_id[10] == 4 and by_id[1] == 1 and by_id[2] == 2
+    kept = Counter(r.doc_id for r in jaccard_join.one_of_each(edges).collect())
+    assert kept == {1: 1, 2: 1, 3: 1, 4: 2, 5: 1, None: 2, 7: 2, 11: 1, 12: 1, 13: 1}
+
+
+def test_connected_components(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 160)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert {r.node: r.root for r in got} == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_shards_are_even(spark, sample, shards):
+    rows = sharding.shard(sample, shards).collect()
+    assert len(rows) == sample.count()
+    texts = dict(sample.select("doc_id", "text").collect())
+    sizes, slots = Counter(), {}
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "bytes")
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - sum(sizes.values()) / shards <= max(r.size for r in rows)
+
+
+def test_shard_edges(spark, edges, nothing):
+    rows = sharding.shard(edges, 4).collect()
+    assert len(rows) == len(EDGES) and sharding.shard(nothing).count() == 0
+    assert {r.size for r in rows if r.doc_id in (1, 2)} == {8} and {r.text_crc32 for r in rows if r.doc_id in (1, 2)} == {0}
+    copies = sharding.shard(documents(spark, [(1, "same text")] * 1200), 6).collect()
+    assert set(Counter(r.shard for r in copies).values()) == {200}
+
+
+def test_leaks_equal_brute_force(spark):
+    items = [(k, prose(("item", k), n)) for k, n in enumerate([3, 5, 8, 14, 20, 40, 59, 9])] + [(50, ""), (51, None)]
+    docs = [(1, items[0][1]), (2, prose(2, 3000) + " " + items[3][1] + " " + prose(3, 2000)), (3, items[5][1].replace(" ", "\n")), (4, prose(4, 200))]
+    docs += [(10 + k, " ".join(t.split()[: -(-len(t.split()) * 4 // 5)])) for k, t in items if t]
+    docs += [(30 + k, " ".join(t.split()[: len(t.split()) // 2])) for k, t in items if t] + [(60, None), (61, ""), (62, items[4][1].upper())]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(documents(spark, docs), benchmark)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == leaks(docs, items)
+    clean = {r.doc_id for r in decontam.without_leaks(documents(spark, docs), benchmark).collect()}
+    assert clean == {i for i, _ in docs} - {i for i, _ in leaks(docs, items)}
+
+
+def test_leak_edges(spark, edges, nothing):
+    none = spark.createDataFrame([], "item_id long, text string, doc_id string")
+    some = spark.createDataFrame([(None, prose("null", 30), "x"), (1, None, "x"), (2, lines("a", 4), "y"), (2, lines("a", 4), "y")], none.schema)
+    assert decontam.leaks(edges, none).count() == 0 and decontam.leaks(nothing, some).count() == 0
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(edges, some).collect()}
+    assert got == {(None, None), (7, 2), (8, 2), (9, 2)}
+    assert decontam.without_leaks(edges, none).count() == len(EDGES)
+
+
+def test_native_plans_hold_no_python(spark, sample):
+    for df in (fingerprints.fingerprint_edits(sample), line_dedup.remove_repeated_lines(sample), sharding.shard(sample)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_pipeline(spark):
+    docs = queries.table(spark, FOLDER, "documents")
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE encoding and decoding"
+    ]
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        docs = stage(spark, docs, FOLDER)
+        after = {r.doc_id: r.text for r in docs.collect()}
+        if stage is corpus_pipeline.cut_lines:
+            want = dedup_lines(before)
+            assert after == {i: want[i] for i, t in before if want[i] or not t}
+        elif stage is corpus_pipeline.one_of_each_group:
+            assert set(after) == {i for i, c in components(before).items() if i == c}
+        else:
+            items = [(r.item_id, r.text) for r in queries.table(spark, FOLDER, "benchmark").collect()]
+            assert set(after) == {i for i, _ in before} - {i for i, _ in leaks(before, items)}
+    done = corpus_pipeline.run(spark, FOLDER)
+    assert done.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and all(r.decoded == (r.text or "") for r in done.collect())
+
+
+def test_pipeline_takes_edges(spark, edges, nothing):
+    five = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (edges.select(five), nothing.select(five)):
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, FOLDER).collect()
+
+
+def test_entry_imports_without_the_subpackage(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import __spark_entry__ as e; print(sorted(q for q in e.queries() if q[:2] == 'op' or q == 'pipeline'))"
+    for name in ("curvelens", "__spark_entry__.py", "oracle.py"):
+        (tmp_path / name).symlink_to(os.path.join(root, name)) if name != "curvelens" else None
+    (tmp_path / "curvelens").mkdir()
+    for name in os.listdir(os.path.join(root, "curvelens")):
+        if name != "llm":
+            (tmp_path / "curvelens" / name).symlink_to(os.path.join(root, "curvelens", name))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = f"import sys; sys.path[:0] = [{str(tmp_path)!r}]; {code}"
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert out.stdout.strip() == "[]", out.stderr
+
+
+def test_sql_covers_known_queries():
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and sql.LEAKS
