@@ -96,6 +96,8 @@ def test_trees_lose_no_pair():
     assert want <= set(found) and len(found) == len(set(found)) and len(found) < 4 * len(want) + 50
     one = [(k, n, b, 0) for k, n, b, _ in members]
     assert not list(jaccard_join.candidates(one))
+    two = [(k, n, b, k % 2) for k, n, b, _ in members]
+    assert len(list(jaccard_join.candidates(two, limit=3))) == 3
 
 
 def test_near_duplicate_edges(edges, nothing):
