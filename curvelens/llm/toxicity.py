@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from curvelens.llm.common import body, ship, staged
 
 #: Labelled texts that the network is fitted on, at most.
-FIT_TOXIC, FIT_CLEAN = 1_500, 3_000
+FIT_TOXIC, FIT_CLEAN = 700, 2_100
 WINDOW, STRIDE, HIDDEN, EMBEDDED, FOLDS = 24, 12, 8, 4, 5
 LONGEST, GRAMS = 32, (3, 4, 5)
 BUCKETS, EMBEDDINGS = 1 << 18, 1 << 12
@@ -53,7 +53,7 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of each word with its edges marked, padded, and the lengths."""
     marked = [b"^" + (w.strip(EDGES) or w) + b"$" for w in words]
     chars = np.frombuffer(b"".join(w.ljust(LONGEST + 2, b"\0") for w in marked), np.uint8)
-    return chars.reshape(len(words), LONGEST + 2).astype(np.uint64), np.fromiter(map(len, marked), np.int64, len(marked))
+    return chars.reshape(len(words), LONGEST + 2), np.fromiter(map(len, marked), np.int64, len(marked))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def word_buckets(chars: np.ndarray) -> np.ndarray:
     h = np.full(len(chars), 7, np.uint64)
     for i in range(chars.shape[1]):
-        h = h * K1 + chars[:, i]
+        h = h * K1 + chars[:, i].astype(np.uint64)
     return _mixed(h).astype(np.int64)
 
 
@@ -75,8 +75,8 @@ def gram_buckets(chars: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.nd
             has = np.flatnonzero(lengths >= i + n)
             h = np.full(len(has), n, np.uint64)
             for k in range(n):
-                h = h * K1 + chars[has, i + k]
-            yield has, _mixed(h).astype(np.int64)
+                h = h * K1 + chars[has, i + k].astype(np.uint64)
+            yield has.astype(np.int32), _mixed(h).astype(np.int32)
 
 
 def _told(toxic: np.ndarray, clean: np.ndarray, toxics: int, cleans: int) -> np.ndarray:
@@ -266,6 +266,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model | None:
     of_word, of_gram = map(np.concatenate, zip(*gram_buckets(chars, lengths)))
     order = np.argsort(of_word, kind="stable")
     of_gram, ends = of_gram[order], np.searchsorted(of_word[order], np.arange(len(vocabulary) + 1))
+    del of_word, order, split_texts
     for ids, y, k in zip(each, toxic, fold):
         distinct = np.unique(ids)
         found = np.unique(np.concatenate([of_gram[ends[i] : ends[i + 1]] for i in distinct]))
