@@ -44,11 +44,12 @@ def trade_alerts(tracked_states: DataFrame, thresholds: Thresholds = Thresholds(
     )
     raised = tracked_states.where(whale | dump | reaches).select(
         "token_address", "curve_address", F.col("block_timestamp").alias("event_ts"), "tx_hash", "block_number",
-        "tx_index", F.explode(F.array_compact(candidates)).alias("alert"),
+        "tx_index", "trader_address", "base_asset_amount", "token_amount", F.explode(F.array_compact(candidates)).alias("alert"),
     )
-    # A fill can cross 90 % again after a sale; only the first crossing of a curve counts. Whale
-    # rows carry their own hash in the key, so they are never gathered by curve.
-    once = F.when(F.col("alert.alert_type") == "WHALE_INFLOW", F.col("tx_hash")).otherwise(F.lit(""))
+    # A fill can cross 90 % again after a sale; only the first crossing of a curve counts. Whale rows
+    # carry their trade in the key, so each raises its alert and they are never gathered by curve.
+    trade = F.concat_ws("|", "block_number", "tx_index", "tx_hash", "trader_address", "base_asset_amount", "token_amount")
+    once = F.when(F.col("alert.alert_type") == "WHALE_INFLOW", trade).otherwise(F.lit(""))
     first = Window.partitionBy("curve_address", "alert.alert_type", "once").orderBy(position())
     return (
         raised.withColumn("once", once)

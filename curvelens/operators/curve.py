@@ -10,6 +10,7 @@ from curvelens.functions.scalars import (
     fill_pct, first_match, flag, from_minute_index, is_buy, is_sell, minute_index, minutes_between, position, ratio,
     rounded, signed, spot_price,
 )
+from curvelens.operators.ranks import ranked
 from curvelens.operators.running import Attached, SliceSpec, running_totals
 from curvelens.operators.skew import spread_join
 
@@ -86,7 +87,6 @@ def trade_states(
             "fill_before_pct": F.when(
                 ~F.col("first_of_curve"), fill_pct("base_before", "graduation_threshold_base")
             ),
-            "counts_as_tx": flag(F.col("first_of_tx") & (F.col("launch_copy") == 1)),
         }
     )
     before = F.col("spot_price_before_trade")
@@ -272,16 +272,18 @@ def inflow_15m(swaps: DataFrame, thresholds: Thresholds = Thresholds()) -> DataF
     )
 
 
-def fill_leaderboard(swaps: DataFrame, meta: DataFrame, minutes: int = 1440, top: int = 10) -> DataFrame:
-    """The curves that filled fastest over the last ``minutes`` of the tape, a top-k report."""
+def fill_leaderboard(swaps: DataFrame, meta: DataFrame, minutes: int = 1440, top: int | None = None) -> DataFrame:
+    """Curves ranked by how much they filled over the last ``minutes`` of the tape; the first ``top`` if given.
+
+    Gains have two decimals, so ranks come from counts by gain and beginning of the address.
+    """
     as_of = swaps.agg(F.max("block_timestamp")).scalar()
     recent = F.col("block_timestamp") > as_of - F.make_dt_interval(mins=F.lit(minutes))
     net = signed("base_asset_amount")
     now = fill_pct("collected", "graduation_threshold_base")
     then = fill_pct(F.col("collected") - F.col("gained"), "graduation_threshold_base")
     gain = rounded(now - then, 2)
-    ranked = Window.orderBy(F.desc("fill_gain_pct"), "curve_address")
-    return (
+    gains = (
         swaps.groupBy("curve_address")
         .agg(F.sum(net).alias("collected"), F.sum(F.when(recent, net).otherwise(F.lit(0.0))).alias("gained"))
         .join(meta, "curve_address")
@@ -289,7 +291,7 @@ def fill_leaderboard(swaps: DataFrame, meta: DataFrame, minutes: int = 1440, top
             "token_address", "curve_address", now.alias("curve_fill_pct"),
             gain.alias("fill_gain_pct"), rounded(gain / minutes, 6).alias("fill_pct_per_minute"),
         )
-        .orderBy(F.desc("fill_gain_pct"), "curve_address")
-        .limit(top)
-        .withColumn("position", F.row_number().over(ranked))  # over at most ``top`` rows
     )
+    buckets = [-F.col("fill_gain_pct"), F.substring("curve_address", 1, 5)]
+    board = ranked(gains, [], buckets, [F.col("curve_address").asc()], "position")
+    return board.where(F.col("position") <= top) if top else board

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curvelens.contracts import DIM_TOKENS, FCT_CURVE_DAILY, FCT_TRADES, Thresholds
 from curvelens.functions.scalars import count_if, rounded, share_pct, steady, sum_if
 from curvelens.operators.curve import status_label
-from curvelens.operators.velocity import daily_velocity, trader_days
+from curvelens.operators.velocity import daily_velocity, trader_days, transactions
 from curvelens.operators.wallets import WALLET_KEY, is_sniper
 
 
@@ -26,6 +26,7 @@ def fct_trades(states: DataFrame, wallets: DataFrame) -> DataFrame:
 
 def fct_curve_daily(
     states: DataFrame,
+    swaps: DataFrame,
     wallets: DataFrame,
     meta: DataFrame,
     thresholds: Thresholds = Thresholds(),
@@ -33,27 +34,36 @@ def fct_curve_daily(
 ) -> DataFrame:
     """Velocity metrics and sniper volume (by cohort) per curve and day.
 
-    Cohorts are joined to wallet-day sums rather than to trades.
+    The metrics come from the trades alone. Cohorts are joined to wallet-day sums; a wallet with a
+    row for each of two creators counts for both, as in the trade fact.
     """
-    cohorts = wallets.select(*WALLET_KEY, F.col("behavioral_cohort").alias("cohort"))
-    days = trader_days(states, close).join(cohorts, WALLET_KEY, "left")
-    sniper_volume = sum_if(F.col("cohort") == "SNIPER", "volume").alias("sniper_volume_base")
+    days = trader_days(states, close)
+    snipers = wallets.where(F.col("behavioral_cohort") == "SNIPER").groupBy(*WALLET_KEY).agg(F.count(F.lit(1)).alias("as_sniper"))
+    marked = days.join(snipers, WALLET_KEY, "left").withColumn("sniped", F.col("volume") * F.coalesce("as_sniper", F.lit(0)))
     return (
-        daily_velocity(days, meta, thresholds, close, more=[sniper_volume])
+        daily_velocity(marked, swaps, meta, thresholds, close, more=[F.sum("sniped").alias("sniper_volume_base")])
         .withColumn("sniper_volume_share_pct", share_pct("sniper_volume_base", "daily_volume_base"))
         .select(*FCT_CURVE_DAILY)
     )
 
 
-def dim_tokens(states: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+def dim_tokens(
+    states: DataFrame,
+    swaps: DataFrame,
+    wallet_rows: DataFrame,
+    meta: DataFrame,
+    thresholds: Thresholds = Thresholds(),
+    totals: str = "fact",
+) -> DataFrame:
     """Every launched token with its lifetime totals and high-water marks.
 
     One aggregate per wallet serves trader counts, sniper statistics (by flag) and lifetime totals;
-    trades are neither joined to wallets nor counted distinct. Collected base, fill and status are
-    maxima over the life of the curve. Curves without trades keep zeros.
+    trades are not joined to wallets. Collected base, fill and status are maxima over the life of the
+    curve. Curves without trades keep zeros. ``totals='fact'`` sums amounts as in the trade fact, where
+    the trades of a curve with two creators stand once for each (``wallet_rows`` are the wallet
+    clusters that the fact joins); ``'states'`` sums each state once.
     """
     wallets = states.groupBy(*WALLET_KEY).agg(
-        F.sum("counts_as_tx").alias("txs"),
         (F.min("block_number") - F.min("creation_block")).alias("blocks_since_curve_creation"),
         F.sum("base_asset_amount").alias("volume"),
         F.sum("protocol_fee_amount").alias("fees"),
@@ -62,10 +72,15 @@ def dim_tokens(states: DataFrame, meta: DataFrame, thresholds: Thresholds = Thre
         F.max("graduated").alias("graduated"),
         F.max("spot_price_after_trade").alias("price"),
     )
+    if totals == "fact":
+        copies = wallet_rows.groupBy(*WALLET_KEY).agg(F.count(F.lit(1)).alias("copies"))
+        times = F.coalesce("copies", F.lit(1))
+        wallets = wallets.join(copies, WALLET_KEY, "left").withColumns({c: F.col(c) * times for c in ("volume", "fees")})
+    elif totals != "states":
+        raise ValueError(f"unknown totals: {totals}")
     known = F.col("trader_address").isNotNull() & F.col("token_address").isNotNull()
     sniper = is_sniper(thresholds) & known
     lifetime = wallets.groupBy("token_address", "curve_address").agg(
-        F.sum("txs").alias("txs"),
         F.count("trader_address").alias("traders"),
         F.sum("volume").alias("volume"),
         F.sum("fees").alias("fees"),
@@ -79,9 +94,10 @@ def dim_tokens(states: DataFrame, meta: DataFrame, thresholds: Thresholds = Thre
     zero = F.lit(0.0)
     return (
         meta.join(lifetime, ["token_address", "curve_address"], "left")
+        .join(transactions(swaps, ["token_address", "curve_address"]), ["token_address", "curve_address"], "left")
         .withColumns(
             {
-                "total_trades": F.coalesce("txs", F.lit(0).cast("long")),
+                "total_trades": F.coalesce("tx_count", F.lit(0).cast("long")),
                 "total_unique_traders": F.coalesce("traders", F.lit(0).cast("long")),
                 "lifetime_volume_base": steady(F.coalesce("volume", zero), 4),
                 "lifetime_protocol_fees_base": steady(F.coalesce("fees", zero), 4),

@@ -13,7 +13,8 @@ def sniper_penetration(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds
     """Percent of each token's supply bought in blocks 0 to 2 of its launch.
 
     Counts gross buys of swaps whose own block lies in that range. Buys are summed per curve and
-    block first; each launch then meets its three blocks by an equality join.
+    block first; each launch then meets its three blocks by an equality join. A block that several
+    launches of a curve share counts once.
     """
     blocks = swaps.where(is_buy()).groupBy("curve_address", "block_number").agg(
         F.sum("token_amount").alias("tokens"), F.max("block_timestamp").alias("last_buy")
@@ -21,7 +22,7 @@ def sniper_penetration(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds
     first_blocks = F.sequence("creation_block", F.col("creation_block") + thresholds.sniper_blocks)
     launches = meta.select(
         "token_address", "curve_address", "initial_token_supply", F.explode(first_blocks).alias("block_number")
-    )
+    ).distinct()
     pct = F.col("penetration_pct")
     return (
         launches.join(blocks, ["curve_address", "block_number"], "left")

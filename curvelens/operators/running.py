@@ -10,7 +10,8 @@ bounded slices and summed on two levels:
 Per-slice sums (map-side combined) give each slice its opening balance. Launch parameters join those
 sums, not the trades. The trades are shuffled once, by slice; they meet their slice's row in a
 shuffled hash join (the slice side holds one short row per slice) and the window runs inside the
-slice. The only broadcast is the list of over-full slices: at most (all trades / ``max_rows``) rows.
+slice. The list of over-full slices is as long as (all trades / ``max_rows``) at most; whether it is
+broadcast is left to the planner.
 """
 
 from __future__ import annotations
@@ -81,10 +82,9 @@ def running_totals(
     key: str = "curve_address",
     attached: Attached | None = None,
 ) -> DataFrame:
-    """Adds ``<name>_before`` and ``<name>_after`` for every delta, ``first_of_key`` and ``first_of_tx``.
+    """Adds ``<name>_before`` and ``<name>_after`` for every delta, and ``first_of_key``.
 
-    With ``attached``, only trades of its keys remain, once per copy. ``first_of_tx`` marks the first
-    row of a transaction hash: a transaction has one block and one index, so its rows are neighbours.
+    With ``attached``, only trades of its keys remain, once per copy.
     """
     moves = _placed(trades.where(F.col(key).isNotNull()), spec)
     late = attached.deltas if attached else {}
@@ -105,7 +105,7 @@ def running_totals(
     # The NULL tests never fail. They keep the sums in this plan, so that it is the same aggregate as
     # the one for the balances and Spark computes it once.
     summed = [F.col(f"_sum_{name}").isNotNull() for name in deltas]
-    full = F.broadcast(bins.where(reduce(Column.__and__, summed, over_full)).select(key, "_bin", F.lit(True).alias("_full")))
+    full = bins.where(reduce(Column.__and__, summed, over_full)).select(key, "_bin", F.lit(True).alias("_full"))
 
     # opening balance of every slice
     along_key = Window.partitionBy(key, *copies).orderBy("_bin")
@@ -138,14 +138,12 @@ def running_totals(
     walked = sliced.join(slices.hint("shuffle_hash"), slice_key).withColumns(moved).select(
         *trades.columns, *extra, "_opens_key", *sums,
         F.row_number().over(inside).alias("_nth"),
-        F.lag("tx_hash").over(inside).alias("_last_tx"),
         *[F.sum(f"_d_{name}").over(upto).alias(f"_upto_{name}") for name in names],
         *[_opening(f"_d_{name}", earlier).alias(f"_earlier_{name}") for name in names],
     )
     return walked.selectExpr(
         *trades.columns, *extra,
         "_nth = 1 and _opens_key as first_of_key",
-        "_nth = 1 or not (tx_hash <=> _last_tx) as first_of_tx",
         *[f"_sum_{n} + _earlier_{n} as {n}_before" for n in names],
         *[f"_sum_{n} + _upto_{n} as {n}_after" for n in names],
     )

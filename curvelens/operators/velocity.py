@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,19 @@ def velocity_tier(index: str, thresholds: Thresholds) -> Column:
     )
 
 
+def transactions(trades: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct transaction hashes by key as ``tx_count``; missing hashes count nothing.
+
+    Two levels of plain aggregates: a hash is kept once per key, also if it was mined again in a later block.
+    """
+    return trades.select(*by, "tx_hash").distinct().groupBy(*by).agg(F.count("tx_hash").alias("tx_count"))
+
+
 def trader_days(states: DataFrame, close: str = "max") -> DataFrame:
     """Trades summed per token, curve, day and trader.
 
     Everything downstream of a day works on these rows: traders are counted without a distinct
-    aggregate, and a transaction counts once because only its first row carries ``counts_as_tx``.
+    aggregate.
     """
     extra = []
     if close == "last":
@@ -46,7 +56,6 @@ def trader_days(states: DataFrame, close: str = "max") -> DataFrame:
     return states.groupBy(
         "token_address", "curve_address", day_text("block_timestamp").alias("trade_date"), "trader_address"
     ).agg(
-        F.sum("counts_as_tx").alias("txs"),
         F.sum("base_asset_amount").alias("volume"),
         F.sum("token_amount").alias("tokens"),
         F.sum("spot_price_after_trade").alias("price_sum"),
@@ -61,7 +70,6 @@ def trader_days(states: DataFrame, close: str = "max") -> DataFrame:
 def _day_measures(close: str) -> list[Column]:
     price = F.max("price_max") if close == "max" else F.max_by("last_price", "last_position")
     return [
-        F.sum("txs").alias("tx_count"),
         F.count("trader_address").alias("unique_active_traders"),
         F.sum("volume").alias("daily_volume_base"),
         F.sum("tokens").alias("daily_tokens_traded"),
@@ -75,6 +83,7 @@ def _day_measures(close: str) -> list[Column]:
 
 def daily_velocity(
     days: DataFrame,
+    trades: DataFrame,
     meta: DataFrame,
     thresholds: Thresholds = Thresholds(),
     close: str = "max",
@@ -82,6 +91,8 @@ def daily_velocity(
 ) -> DataFrame:
     """Velocity metrics per curve and day from :func:`trader_days`; ``more`` adds aggregates.
 
+    ``trades`` are the same trades by themselves, from which transactions are counted.
+
     ``close='max'`` takes the day's highest price as its close (the published definition),
     ``'last'`` the price after the last trade.
     """
@@ -89,9 +100,13 @@ def daily_velocity(
         F.max("initial_token_supply").alias("total_token_supply")
     )
     cap = F.col("total_token_supply") * F.col("close_price")
+    counted = transactions(trades.withColumn("trade_date", day_text("block_timestamp")), DAY_KEY)
+    counted = counted.withColumnsRenamed({name: f"_{name}" for name in DAY_KEY})
+    same_day = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in DAY_KEY])
     return (
         days.groupBy(*DAY_KEY)
         .agg(*_day_measures(close), *(more or []))
+        .join(counted, same_day).drop(*[f"_{name}" for name in DAY_KEY])
         .join(supplies.drop("token_address"), "curve_address")
         .withColumns(
             {
@@ -107,9 +122,9 @@ def daily_velocity(
 
 
 def token_velocity(
-    states: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds(), close: str = "max"
+    states: DataFrame, swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds(), close: str = "max"
 ) -> DataFrame:
-    return daily_velocity(trader_days(states, close), meta, thresholds, close).select(*TOKEN_VELOCITY)
+    return daily_velocity(trader_days(states, close), swaps, meta, thresholds, close).select(*TOKEN_VELOCITY)
 
 
 def velocity_profile(log: DataFrame, curves: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:

@@ -9,6 +9,7 @@ from curvelens.contracts import DIM_WALLETS, SUPPLY_CONCENTRATION, WALLET_CLUSTE
 from curvelens.functions.scalars import (
     count_if, first_match, flag, is_buy, is_sell, ratio, rounded, signed, steady, sum_if,
 )
+from curvelens.operators.ranks import ranked
 from curvelens.operators.skew import spread_join
 
 WALLET_KEY = ["token_address", "curve_address", "trader_address"]
@@ -243,6 +244,20 @@ def top_holders(forensics: DataFrame, thresholds: Thresholds = Thresholds()) ->
     )
 
 
+def holder_ranks(forensics: DataFrame) -> DataFrame:
+    """All holders of each curve by falling balance, ties by address.
+
+    Holders are bucketed by the size of their balance, 64 buckets to a doubling.
+    """
+    size = -F.floor(F.log2(F.col("current_token_balance")) * 64)
+    order = [F.desc("current_token_balance"), F.col("trader_address").asc()]
+    held = forensics.where(F.col("current_token_balance") > 0)
+    return ranked(held, ["curve_address"], [size], order, "holder_rank").select(
+        "curve_address", "token_address", "trader_address", "holder_rank", "current_token_balance",
+        "pct_supply_held", "wallet_cohort",
+    )
+
+
 def supply_concentration(
     forensics: DataFrame, thresholds: Thresholds = Thresholds(), denominator: str = "total"
 ) -> DataFrame:

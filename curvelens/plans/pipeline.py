@@ -60,13 +60,14 @@ class Pipeline:
         slices: SliceSpec = SliceSpec(),
         close: str = "max",
         status: str = "instant",
+        totals: str = "fact",
     ):
         if close not in ("max", "last"):
             raise ValueError(f"unknown close: {close}")
         if status not in ("instant", "sticky"):
             raise ValueError(f"unknown status: {status}")
         self.raw, self.thresholds, self.slices = raw, thresholds, slices
-        self.close, self.status = close, status
+        self.close, self.status, self.totals = close, status, totals
 
     # ------------------------------------------------------------------ staging
     @cached_property
@@ -155,7 +156,7 @@ class Pipeline:
 
     @cached_property
     def holder_rank(self) -> DataFrame:
-        return wallets.top_holders(self.wallet_forensics, self.thresholds)
+        return wallets.holder_ranks(self.wallet_forensics)
 
     def supply_concentration(self, denominator: str = "total") -> DataFrame:
         return wallets.supply_concentration(self.wallet_forensics, self.thresholds, denominator)
@@ -188,7 +189,7 @@ class Pipeline:
     # ------------------------------------------------------------------ velocity
     @cached_property
     def token_velocity(self) -> DataFrame:
-        return velocity.token_velocity(self.states, self.meta, self.thresholds, self.close)
+        return velocity.token_velocity(self.states, self.swaps, self.meta, self.thresholds, self.close)
 
     @cached_property
     def velocity_profile(self) -> DataFrame:
@@ -209,7 +210,9 @@ class Pipeline:
 
     @cached_property
     def fct_curve_daily(self) -> DataFrame:
-        return marts.fct_curve_daily(self.states, self.wallet_clusters, self.meta, self.thresholds, self.close)
+        return marts.fct_curve_daily(
+            self.states, self.swaps, self.wallet_clusters, self.meta, self.thresholds, self.close
+        )
 
     @cached_property
     def dim_wallets(self) -> DataFrame:
@@ -217,7 +220,9 @@ class Pipeline:
 
     @cached_property
     def dim_tokens(self) -> DataFrame:
-        return marts.dim_tokens(self.states, self.meta, self.thresholds)
+        return marts.dim_tokens(
+            self.states, self.swaps, self.wallet_clusters, self.meta, self.thresholds, self.totals
+        )
 
     # ------------------------------------------------------------------ dashboards
     @cached_property
@@ -297,7 +302,7 @@ class Pipeline:
         spark = self.raw.swaps.sparkSession
         path = path or shared_dir(spark, "trade-states")
         self.tracked_states.write.mode("overwrite").parquet(path)
-        same = Pipeline(self.raw, self.thresholds, self.slices, self.close, self.status)
+        same = Pipeline(self.raw, self.thresholds, self.slices, self.close, self.status, self.totals)
         same.tracked_states = same.states = spark.read.parquet(path)
         return same
 

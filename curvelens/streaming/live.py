@@ -33,6 +33,7 @@ from curvelens.operators import alerts, curve, marts
 from curvelens.operators.running import SliceSpec
 from curvelens.operators.skew import spread_join
 from curvelens.operators.wallets import WALLET_KEY
+from curvelens.streaming.sources import SAME_TRADE
 
 
 @dataclass(frozen=True)
@@ -78,13 +79,14 @@ class LiveCurves:
         time = F.col("block_timestamp")
         waiting = batch
         if carry:
-            passed = time <= self._mark(carry.newest)
+            # trades without a time are never late
+            passed = F.coalesce(time <= self._mark(carry.newest), F.lit(False))
             self._overwrite(batch.where(passed), "late", batch_id)
             waiting = batch.where(~passed).unionByName(carry.pending)
         here = f"{self.folder}/carry/batch={batch_id}"
         (
-            # a log row may be delivered twice; the transaction is the key of the raw contract
-            waiting.dropDuplicates(["tx_hash"]).withColumn("ready", time <= self._mark(newest))
+            # a log row may be delivered twice; legs of one transaction differ in trader, side or amounts
+            waiting.dropDuplicates(SAME_TRADE).withColumn("ready", F.coalesce(time <= self._mark(newest), F.lit(True)))
             .write.mode("overwrite").parquet(f"{here}/trades")
         )
         ready = self.spark.read.parquet(f"{here}/trades").where("ready").drop("ready")
@@ -226,9 +228,9 @@ class LiveCurves:
             self.spark.read.schema(stored.schema).parquet(f"{self.folder}/states")
             .where(F.col("batch_id") <= batch_id)
             .withColumn("trade_date", F.col("trade_date").cast("string"))
-            .join(F.broadcast(days), "trade_date", "left_semi")  # prunes partitions; one row per day
+            .join(days, "trade_date", "left_semi")
             .drop("trade_date", "batch_id")
         )
-        marts.fct_curve_daily(touched, snipers, self.launches(), self.thresholds).write.mode("overwrite").partitionBy(
+        marts.fct_curve_daily(touched, touched, snipers, self.launches(), self.thresholds).write.mode("overwrite").partitionBy(
             "trade_date"
         ).option("partitionOverwriteMode", "dynamic").parquet(f"{self.folder}/daily")

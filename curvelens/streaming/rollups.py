@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelens.functions.scalars import signed
+from curvelens.operators import kpis
 from curvelens.streaming.sources import WATERMARK, with_event_time
 
 
@@ -74,5 +75,17 @@ def run_to_table(stream: DataFrame, folder: str, wait: bool = True):
     return query
 
 
+def with_open_windows(final: DataFrame, swaps: DataFrame) -> DataFrame:
+    """The final 5-minute windows of a stream, and provisional ones for the trades after them.
+
+    ``swaps`` are the staged swaps the stream has read; only those after the last final window count.
+    """
+    last = final.agg(F.max("window_start").alias("last")).first()["last"]
+    after = swaps if last is None else swaps.where(
+        F.col("block_timestamp") >= F.lit(last).cast("timestamp_ntz") + F.expr("interval 5 minutes")
+    )
+    return final.unionByName(kpis.rollup_5m(after).select(final.columns))
+
+
 def read_table(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/table")

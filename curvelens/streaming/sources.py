@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 from curvelens.operators.staging import stage_swaps
 
 WATERMARK = "10 minutes"
+#: Columns in which a row delivered twice agrees with itself, and legs of one transaction do not.
+SAME_TRADE = [
+    "tx_hash", "block_number", "tx_index", "curve_address", "trader_address", "trade_type", "base_asset_amount",
+    "token_amount",
+]
 
 
 def stream_table(
@@ -33,12 +38,12 @@ def staged_stream(raw: DataFrame, to_swaps: Callable[[DataFrame], DataFrame] | N
 
 
 def with_event_time(swaps: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Watermarked stream, each transaction once.
+    """Watermarked stream, each trade once.
 
     Watermarks need a zoned timestamp; ``event_time`` is the naive block time in the session zone.
     """
     return (
         swaps.withColumn("event_time", F.col("block_timestamp").cast("timestamp"))
         .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["tx_hash"])
+        .dropDuplicatesWithinWatermark(SAME_TRADE)
     )

@@ -190,8 +190,10 @@ early as (
   select l.token_address, l.curve_address, l.initial_token_supply, max(block_timestamp) as last_early_buy,
          coalesce(sum(s.token_amount), 0) as tokens_bought_early,
          round(round(coalesce(sum(s.token_amount), 0) / l.initial_token_supply * 100, 9), 4) as penetration_pct
-  from launches l left join swaps s
-    on s.curve_address = l.curve_address and s.side = 1 and s.block_number - l.creation_block between 0 and 2
+  from (
+    select distinct token_address, curve_address, initial_token_supply, creation_block + unnest([0, 1, 2]) as block
+    from launches
+  ) l left join swaps s on s.curve_address = l.curve_address and s.side = 1 and s.block_number = l.block
   group by l.token_address, l.curve_address, l.initial_token_supply
 ),
 dev as (
@@ -306,8 +308,7 @@ from (
     select curve_address, sum(side * base_asset_amount) as net,
            coalesce(sum(side * base_asset_amount) filter (
              block_timestamp > (select max(block_timestamp) from swaps) - interval 1440 minutes), 0) as gained
-    from swaps group by all) join launches using (curve_address))
-qualify position <= 10""",
+    from swaps group by all) join launches using (curve_address))""",
     "time_to_graduation": """
 select *, date_sub('minute', creation_timestamp, graduated_at) as minutes_to_graduate from graduations""",
     "wallet_clusters": """
@@ -328,7 +329,7 @@ from forensics""",
     "holder_rank": """
 select curve_address, token_address, trader_address, holder_rank::integer as holder_rank,
        round(balance, 4) as current_token_balance, pct as pct_supply_held, wallet_cohort
-from holders where holder_rank <= 10""",
+from holders""",
     "supply_concentration": _CONCENTRATION.format(pct="pct"),
     "supply_concentration_circulating": _CONCENTRATION.format(pct="circulating_pct"),
     "sniper_penetration": """
@@ -505,9 +506,7 @@ union all select 'grain_fct_trades', count(*), count(*) - count(distinct tx_hash
 union all select 'grain_fct_curve_daily', count(*), count(*) - count(distinct (curve_address, trade_date)) from velocity
 union all select 'grain_dim_wallets', count(*), count(*) - count(distinct trader_address) from segments
 union all select 'grain_dim_tokens', count(*), count(*) - count(distinct token_address) from tokens""",
-    "rollup_5m_stream": """
-from rollup
-where window_start + interval 5 minutes <= (select max(block_timestamp) from swaps) - interval 10 minutes""",
+    "rollup_5m_stream": "from rollup",
     "curve_state_stream": "",
 }
 SELECTS["curve_state_stream"] = SELECTS["curve_state"]

@@ -98,6 +98,40 @@ def test_launch_created_twice_doubles_its_trades(spark):
     assert grain["grain_fct_trades"] == 6 and grain["grain_dim_tokens"] == 1 and grain["grain_raw_swaps"] == 0
 
 
+def test_two_creators_of_one_curve(spark):
+    again = created("nova", "0xcreator_carol", 1000, ZERO, 7)
+    raw = raw_tables(spark, SWAPS[:6], [LAUNCHES[0], again])
+    p = Pipeline(raw)
+    (day,) = p.fct_curve_daily.collect()
+    assert (day["tx_count"], day["daily_volume_base"]) == (6, 206.0)
+    assert (day["sniper_volume_base"], day["sniper_volume_share_pct"]) == (132.0, 64.08)
+    assert p.fct_trades.count() == 24
+    assert {r["lifetime_volume_base"] for r in p.dim_tokens.collect()} == {412.0}
+    assert {r["lifetime_volume_base"] for r in Pipeline(raw, totals="states").dim_tokens.collect()} == {206.0}
+    (early,) = p.sniper_penetration.collect()
+    assert (early["penetration_pct"], early["risk_tag"]) == (35.0, "ORANGE")
+    assert p.alerts.where("alert_type = 'SNIPER_HIJACK'").count() == 0
+
+
+def test_each_large_buy_of_a_transaction_raises_an_alert(spark):
+    legs = [swap(1, 1001, _min(1), "nova", "0xwhale_1", "BUY", base, 1e6) for base in (20.0, 30.0)]
+    p = Pipeline(raw_tables(spark, legs, LAUNCHES[:1]))
+    assert sorted(r["metric_value"] for r in p.alerts.where("alert_type = 'WHALE_INFLOW'").collect()) == [20.0, 30.0]
+
+
+def test_all_holders_are_ranked(spark):
+    swaps = [swap(i, 1001 + i, _min(1), "nova", f"0xw{i:02}", "BUY", 1, 1000.0 * (1 + i % 7)) for i in range(40)]
+    got = Pipeline(raw_tables(spark, swaps, LAUNCHES[:1])).raw
+    from curvelens.operators.wallets import holder_ranks
+
+    held = got.swaps.selectExpr(
+        "curve_address", "token_address", "trader_address", "token_amount as current_token_balance", "1d as pct_supply_held", "'x' as wallet_cohort"
+    )
+    ranks = {r["trader_address"]: r["holder_rank"] for r in holder_ranks(held).collect()}
+    want = sorted(((-1000.0 * (1 + i % 7), f"0xw{i:02}") for i in range(40)))
+    assert ranks == {w: n for n, (_, w) in enumerate(want, 1)}
+
+
 def test_trades_before_launch_and_creator_in_first_block(spark):
     swaps = [swap(1, 990, _min(-1), "nova", "0xearly", "BUY", 1, 10), swap(2, 1000, ZERO, "nova", "0xcreator_alice", "BUY", 1, 10)]
     p = Pipeline(raw_tables(spark, swaps, LAUNCHES[:1]))

@@ -69,10 +69,12 @@ def test_equals_plain_walk(spark, spec):
 def test_one_transaction_with_several_rows_counts_once(spark):
     shared = [swap(1, 1001, timedelta(minutes=1), "hot", f"0xu{i}", "BUY", 1, 1e3, index=3) for i in range(3)]
     other = swap(2, 1001, timedelta(minutes=1), "hot", "0xu1", "BUY", 1, 1e3, index=4)
-    p = Pipeline(raw_tables(spark, shared + [other], LAUNCHES), slices=SliceSpec(blocks=1, max_rows=1, tx_run=1))
-    assert p.states.agg(F.sum("counts_as_tx")).first()[0] == 2
+    again = swap(2, 1900, timedelta(minutes=9), "hot", "0xu1", "BUY", 0, 1e3, index=1)  # mined once more
+    none = swap(3, 1901, timedelta(minutes=9), "hot", "0xu1", "BUY", 0, 1e3, tx_hash=None)
+    p = Pipeline(raw_tables(spark, shared + [other, again, none], LAUNCHES), slices=SliceSpec(blocks=1, max_rows=1, tx_run=1))
     (row,) = p.token_velocity.collect()
     assert (row["tx_count"], row["unique_active_traders"], row["daily_volume_base"]) == (2, 3, 4.0)
+    assert {r["token_address"]: r["total_trades"] for r in p.dim_tokens.collect()}["0xhot"] == 2
 
 
 def test_last_running_total_is_the_sum(spark, folder):

@@ -77,6 +77,24 @@ def test_live_states_equal_batch(spark, tmp_path, tape, files):
     )
 
 
+def test_legs_and_missing_times_are_kept(spark, tmp_path, tape):
+    from conftest import LAUNCHES, SWAPS, raw_tables, swap
+
+    from curvelens import Pipeline
+
+    minute = timedelta(minutes=1)
+    legs = [swap(70, 1200, minute * 70, "nova", "0xleg", "BUY", base, 1e6) for base in (1.0, 2.0)]
+    odd = dict(swap(71, 1201, minute, "nova", "0xodd", "BUY", 1.0, 1e6), block_timestamp=None)
+    batches = [SWAPS[:3] + legs[:1], [legs[1], odd, legs[0]], SWAPS[3:6]]
+    raw = raw_tables(spark, SWAPS[:6] + legs + [odd], LAUNCHES[:1])
+    p = Pipeline(raw)
+    live = LiveCurves(spark, str(tmp_path / "legs"), lambda: p.meta, delay="300 minutes", daily=False)
+    for number, rows in enumerate(batches):
+        live.process(Pipeline(raw_tables(spark, rows, LAUNCHES[:1])).swaps, number)
+    late = spark.read.parquet(str(tmp_path / "legs" / "late")).count()
+    assert live.states().count() + late == p.curve_state.count() == 9
+
+
 def test_late_trades_go_to_the_side_table(spark, tmp_path):
     late = swap(50, 1003, timedelta(minutes=1), "nova", "0xlate", "BUY", 1, 10)
     again = SWAPS[2]
