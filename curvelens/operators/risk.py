@@ -9,23 +9,35 @@ from curvelens.contracts import Thresholds
 from curvelens.functions.scalars import first_match, is_buy, is_sell, ratio, steady, sum_if
 
 
-def sniper_penetration(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Percent of each token's supply bought in blocks 0 to 2 of its launch.
-
-    Counts gross buys of swaps whose own block lies in that range. Buys are summed per curve and
-    block first; each launch then meets its three blocks by an equality join. A block that several
-    launches of a curve share counts once.
-    """
-    blocks = swaps.where(is_buy()).groupBy("curve_address", "block_number").agg(
+def bought_by_block(swaps: DataFrame) -> DataFrame:
+    """Tokens bought per curve and block, and the time of the last buy."""
+    return swaps.where(is_buy()).groupBy("curve_address", "block_number").agg(
         F.sum("token_amount").alias("tokens"), F.max("block_timestamp").alias("last_buy")
     )
+
+
+def launch_blocks(meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """The first blocks of each launch; a block that several launches of a curve share stands once."""
     first_blocks = F.sequence("creation_block", F.col("creation_block") + thresholds.sniper_blocks)
-    launches = meta.select(
+    return meta.select(
         "token_address", "curve_address", "initial_token_supply", F.explode(first_blocks).alias("block_number")
     ).distinct()
+
+
+def sniper_penetration(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Percent of each token's supply bought in blocks 0 to 2 of its launch.
+
+    Counts gross buys of swaps whose own block lies in that range. Buys are summed per curve and
+    block first; each launch then meets its three blocks by an equality join.
+    """
+    return penetration(bought_by_block(swaps), meta, thresholds)
+
+
+def penetration(blocks: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """:func:`sniper_penetration` from buys by block."""
     pct = F.col("penetration_pct")
     return (
-        launches.join(blocks, ["curve_address", "block_number"], "left")
+        launch_blocks(meta, thresholds).join(blocks, ["curve_address", "block_number"], "left")
         .groupBy("token_address", "curve_address", "initial_token_supply")
         .agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("tokens_bought_early"), F.max("last_buy").alias("last_early_buy"))
         .withColumn("penetration_pct", steady(ratio("tokens_bought_early", "initial_token_supply") * 100.0, 4))

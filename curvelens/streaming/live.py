@@ -15,7 +15,7 @@ Tables under the folder:
   states/   per-trade states, by trade_date and batch_id     late/    trades behind the watermark
   alerts/   alert rows, by batch_id                          snipers/ wallets of launch blocks, by batch_id
   hours/    hourly fees, by batch_id                         daily/   daily fact, by trade_date
-  carry/    balances, pending trades and clock of each batch
+  carry/    balances, buys of launch blocks, pending trades and clock of each batch
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from curvelens.contracts import ALERTS, FCT_CURVE_DAILY, Thresholds
 from curvelens.functions.scalars import day_text, is_sell, signed, sum_if
-from curvelens.operators import alerts, curve, marts
+from curvelens.operators import alerts, curve, marts, risk
 from curvelens.operators.running import SliceSpec
 from curvelens.operators.skew import spread_join
 from curvelens.operators.wallets import WALLET_KEY
@@ -41,6 +41,7 @@ class _Carry:
     newest: datetime
     pending: DataFrame
     balances: DataFrame
+    early: DataFrame
 
 
 class LiveCurves:
@@ -94,6 +95,7 @@ class LiveCurves:
         stored = self._store_states(self._states(ready, carry), batch_id)
         self._store_balances(stored, ready, carry, batch_id)
         self._store_alerts(stored, carry, batch_id)
+        self._store_early(ready, carry, batch_id)
         self._store_hours(ready, batch_id, carry, newest)
         if self.daily:
             self._store_daily(stored, batch_id)
@@ -136,7 +138,9 @@ class LiveCurves:
         if newest is None:  # only empty batches so far
             return None
         pending = self.spark.read.parquet(f"{base}/trades").where("not ready").drop("ready")
-        return _Carry(newest, pending, self.spark.read.parquet(f"{base}/balances"))
+        return _Carry(
+            newest, pending, self.spark.read.parquet(f"{base}/balances"), self.spark.read.parquet(f"{base}/early")
+        )
 
     def _states(self, ready: DataFrame, carry: _Carry | None) -> DataFrame:
         return curve.trade_states(
@@ -192,6 +196,22 @@ class LiveCurves:
             )
         self._overwrite(raised.select(*ALERTS), "alerts", batch_id)
 
+    def _store_early(self, ready: DataFrame, carry: _Carry | None, batch_id: int) -> None:
+        """Buys of launch blocks so far, at most a few rows per curve, and an alert once they pass the limit."""
+        keys, launches = ["curve_address", "block_number"], self.launches()
+        blocks = risk.bought_by_block(ready).join(risk.launch_blocks(launches, self.thresholds).select(*keys).distinct(), keys)
+        if carry:
+            blocks = blocks.unionByName(carry.early).groupBy(*keys).agg(
+                F.sum("tokens").alias("tokens"), F.max("last_buy").alias("last_buy")
+            )
+        path = f"{self.folder}/carry/batch={batch_id}/early"
+        blocks.write.mode("overwrite").parquet(path)
+        now = alerts.sniper_hijack(risk.penetration(self.spark.read.parquet(path), launches, self.thresholds), self.thresholds)
+        if carry:
+            before = alerts.sniper_hijack(risk.penetration(carry.early, launches, self.thresholds), self.thresholds)
+            now = now.join(before.select("token_address", "curve_address"), ["token_address", "curve_address"], "left_anti")
+        now.select(*ALERTS).write.mode("append").parquet(f"{self.folder}/alerts/batch_id={batch_id}")
+
     def _store_hours(self, ready: DataFrame, batch_id: int, carry: _Carry | None, newest) -> None:
         """Hourly fees of this batch, and an alert for every hour that has just closed on a spike."""
         self._overwrite(alerts.hourly_fees(ready), "hours", batch_id)
