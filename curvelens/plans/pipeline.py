@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from curvelens.contracts import GRAINS, Thresholds
+from curvelens.functions.scalars import day_text
 from curvelens.operators import alerts, curve, kpis, marts, quality, risk, staging, velocity, wallets
 from curvelens.operators.running import SliceSpec
 from curvelens.session import shared_dir
@@ -307,10 +308,11 @@ class Pipeline:
         return same
 
     def write_marts(self, folder: str, states_path: str | None = None) -> None:
-        """Full refresh of the four marts; the daily fact is partitioned by day."""
+        """Full refresh of the four marts; the facts are partitioned by day (``trade_date``)."""
         ready = self.materialised(states_path)
         folder = folder.rstrip("/")
-        write_mart(ready.fct_trades, f"{folder}/fct_trades")
+        trades = ready.fct_trades.withColumn("trade_date", day_text("block_timestamp"))
+        write_mart(trades, f"{folder}/fct_trades", partition_by="trade_date")
         write_mart(ready.fct_curve_daily, f"{folder}/fct_curve_daily", partition_by="trade_date")
         write_mart(ready.dim_wallets, f"{folder}/dim_wallets")
         write_mart(ready.dim_tokens, f"{folder}/dim_tokens")

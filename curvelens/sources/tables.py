@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curvelens import contracts
@@ -37,13 +36,10 @@ def read_chain_curves(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 def write_mart(df: DataFrame, path: str, partition_by: str | None = None, dynamic: bool = False) -> None:
     """Full refresh of one mart as Parquet; ``dynamic`` replaces only the partitions present in ``df``.
 
-    A partitioned mart is first spread by its partition column plus a salt, so that a day is written
-    by several tasks (a hot day does not fall to one) yet not by all of them.
+    A partitioned mart is first rebalanced by its partition column: adaptive execution gives a large
+    day as many tasks as its bytes ask for, and puts small days together.
     """
-    writer = df
-    if partition_by:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c.endswith("_address")]), F.lit(16))
-        writer = df.repartition(F.col(partition_by), salt)
+    writer = df.hint("rebalance", partition_by) if partition_by else df
     out = writer.write.mode("overwrite")
     if partition_by:
         out = out.partitionBy(partition_by)

@@ -510,6 +510,7 @@ union all select 'grain_dim_tokens', count(*), count(*) - count(distinct token_a
     "curve_state_stream": "",
 }
 SELECTS["curve_state_stream"] = SELECTS["curve_state"]
+SELECTS["marts_read_back"] = SELECTS["fct_trades"]
 
 
 def statements() -> dict[str, str]:
