@@ -109,7 +109,10 @@ def evidence(text: Column, model: Classifier | None) -> Column:
 def _spread(groups: DataFrame, up: list[str]) -> float:
     """Prior strength of group means around their parents', by moments; groups has __s, __n."""
     totals = groups.groupBy(*up).agg(F.sum("__s").alias("__us"), F.sum("__n").alias("__un"), F.count(F.lit(1)).alias("__k"))
-    both = groups.join(small(staged(totals, "site-totals")), up) if up else groups.crossJoin(F.broadcast(totals))
+    if up:
+        both = groups.join(small(staged(totals, "site-totals")), up)
+    else:  # one parent: its sums are three numbers
+        both = groups.withColumns({name: F.lit(v) for name, v in totals.first().asDict().items()})
     m, mean = F.col("__us") / F.col("__un"), F.col("__s") / F.col("__n")
     x = both.agg(
         F.sum(F.col("__n") * (mean - m) ** 2).alias("between"), F.sum(F.col("__n") * m * (1 - m)).alias("within"),
