@@ -9,7 +9,7 @@ exact shingle containment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -32,17 +32,13 @@ def sketches(sets: DataFrame, share: float = CONTAINMENT) -> DataFrame:
     return sets.select("item_id", F.explode(F.slice("__shingles", F.lit(1), k)).alias("__shingle"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
-    """One row per document and item whose shingles lie in the document to at least ``share``.
+def _row() -> Column:
+    """The key of a document: rows of one id and text are the same document, other texts are others."""
+    return F.xxhash64("doc_id", body())
 
-    Columns: doc_id, item_id, n_item_shingles, n_shared, containment.
 
-    * A null or empty text, of a document or an item, contains nothing and is contained nowhere.
-    * An item of fewer words than ``width`` is one shingle, met only by a document of just these words.
-    * Rows of one doc_id are one document, its shingles those of all of them; rows of one item_id with
-      different texts are searched apart and reported if one of them is found, the fullest first.
-    * Null ids are reported like others. Extra columns are ignored.
-    """
+def _found(docs: DataFrame, items: DataFrame, share: float, width: int) -> DataFrame:
+    """__row and the columns of ``leaks``."""
     sets = staged(
         item_shingles(items, width).withColumn("__item", F.xxhash64("item_id", "__shingles")), "items"
     )
@@ -50,31 +46,43 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT, width:
         sketches(sets.withColumn("item_id", F.col("__item")), share).groupBy("__shingle")
         .agg(F.collect_set("item_id").alias("__items")), "sketches",
     )
-    rows = docs.select("doc_id", shingles(words(body()), width).alias("__shingles"))
-    hits = rows.select("doc_id", F.explode("__shingles").alias("__shingle")).join(small(marks), "__shingle")
-    found = staged(hits.select("doc_id", F.explode("__items").alias("__item")).distinct(), "leak-candidates")
+    rows = docs.select(_row().alias("__row"), shingles(words(body()), width).alias("__shingles"))
+    hits = rows.select("__row", F.explode("__shingles").alias("__shingle")).join(small(marks), "__shingle")
+    found = staged(hits.select("__row", F.explode("__items").alias("__item")).distinct(), "leak-candidates")
 
     # Documents that met a sketch are read again; their shingles are compared with whole items.
-    wanted = small(found.select(F.col("doc_id").alias("__doc")).distinct())
-    again = docs.select("doc_id", body().alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
-    held = again.select("doc_id", F.explode(shingles(words(F.col("text")), width)).alias("__shingle")).distinct()
+    wanted = small(found.select("__row").distinct())
+    again = docs.select(_row().alias("__row"), "doc_id", body().alias("text")).join(wanted, "__row", "left_semi")
+    held = again.select("__row", "doc_id", F.explode(shingles(words(F.col("text")), width)).alias("__shingle")).distinct()
     whole = sets.select("__item", F.explode("__shingles").alias("__shingle"))
     shared = held.join(small(staged(whole, "item-shingles")), "__shingle")
-    met = found.select(F.col("doc_id").alias("__doc"), F.col("__item").alias("__of"))
-    counted = shared.groupBy("doc_id", "__item").agg(F.count(F.lit(1)).alias("n_shared")).join(
-        met, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__item") == F.col("__of")), "left_semi",
-    )
-    fullest = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("containment"), F.desc("n_item_shingles"))
+    counted = shared.groupBy("__row", "doc_id", "__item").agg(F.count(F.lit(1)).alias("n_shared")).join(found, ["__row", "__item"], "left_semi")
+    fullest = Window.partitionBy("__row", "item_id").orderBy(F.desc("containment"), F.desc("n_item_shingles"))
     return (
         counted.join(small(sets.select("__item", "item_id", "n_item_shingles")), "__item")
         .withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
         .where(F.col("n_shared") >= F.ceil(F.col("n_item_shingles") * share - 1e-9))
         .withColumn("__n", F.row_number().over(fullest)).where("__n = 1")
-        .select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
+        .select("__row", "doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
     )
 
 
+def leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
+    """One row per document and item whose shingles lie in the document to at least ``share``.
+
+    Columns: doc_id, item_id, n_item_shingles, n_shared, containment.
+
+    * A null or empty text, of a document or an item, contains nothing and is contained nowhere.
+    * An item of fewer words than ``width`` is one shingle, met only by a document of just these words.
+    * Rows of one doc_id (or of none) with different texts are documents of their own, each reported under
+      that id; rows with the same id and text are reported once. Rows of one item_id with different texts
+      are searched apart and reported if one of them is found, the fullest first.
+    * Extra columns are ignored.
+    """
+    return _found(docs, items, share, width).drop("__row")
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
-    """The documents that contain no item. Null ids follow the rules of ``leaks``."""
-    bad = staged(leaks(docs, items, share, width).select(F.col("doc_id").alias("__doc")).distinct(), "leaking")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    """The documents that contain no item; ids follow the rules of ``leaks``."""
+    bad = staged(_found(docs, items, share, width).select("__row").distinct(), "leaking")
+    return docs.withColumn("__row", _row()).join(bad, "__row", "left_anti").select(docs.columns)

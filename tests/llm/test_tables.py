@@ -164,6 +164,17 @@ def test_leak_edges(spark, edges, nothing):
     assert decontam.without_leaks(edges, none).count() == len(EDGES)
 
 
+def test_rows_of_one_id_leak_apart(spark):
+    item = prose("leak", 40)
+    w = item.split()
+    rows = [(None, item), (None, prose("clean", 30)), (None, None), (7, " ".join(w[:22])), (7, " ".join(w[18:])), (8, item), (8, prose("own", 30)), (8, item)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_shared) for r in decontam.leaks(documents(spark, rows), items).collect())
+    assert got == {(None, 1, 36): 1, (8, 1, 36): 1}
+    left = Counter((r.doc_id, r.text) for r in decontam.without_leaks(documents(spark, rows), items).collect())
+    assert left == Counter(r for r in rows if r[1] != item)
+
+
 def test_native_plans_hold_no_python(spark, sample):
     for df in (fingerprints.fingerprint_edits(sample), line_dedup.remove_repeated_lines(sample), sharding.shard(sample)):
         plan = df._jdf.queryExecution().toString()
