@@ -92,6 +92,20 @@ def test_fingerprints_of_edits(sample):
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.13 and abs(np.mean(next_off)) < 0.03
 
 
+def test_near_copies_are_told_apart(spark):
+    """Texts of likeness 0.70 and 0.80 to the next one lie on their sides of 0.75, but for a few."""
+    rows = []
+    for k in range(120):
+        size, same = (85, 70) if k % 2 else (90, 80)  # of two texts of that many words, so many equal: 70/100 and 80/100
+        rows += [(2 * k + 1, " ".join(f"w{k}x{i}" for i in range(size))), (2 * k, " ".join(f"w{k}x{i}" for i in range(size - same, 2 * size - same)))]
+    texts, got = dict(rows), {r.doc_id: r.near_next for r in fingerprints.fingerprint_edits(documents(spark, rows)).collect()}
+    want = {2 * k + 1: likeness(texts[2 * k + 1], texts[2 * k]) for k in range(120)}
+    assert {round(v, 2) for v in want.values()} == {0.7, 0.8}
+    off = np.array([got[i] - v for i, v in want.items()])
+    assert abs(off.mean()) < 0.015 and off.std() < 0.05
+    assert np.mean([(got[i] >= 0.75) == (v >= 0.75) for i, v in want.items()]) > 0.85
+
+
 def test_weighted_words_count_repetitions(spark):
     df = spark.createDataFrame([("b a B  c-a a\ta",), ("",), ("a" * 50 + " x" * 5000,)], "t string")
     got = [Counter({r.split(" ")[0]: len(r.split(" ")) for r in row[0]}) for row in df.select(fingerprints.weighted_words(F.col("t"))).collect()]
