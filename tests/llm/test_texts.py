@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from brute import likeness, words
@@ -263,6 +264,53 @@ def test_language_model_is_a_distribution():
     assert 0.2 < (2.0**-after).sum() <= 1 + 1e-9
 
 
+def _chunk(n, seed, texts=(0,)):
+    """A chunk of texts that begin at ``texts``, its coder and random sums of choices."""
+    rng = np.random.default_rng(seed)
+    of = np.minimum(rng.zipf(1.3, n), 500)
+    hashes = np.random.default_rng(0).integers(1, 1 << 63, 501).astype(np.uint64)[of]
+    counts = 1 + 5000 // of
+    cells = np.zeros((lm.CLASSES, 256), np.int64)
+    np.add.at(cells, (lm.class_of(1 + 5000 // np.arange(1, 501)), lm.member_of(np.random.default_rng(0).integers(1, 1 << 63, 501).astype(np.uint64)[1:])), 1)
+    sizes = np.diff([*texts, n])
+    return lm.Chunk([None] * len(sizes), np.zeros(len(sizes), bool), sizes, np.ones(len(sizes)), counts, hashes), lm.Coder(cells)
+
+
+def test_language_model_refines_every_block():
+    """Bits of short and long texts equal those of a plain walk with a step after every 32 tokens."""
+    rng = np.random.default_rng(2)
+    x, coder = _chunk(6000, 1, (0, 20, 700))
+    tables = [lm._values(*rng.integers(0, 9, (2, n))) for n in (lm.NODES, lm.SLOTS, lm.SLOTS)]
+    model = lm.Model(coder, tables, rng.normal(0.4, 0.1, (lm.GATES, lm.CONTEXTS + 1)))
+    ctx, classes, members = lm.contexts(x.hashes, x.first), lm.class_of(x.counts), lm.member_of(x.hashes)
+    for got, first, size in zip(model.bits(x), x.first, x.sizes):
+        want, w = -coder.shares(classes, members)[first : first + size].sum(), model.weights.astype(np.float32)
+        for lo in range(first, first + size, 32):
+            t = np.arange(lo, min(lo + 32, first + size))
+            slope, made = np.zeros(w.shape), np.zeros(lm.GATES)
+            for kind, here, node, bit in lm.paths(coder, classes[t], members[t]):
+                v, gate = model.predictions(kind, [c[t][here] for c in ctx], node)
+                p = 1 / (1 + np.exp(-np.clip((v * w[gate]).sum(axis=1), -14, 14)))
+                want -= np.log2(np.where(bit == 1, p, 1 - p)).sum()
+                np.add.at(slope, gate, (bit - p)[:, None] * v)
+                np.add.at(made, gate, 1)
+            w = (w + lm.RATE * slope / np.sqrt(np.maximum(made, 1))[:, None]).astype(np.float32)
+        assert math.isclose(got, want, rel_tol=1e-5)
+
+
+def test_language_model_starts_from_all_tokens(monkeypatch):
+    x, coder = _chunk(260_000, 3)
+    y, _ = _chunk(260_000, 4)
+    same = 210_000
+    y.hashes[:same], y.counts[:same] = x.hashes[:same], x.counts[:same]
+    sums = [np.random.default_rng(5).integers(1, 50, 2 * n).astype(np.int32) for n in (lm.NODES, lm.SLOTS, lm.SLOTS)]
+    tables = [lm._values(s[::2], s[1::2]) for s in sums]
+    monkeypatch.setattr(lm.Chunk, "of", classmethod(lambda cls, row, buckets: row["x"]))
+    part = lambda c: iter([pd.DataFrame({"x": [c]})])
+    one, two = (next(lm._start(part(c), coder, tables, sums, 16))["w"][0] for c in (x, y))
+    assert one != two
+
+
 def test_language_model_edges(spark, edges, nothing):
     got = lm.score(edges, F.col("doc_id") == 5).collect()
     assert len(got) == len(EDGES) and sum(r.held_out for r in got) == 1
