@@ -11,14 +11,14 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in columns.items()])
 
 
-_S, _L, _I, _D, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.TimestampNTZType()
+_S, _L, _D, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampNTZType()
 _WEI = T.DecimalType(38, 0)
 
 # --------------------------------------------------------------------------- raw inputs
 
 RAW_SWAPS = _schema(
     tx_hash=_S, block_number=_L, block_timestamp=_TS, token_address=_S, curve_address=_S, trader_address=_S,
-    trade_type=_S, base_asset_amount=_D, token_amount=_D, protocol_fee_amount=_D, gas_price_gwei=_D, tx_index=_I,
+    trade_type=_S, base_asset_amount=_D, token_amount=_D, protocol_fee_amount=_D, gas_price_gwei=_D, tx_index=_L,
 )
 
 RAW_CURVE_EVENTS = _schema(

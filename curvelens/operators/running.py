@@ -32,7 +32,7 @@ class SliceSpec:
 
 # Rows without a block or transaction number come last, as NULLS LAST would put them.
 _NO_BLOCK = 2**62
-_NO_INDEX = 2**31
+_NO_INDEX = 2**62
 
 TAPE_ORDER = ("block_number", "tx_index", "tx_hash")
 

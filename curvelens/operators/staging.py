@@ -21,7 +21,7 @@ def stage_swaps(raw: DataFrame) -> DataFrame:
     """Swaps with a positive token amount and a non-negative base amount, plus their execution price."""
     amounts = ["base_asset_amount", "token_amount", "protocol_fee_amount", "gas_price_gwei"]
     changed = (
-        _as("double", *amounts) | _as("int", "tx_index")
+        _as("double", *amounts) | _as("bigint", "tx_index")
         | _lowered("token_address", "curve_address", "trader_address") | {"trade_type": "upper(trade_type)"}
     )
     return (

@@ -49,7 +49,7 @@ def to_raw_swaps(decoded: DataFrame) -> DataFrame:
     return decoded.selectExpr(
         "tx_hash", "block_number", "block_time as block_timestamp", "token_address", "curve_address",
         "trader_address", "if(is_buy, 'BUY', 'SELL') as trade_type", "base_asset_amount", "token_amount",
-        "protocol_fee as protocol_fee_amount", "gas_price_gwei", "cast(null as int) as tx_index",
+        "protocol_fee as protocol_fee_amount", "gas_price_gwei", "cast(null as bigint) as tx_index",
     )
 
 

@@ -32,7 +32,7 @@ def _of_type(events: DataFrame, *types: str) -> DataFrame:
 
 
 def swaps(events: DataFrame) -> DataFrame:
-    """The event number is the tape index, kept inside the 32-bit index of the swap contract."""
+    """The event number is the tape index."""
     return _of_type(events, "purchase", "click", "error").selectExpr(
         "concat('0xSW_', event_id) as tx_hash",
         "block_number",
@@ -45,7 +45,7 @@ def swaps(events: DataFrame) -> DataFrame:
         "value * 1000 * (1 + event_id % 7) as token_amount",
         "value / 2000 as protocol_fee_amount",
         "cast(10 + event_id % 200 as double) as gas_price_gwei",
-        "cast(event_id % 2147483648 as int) as tx_index",
+        "cast(event_id as bigint) as tx_index",
     )
 
 

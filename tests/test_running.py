@@ -2,13 +2,15 @@
 
 import random
 from collections import defaultdict
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import created, raw_tables, rows, swap
 
 from curvelens import Pipeline
 from curvelens.operators.running import SliceSpec, running_totals
+from curvelens.operators.staging import stage_swaps
+from curvelens.sources import event_tape
 from pyspark.sql import functions as F
 
 
@@ -153,3 +155,12 @@ def test_running_totals_on_other_keys(spark):
     assert {r["tx_hash"]: (r["v_before"], r["v_after"], r["first_of_key"]) for r in got} == {
         "t1": (0.0, 2.0, True), "t2": (2.0, 5.0, False), "t3": (0.0, 4.0, True),
     }
+
+
+def test_event_numbers_beyond_32_bits_keep_their_order(spark):
+    first = 2**31 - 2
+    made = [(first + k, datetime(2024, 1, 1, 0, k), 1, "purchase", 10.0 + k, '{"k": 3}') for k in range(4)]
+    events = spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    staged = stage_swaps(event_tape.swaps(events)).orderBy("tx_index").collect()
+    assert [r.tx_hash for r in staged] == [f"0xSW_{first + k}" for k in range(4)]
+    assert [r.tx_index for r in staged] == [first + k for k in range(4)]
