@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import LAUNCHES, SWAPS, _min, created, raw_tables, rows, swap
+from launch_data import LAUNCHES, SWAPS, _min, created, raw_tables, rows, swap
 
 from curvelens import Pipeline
 
@@ -31,7 +31,7 @@ def test_staging_rules(spark):
 
 
 def test_transfer_rules(spark):
-    from conftest import T0
+    from launch_data import T0
 
     t = dict(tx_hash="0x1", block_number=1, block_timestamp=T0, token_address="0xT", from_address="0xA",
              to_address="0xB", amount=1.0)

@@ -1,6 +1,6 @@
 """Published and hand-computed values of the two-launch fixture."""
 
-from conftest import LAUNCHES, SWAPS, raw_tables, rows
+from launch_data import LAUNCHES, SWAPS, raw_tables, rows
 
 from curvelens import Pipeline, Thresholds
 from curvelens.contracts import (
@@ -163,7 +163,7 @@ def test_threshold_sets(spark):
 
 
 def test_last_price_and_sticky_status(spark):
-    from conftest import _min, swap
+    from launch_data import _min, swap
 
     sold = swap(10, 1200, _min(70), "nova", "0xwhale_1", "SELL", 40, 100e6)
     raw = raw_tables(spark, SWAPS + [sold], LAUNCHES)

@@ -11,10 +11,11 @@ def con(folder):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Queries of the corpus subpackage may go without: their own tests compare them otherwise."""
+    assert set(entry.queries()) - set(entry.CORPUS) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in entry.CORPUS])
 def test_parity(spark, con, folder, name):
     _, _, difference = parity.compare(spark, con, name, folder)
     assert difference is None, difference

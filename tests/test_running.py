@@ -5,7 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import created, raw_tables, rows, swap
+from launch_data import created, raw_tables, rows, swap
 
 from curvelens import Pipeline
 from curvelens.operators.running import SliceSpec, running_totals

@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import LAUNCHES, SWAPS, T0, raw_tables, rows, swap
+from launch_data import LAUNCHES, SWAPS, T0, raw_tables, rows, swap
 
 from curvelens import Pipeline, RawTables
 from curvelens.contracts import CURVE_STATE, RAW_SWAPS
@@ -81,7 +81,7 @@ def test_live_states_equal_batch(spark, tmp_path, tape, files):
 
 
 def test_legs_and_missing_times_are_kept(spark, tmp_path, tape):
-    from conftest import LAUNCHES, SWAPS, raw_tables, swap
+    from launch_data import LAUNCHES, SWAPS, raw_tables, swap
 
     from curvelens import Pipeline
 
