@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from brute import components, dedup_lines, leaks, shingles
-from conftest import EDGES, documents, lines, prose
+from corpus_data import EDGES, documents, lines, prose
 
 import corpus_pipeline
 from curvelens.llm import decontam, fingerprints, jaccard_join, line_dedup, queries, sharding, sql

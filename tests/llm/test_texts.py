@@ -11,7 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from brute import likeness, words
-from conftest import EDGES, documents, prose
+from corpus_data import EDGES, documents, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
