@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.llm import bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, lm, quality, sharding, sql, toxicity
+from curvelens.llm import (
+    alignment, bpe, decontam, fingerprints, jaccard_join, licenses, line_dedup, lm, packing, quality, sharding, spelling, sql, toxicity,
+)
 from curvelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,15 @@ def tokenizer_path(spark: SparkSession) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path(spark: SparkSession) -> str:
+    """The sentence piece model, from ``spark.curvelens.pieces`` or the installed public package."""
+    if found := spark.conf.get("spark.curvelens.pieces", None):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
@@ -78,8 +89,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(spark), with_ids=False)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(spark), pieces_path(spark), digests=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+OPERATORS = (
+    op1_toxicity, op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op9_lm,
+    op10_decontamination, op11_packing, op12_spelling, op13_alignment,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_fingerprints, op5_jaccard_join, op6_line_dedup, op7_sharding, op8_licences, op9_lm, op10_decontamination)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
