@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelens.llm.bpe import byte_alphabet
 from curvelens.llm.common import ship, staged
-from curvelens.llm.stretches import LONGEST, REMEMBERED, cut, library, portions, splits_here
+from curvelens.llm.stretches import ByteLevel, Memory, cut, portions, spelled
 
 PIECE_SPACE = "▁"
+#: Stretches a worker remembers in each of two generations.
+REMEMBERED = 150_000
 CHUNK = "chunk long, docs binary, pairs binary, holders binary, bounds binary, at binary, times binary"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
@@ -66,45 +68,48 @@ class Stretch:
         self.groups, self.counts, self.links = groups, counts, links
 
 
+NOTHING = Stretch("", (0, 0, 0), np.empty(0, np.int64))
+
+
 class Aligner:
     def __init__(self, byte_level: str, piece_model: str):
         import sentencepiece
 
-        self.a = library(byte_level)
-        self.a.encode_special_tokens = True
+        self.a = ByteLevel(byte_level, specials=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-        alphabet = byte_alphabet()
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self.a_bytes = self.a.bytes_of
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(PIECE_SPACE, " ").encode() for i, p in enumerate(names)]
         self.space = self.b.piece_to_id(PIECE_SPACE)
         inner = any(PIECE_SPACE in p.lstrip(PIECE_SPACE) or "\n" in p for p in names)
-        self.cuts = splits_here(byte_level) and not inner
+        self.cuts = self.a.cuts and not inner
         size = max(len(self.a_bytes), len(names))
         self.said = {end: np.array([f"{i}{end}" for i in range(size)], object) for end in (",", "|", ";", "")}
         self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, Stretch | None] = {}
+        self.memory = Memory(REMEMBERED)
 
-    def _ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+    def fresh(self, stretches: list[str]) -> list[Stretch | None]:
+        """Alignments of stretches as ``cut`` gives them."""
+        full = [spelled(s) for s in stretches]
         # the model adds a space: not part of a stretch that begins with a line feed
-        return a, [x if s[0] == " " else x[1:] if x[:1] == [self.space] else [] for s, x in zip(stretches, b)]
+        b = self.b.encode([s if f[0] == "\n" else f[1:] for s, f in zip(stretches, full)], num_threads=1) if full else []
+        b = [(x[1:] if x[:1] == [self.space] else []) if f[0] == "\n" else x for f, x in zip(full, b)]
+        return self._matched(full, [self.a.stretch(f) for f in full], b)
 
-    def fresh(self, stretches: list[str]) -> list[Stretch | None]:
-        """Alignments of stretches that begin with a space or line feed; None where a side does not give their bytes."""
+    def whole(self, texts: list[str]) -> list[Stretch | None]:
+        """Alignments of whole texts."""
+        full = [" " + t for t in texts]
+        return self._matched(full, [self.a.ids(f).tolist() for f in full], self.b.encode(texts, num_threads=1) if texts else [])
+
+    def _matched(self, texts: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[Stretch | None]:
+        """None where a side does not give the bytes of its text."""
         a, b, good = [], [], []
-        for s, x, y in zip(stretches, *self._ids(stretches)):
+        for s, x, y in zip(texts, a_ids, b_ids):
             raw = s.encode()
-            if b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]):
+            good.append(b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]))
+            if good[-1]:
                 a.append(x)
                 b.append(y)
-                good.append(True)
-            else:
-                good.append(False)
         made = iter(self._together(a, b) if a else [])
         return [next(made) if ok else None for ok in good]
 
@@ -139,34 +144,20 @@ class Aligner:
             at, from_link = to, to_link
         return out
 
-    def documents(self, texts: list[str]) -> tuple[list[list[int]], list[Stretch]]:
+    def documents(self, texts: list[str]) -> tuple[list[np.ndarray], list[Stretch]]:
         """The stretches of the texts, and each text as places in that list; a text without tokens has none."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        parts = [self._parts(t) for t in texts]
-        self._learn({p for part in parts for p in part if p not in self.known})
-        whole = {k: " " + t for k, t in enumerate(texts) if len(parts[k]) > 1 and any(self.known[p] is None for p in parts[k])}
-        self._learn({t for t in whole.values() if t not in self.known})
-        place: dict[str, int] = {}
-        out = []
-        for k, part in enumerate(parts):
-            part = [whole[k]] if k in whole else part
-            out.append([place.setdefault(p, len(place)) for p in part] if all(self.known[p] for p in part) else [])
-        held = [self.known[p] for p in place]
-        for p in [p for p in self.known if len(p) > LONGEST]:
-            del self.known[p]
-        return out, held
-
-    def _parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        found = cut(text) if self.cuts else None
-        return [" " + text] if found is None else [" " + found[0], *found[1:]]
-
-    def _learn(self, stretches: set[str]) -> None:
-        new = sorted(stretches)
-        if new:
-            self.known.update(zip(new, self.fresh(new)))
+        parts = [cut(t) if t and self.cuts else None for t in texts]
+        distinct = list(dict.fromkeys(chain.from_iterable(filter(None, parts))))
+        known = self.memory.learn(distinct, self.fresh)
+        held = [known[p] for p in distinct]
+        bad = {p for p, found in zip(distinct, held) if found is None}
+        place = dict(zip(distinct, range(len(distinct))))
+        out = [np.fromiter(map(place.__getitem__, part or ()), np.int64, len(part or ())) for part in parts]
+        odd = [k for k, part in enumerate(parts) if texts[k] and (part is None or bad and not bad.isdisjoint(part))]
+        for k, found in zip(odd, self.whole([texts[k] for k in odd])):
+            out[k] = np.array([len(held)] if found else [], np.int64)
+            held.append(found)
+        return out, [x or NOTHING for x in held]
 
 
 @cache
@@ -182,10 +173,10 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def linked_pairs(docs: list[list[int]], held: list[Stretch]) -> tuple[np.ndarray, ...]:
+def linked_pairs(docs: list[np.ndarray], held: list[Stretch]) -> tuple[np.ndarray, ...]:
     """Distinct pairs, how many documents hold each, and by document: bounds, places of its pairs, times."""
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    flat = np.fromiter((p for d in docs for p in d), np.int64, len(owner))
+    flat = np.concatenate([*docs, np.empty(0, np.int64)])
     code, often = np.unique(owner * max(len(held), 1) + flat, return_counts=True)  # each stretch of a document once
     owner, flat = np.divmod(code, max(len(held), 1))
     sizes = np.array([len(s.links) for s in held], np.int64)
@@ -211,12 +202,12 @@ def _portioned(batches: Iterator[pa.RecordBatch], byte_level: str, piece_model:
     align, n = _aligner(byte_level, piece_model), TaskContext.get().partitionId() << 32
     for batch, texts in portions(batches):
         docs, held = align.documents(texts)
-        counts = np.array([s.counts for s in held], np.int64).reshape(-1, 3)
-        sums = [[int(x) for x in counts[d].sum(axis=0)] if d else [0, 0, 0] for d in docs]
-        links = [sum(len(held[p].links) for p in d) for d in docs]
-        groups = [";".join([held[p].groups for p in d]) for d in docs]
+        counts = np.array([(*s.counts, len(s.links)) for s in held], np.int64).reshape(-1, 4)
+        sums = np.array([counts[d].sum(axis=0) for d in docs], np.int64).reshape(-1, 4)
+        said = [s.groups for s in held]
+        groups = [";".join(map(said.__getitem__, d.tolist())) for d in docs]
         named = pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array([s[k] for s in sums], pa.int64()) for k in range(3)), pa.array(links, pa.int64()),
+            [batch.column("doc_id"), *(pa.array(sums[:, k]) for k in range(4)),
              pa.array(list(map(say, groups)), pa.string())],
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"],
         )

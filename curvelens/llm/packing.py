@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelens.llm.common import ship, staged
-from curvelens.llm.stretches import LONGEST, REMEMBERED, cut, library, portions, splits_here
+from curvelens.llm.stretches import ByteLevel, portions
 
 CAPACITY, END = 1024, 2
 #: Groups in which documents of one length are numbered: about so many in all, and rows of the smallest.
@@ -170,40 +170,17 @@ def slots(kinds: Counter[Kind]) -> pd.DataFrame:
 # --- documents
 
 
-class Encoder:
-    """Packed ids (little-endian unsigned 32-bit) of texts, as the tokenizers library gives them."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.cuts = library(path), splits_here(path)
-        self.known: dict[str, bytes] = {}
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [(cut(t) if self.cuts else None) or [t] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({p for part in parts for p in part if p not in self.known})
-        self.known.update(zip(new, self._fresh(new)))
-        out = [b"".join(map(self.known.__getitem__, part)) for part in parts]
-        for p in new:
-            if len(p) > LONGEST:
-                self.known.pop(p, None)
-        return out
-
-
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _tokenizer(path: str) -> ByteLevel:
+    return ByteLevel(path, specials=True)
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, last = _encoder(path), np.array([end], "<u4").tobytes()
+    tokenizer, last = _tokenizer(path), np.array([end], "<u4").tobytes()
     for batch, texts in portions(batches):
         rows: list[tuple] = []
-        for row, ids in enumerate(encode(texts)):
-            ids += last
+        for row, text in enumerate(texts):
+            ids = tokenizer.ids(text).astype("<u4", copy=False).tobytes() + last
             n = len(ids) // 4
             first = n if n <= capacity else (n - 1) % capacity + 1
             for piece, stop in enumerate(range(first, n + 1, capacity)):

@@ -85,14 +85,49 @@ def test_exchange_is_the_best_of_all_choices():
             assert sum(got[1]) - sum(got[2]) == want and not Counter(got[1]) - Counter(dict(a)) and not Counter(got[2]) - Counter(dict(b))
 
 
-def test_stretches_are_encoded_on_their_own(library):
+def test_ranks_give_the_ids_of_the_library(library):
     rng = random.Random(3)
-    parts = ["a", "the", " ", " ", "  ", "\n", "'", "'re", "é", "ß", "12", "!", "--", "<|endoftext|>", "中文", "🙂", "\t", "\x1f", "\xa0", "\x00", "word\n"]
-    encode = packing.Encoder(PATH)
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    assert sum(stretches.cut(t) is not None for t in texts) > 100
-    for text, ids in zip(texts, encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    parts = ["a", "the", " ", " ", "  ", "\n", "'", "'re", "é", "ß", "12", "½", "!", "--", "<|endoftext|>", "<|endof", "中文", "🙂", "\t", "\r\n", "\x1c", "\x1f",
+             "\x85", "\xa0", "\u2028", "\u3000", "\u180e", "\u200b", "\x00", "word\n", "x" * 70, "=" * 300, "e\u0301", "Ω", "١٢"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD7FF), rng.randrange(0x10000, 0x10FFFF)])) for _ in range(40)) for _ in range(2000)]
+    for specials in (True, False):
+        tokenizer = stretches.ByteLevel(PATH, specials)
+        library.encode_special_tokens = not specials
+        assert tokenizer.cuts
+        for text in texts:
+            assert tokenizer.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    library.encode_special_tokens = False
+
+
+def test_stretches_are_encoded_on_their_own(library):
+    rng = random.Random(4)
+    parts = ["a", "the", " ", " ", "  ", "\n", "'", "'re", "é", "12", "!", "--", "中文", "\t", "\x1f", "\xa0", "word\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    tokenizer, cut = stretches.ByteLevel(PATH, False), 0
+    for text in texts:
+        if (found := stretches.cut(text)) is not None:
+            cut += len(found) > 1
+            full = [stretches.spelled(s) for s in found]
+            assert "".join(full) == " " + text
+            assert sum(map(tokenizer.stretch, full), []) == library.encode(" " + text, add_special_tokens=False).ids
+    assert cut > 100
+
+
+def test_memory_is_bounded_and_right():
+    memory, made = stretches.Memory(50), []
+
+    def fresh(new):
+        made.extend(new)
+        return [s.upper() for s in new]
+
+    rng = random.Random(1)
+    for _ in range(200):
+        wanted = {rng.choice(["w", "x" * 80]) + str(rng.randrange(60)) for _ in range(20)}
+        known = memory.learn(wanted, fresh)
+        assert all(known[s] == s.upper() for s in wanted)
+        assert len(memory.now) + len(memory.old) <= 2 * (50 + 20)
+    assert len(made) < 200 * 20
 
 
 def check(rows, texts, library, capacity=1024):
