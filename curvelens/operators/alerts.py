@@ -18,11 +18,17 @@ def _alert(kind: str, severity: str, metric: Column, threshold: Column | float)
 
 
 def trade_alerts(tracked_states: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    return keyed_trade_alerts(tracked_states, thresholds).select(*ALERTS)
+
+
+def keyed_trade_alerts(tracked_states: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Whale inflow, dev dumping and imminent graduation, in one pass over the trades.
 
     * whale inflow: a buy above 15 % of what remained to collect before it;
     * dev dumping: the sale that takes the creator over 5 % of supply on a curve not graduated;
     * imminent graduation: the first trade that lifts the fill to 90 %.
+
+    ``alert_key`` names a trade of which each raises its own alert; it is empty where a curve raises one.
     """
     t = thresholds
     base, supply = F.col("base_asset_amount"), F.col("initial_token_supply")
@@ -50,13 +56,13 @@ def trade_alerts(tracked_states: DataFrame, thresholds: Thresholds = Thresholds(
     # carry their trade in the key, so each raises its alert and they are never gathered by curve.
     trade = F.concat_ws("|", "block_number", "tx_index", "tx_hash", "trader_address", "base_asset_amount", "token_amount")
     once = F.when(F.col("alert.alert_type") == "WHALE_INFLOW", trade).otherwise(F.lit(""))
-    first = Window.partitionBy("curve_address", "alert.alert_type", "once").orderBy(position())
+    first = Window.partitionBy("curve_address", "alert.alert_type", "alert_key").orderBy(position())
     return (
-        raised.withColumn("once", once)
+        raised.withColumn("alert_key", once)
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") == 1)
-        .select("alert.*", "token_address", "curve_address", "event_ts", "tx_hash")
-        .select(*ALERTS)
+        .select("alert.*", "token_address", "curve_address", "event_ts", "tx_hash", "alert_key")
+        .select(*ALERTS, "alert_key")
     )
 
 
@@ -79,16 +85,18 @@ def hourly_fees(swaps: DataFrame) -> DataFrame:
     )
 
 
-def fee_spike(hours: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+def fee_spike(hours: DataFrame, thresholds: Thresholds = Thresholds(), since: int | None = None) -> DataFrame:
     """Hours (from :func:`hourly_fees`) whose fees exceed three times the mean of the 168 before them.
 
     Hours without trades count as zero; the first 168 hours raise nothing. The window holds one row
-    per hour of the tape (under 9,000 a year), whatever the number of trades.
+    per hour of the tape (under 9,000 a year), whatever the number of trades. ``since`` is the first hour
+    of the tape where ``hours`` begin later.
     """
     n = thresholds.fee_spike_hours
     tape = Window.orderBy("hour")
     mean = F.coalesce(F.sum("hourly_fees").over(tape.rangeBetween(-n, -1)), F.lit(0.0)) / n
-    history = F.col("hour") - F.min("hour").over(tape.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min("hour").over(tape.rowsBetween(Window.unboundedPreceding, 0)) if since is None else F.lit(since)
+    history = F.col("hour") - first
     return (
         hours.withColumns({"trailing_mean": mean, "history": history})
         .select(
@@ -97,3 +105,14 @@ def fee_spike(hours: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFr
             .alias("is_spike"),
         )
     )
+
+
+def fee_alerts(spikes: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """The spikes of :func:`fee_spike` as alert rows."""
+    text = F.lit(None).cast("string")
+    return spikes.where("is_spike").select(
+        F.lit("FEE_SPIKE").alias("alert_type"), F.lit("Info").alias("severity"), text.alias("token_address"),
+        text.alias("curve_address"), F.col("hour_start").alias("event_ts"), text.alias("tx_hash"),
+        F.col("hourly_fees").alias("metric_value"),
+        (F.col("trailing_mean") * thresholds.fee_spike_factor).alias("threshold"),
+    )

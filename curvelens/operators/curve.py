@@ -275,7 +275,8 @@ def inflow_15m(swaps: DataFrame, thresholds: Thresholds = Thresholds()) -> DataF
 def fill_leaderboard(swaps: DataFrame, meta: DataFrame, minutes: int = 1440, top: int | None = None) -> DataFrame:
     """Curves ranked by how much they filled over the last ``minutes`` of the tape; the first ``top`` if given.
 
-    Gains have two decimals, so ranks come from counts by gain and beginning of the address.
+    Ranks come from counts by gain and by the beginning of the address. Gains have two decimals between -100 and
+    100, so at most 20,001 counts are summed up in one place.
     """
     as_of = swaps.agg(F.max("block_timestamp")).scalar()
     recent = F.col("block_timestamp") > as_of - F.make_dt_interval(mins=F.lit(minutes))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelens.functions.scalars import count_if, flag, minutes_between, ratio, rounded
+from curvelens.contracts import Thresholds
+from curvelens.functions.scalars import count_if, day_text, flag, minutes_between, position, ratio, rounded, steady
+from curvelens.operators.velocity import DAY_KEY, velocity_index
 
 
 def dash_active_curves(dim_tokens: DataFrame) -> DataFrame:
@@ -34,16 +36,51 @@ def dash_wallet_segments(dim_wallets: DataFrame) -> DataFrame:
     )
 
 
-def kpi_summary(dim_tokens: DataFrame, token_velocity: DataFrame, dim_wallets: DataFrame) -> DataFrame:
-    """The four headline numbers of the dashboard in one row."""
-    return dim_tokens.agg(
-        F.count("token_address").alias("monitored_launches"),
-        F.sum("current_base_in_curve").alias("total_base_locked"),
-    ).withColumns(
-        {
-            "tracked_wallets": dim_wallets.agg(F.count("*")).scalar(),
-            "avg_token_velocity_index": token_velocity.agg(F.avg("token_velocity_index")).scalar(),
-        }
+def kpi_summary(
+    states: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds(), close: str = "max"
+) -> DataFrame:
+    """The four headline numbers of the dashboard in one row, from one pass over the trade states.
+
+    Each row of a day and trader counts once for its day and once for its wallet; the two kinds are told apart
+    by a tag and summed by the same aggregates.
+    """
+    last = close == "last"
+    price = F.max_by("spot_price_after_trade", position()) if last else F.max("spot_price_after_trade")
+    days = states.groupBy(*DAY_KEY[:2], day_text("block_timestamp").alias("trade_date"), "trader_address").agg(
+        F.sum("base_asset_amount").alias("volume"), price.alias("price"),
+        *([F.max(position()).alias("at")] if last else []), F.max("cumulative_base_collected").alias("collected"),
+    )
+    none = F.lit(None).cast("string")
+    kinds = F.array(
+        F.struct(F.lit(True).alias("daily"), *DAY_KEY, none.alias("trader_address")),
+        F.struct(F.lit(False).alias("daily"), *[none.alias(c) for c in DAY_KEY], F.col("trader_address")),
+    )
+    measures = [c for c in days.columns if c not in (*DAY_KEY, "trader_address")]
+    tagged = days.select(F.explode(kinds).alias("k"), *measures).groupBy("k").agg(
+        F.sum("volume").alias("volume"), (F.max_by("price", "at") if last else F.max("price")).alias("price"),
+        F.max("collected").alias("collected"),
+    ).select("k.*", "volume", "price", "collected")
+    launches = meta.groupBy("token_address", "curve_address").agg(
+        F.max("initial_token_supply").alias("supply"), F.count(F.lit(1)).alias("launches")
+    )
+    supplies = launches.select("curve_address", "supply")
+    index = velocity_index("volume", F.col("supply") * F.col("price"))
+    tokens = (
+        tagged.join(supplies, "curve_address", "left").withColumn("index", F.when(F.col("daily"), index))
+        .groupBy("daily", "token_address", "curve_address")
+        .agg(
+            F.sum("index").alias("index_sum"), F.count("index").alias("index_count"), F.max("collected").alias("collected"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .join(launches.drop("supply"), ["token_address", "curve_address"], "left")
+    )
+    locked = F.when(F.col("daily"), steady(F.coalesce("collected", F.lit(0.0)), 4) * F.col("launches"))
+    known = meta.agg(F.count("token_address").alias("n"), F.count(F.lit(1)).alias("rows")).select(F.struct("n", "rows")).scalar()
+    return tokens.agg(
+        known["n"].alias("monitored_launches"),
+        F.coalesce(F.sum(locked), F.when(known["rows"] > 0, 0.0)).alias("total_base_locked"),
+        F.coalesce(F.sum(F.when(~F.col("daily"), F.col("rows"))), F.lit(0)).alias("tracked_wallets"),
+        ratio(F.sum("index_sum"), F.sum("index_count")).alias("avg_token_velocity_index"),
     )
 
 

@@ -11,6 +11,8 @@ from curvelens.operators.curve import status_label
 from curvelens.operators.velocity import daily_velocity, trader_days, transactions
 from curvelens.operators.wallets import WALLET_KEY, is_sniper
 
+TOKEN_KEY = ["token_address", "curve_address"]
+
 
 def fct_trades(states: DataFrame, wallets: DataFrame) -> DataFrame:
     """Every trade with the cohort and flags of its wallet.
@@ -37,7 +39,18 @@ def fct_curve_daily(
     The metrics come from the trades alone. Cohorts are joined to wallet-day sums; a wallet with a
     row for each of two creators counts for both, as in the trade fact.
     """
-    days = trader_days(states, close)
+    return daily_fact(trader_days(states, close), swaps, wallets, meta, thresholds, close)
+
+
+def daily_fact(
+    days: DataFrame,
+    swaps: DataFrame,
+    wallets: DataFrame,
+    meta: DataFrame,
+    thresholds: Thresholds = Thresholds(),
+    close: str = "max",
+) -> DataFrame:
+    """:func:`fct_curve_daily` from trader-days; ``swaps`` serve to count transactions."""
     snipers = wallets.where(F.col("behavioral_cohort") == "SNIPER").groupBy(*WALLET_KEY).agg(F.count(F.lit(1)).alias("as_sniper"))
     marked = days.join(snipers, WALLET_KEY, "left").withColumn("sniped", F.col("volume") * F.coalesce("as_sniper", F.lit(0)))
     return (
@@ -63,8 +76,14 @@ def dim_tokens(
     the trades of a curve with two creators stand once for each (``wallet_rows`` are the wallet
     clusters that the fact joins); ``'states'`` sums each state once.
     """
-    wallets = states.groupBy(*WALLET_KEY).agg(
-        (F.min("block_number") - F.min("creation_block")).alias("blocks_since_curve_creation"),
+    return token_rows(token_wallets(states), transactions(swaps, TOKEN_KEY), wallet_rows, meta, thresholds, totals)
+
+
+def token_wallets(states: DataFrame) -> DataFrame:
+    """What each wallet adds to its token: one mergeable row per wallet."""
+    return states.groupBy(*WALLET_KEY).agg(
+        F.min("block_number").alias("first_block"),
+        F.min("creation_block").alias("creation_block"),
         F.sum("base_asset_amount").alias("volume"),
         F.sum("protocol_fee_amount").alias("fees"),
         F.max("cumulative_base_collected").alias("collected"),
@@ -72,6 +91,26 @@ def dim_tokens(
         F.max("graduated").alias("graduated"),
         F.max("spot_price_after_trade").alias("price"),
     )
+
+
+def merged_token_wallets(rows: DataFrame) -> DataFrame:
+    """:func:`token_wallets` from partial rows of the same wallets."""
+    return rows.groupBy(*WALLET_KEY).agg(
+        *[F.min(c).alias(c) for c in ("first_block", "creation_block")], *[F.sum(c).alias(c) for c in ("volume", "fees")],
+        *[F.max(c).alias(c) for c in ("collected", "fill", "graduated", "price")],
+    )
+
+
+def token_rows(
+    wallets: DataFrame,
+    counted: DataFrame,
+    wallet_rows: DataFrame,
+    meta: DataFrame,
+    thresholds: Thresholds = Thresholds(),
+    totals: str = "fact",
+) -> DataFrame:
+    """:func:`dim_tokens` from one row per wallet and the number of transactions of each token."""
+    wallets = wallets.withColumn("blocks_since_curve_creation", F.col("first_block") - F.col("creation_block")).drop("creation_block")
     if totals == "fact":
         copies = wallet_rows.groupBy(*WALLET_KEY).agg(F.count(F.lit(1)).alias("copies"))
         times = F.coalesce("copies", F.lit(1))
@@ -80,7 +119,7 @@ def dim_tokens(
         raise ValueError(f"unknown totals: {totals}")
     known = F.col("trader_address").isNotNull() & F.col("token_address").isNotNull()
     sniper = is_sniper(thresholds) & known
-    lifetime = wallets.groupBy("token_address", "curve_address").agg(
+    lifetime = wallets.groupBy(*TOKEN_KEY).agg(
         F.count("trader_address").alias("traders"),
         F.sum("volume").alias("volume"),
         F.sum("fees").alias("fees"),
@@ -93,8 +132,8 @@ def dim_tokens(
     )
     zero = F.lit(0.0)
     return (
-        meta.join(lifetime, ["token_address", "curve_address"], "left")
-        .join(transactions(swaps, ["token_address", "curve_address"]), ["token_address", "curve_address"], "left")
+        meta.join(lifetime, TOKEN_KEY, "left")
+        .join(counted, TOKEN_KEY, "left")
         .withColumns(
             {
                 "total_trades": F.coalesce("tx_count", F.lit(0).cast("long")),

@@ -67,6 +67,16 @@ def trader_days(states: DataFrame, close: str = "max") -> DataFrame:
     )
 
 
+def merged_trader_days(days: DataFrame, close: str = "max") -> DataFrame:
+    """:func:`trader_days` from partial rows of the same days."""
+    extra = [F.max("last_position").alias("last_position"), F.max_by("last_price", "last_position").alias("last_price")]
+    return days.groupBy(*DAY_KEY, "trader_address").agg(
+        *[F.sum(c).alias(c) for c in ("volume", "tokens", "price_sum", "price_count")],
+        *[F.max(c).alias(c) for c in ("price_max", "fill_max", "graduated")],
+        *(extra if close == "last" else []),
+    )
+
+
 def _day_measures(close: str) -> list[Column]:
     price = F.max("price_max") if close == "max" else F.max_by("last_price", "last_position")
     return [
@@ -81,6 +91,13 @@ def _day_measures(close: str) -> list[Column]:
     ]
 
 
+def _with_transactions(days: DataFrame, trades: DataFrame) -> DataFrame:
+    """Adds the day's distinct transactions as ``tx_count``; days without an address or date count too."""
+    counted = transactions(trades, DAY_KEY).withColumnsRenamed({name: f"_{name}" for name in DAY_KEY})
+    same_day = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in DAY_KEY])
+    return days.join(counted, same_day).drop(*[f"_{name}" for name in DAY_KEY])
+
+
 def daily_velocity(
     days: DataFrame,
     trades: DataFrame,
@@ -100,13 +117,9 @@ def daily_velocity(
         F.max("initial_token_supply").alias("total_token_supply")
     )
     cap = F.col("total_token_supply") * F.col("close_price")
-    counted = transactions(trades.withColumn("trade_date", day_text("block_timestamp")), DAY_KEY)
-    counted = counted.withColumnsRenamed({name: f"_{name}" for name in DAY_KEY})
-    same_day = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in DAY_KEY])
+    measured = days.groupBy(*DAY_KEY).agg(*_day_measures(close), *(more or []))
     return (
-        days.groupBy(*DAY_KEY)
-        .agg(*_day_measures(close), *(more or []))
-        .join(counted, same_day).drop(*[f"_{name}" for name in DAY_KEY])
+        _with_transactions(measured, trades.withColumn("trade_date", day_text("block_timestamp")))
         .join(supplies.drop("token_address"), "curve_address")
         .withColumns(
             {
@@ -128,16 +141,24 @@ def token_velocity(
 
 
 def velocity_profile(log: DataFrame, curves: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Daily velocity at the unweighted average execution price, from the decoded logs, newest first."""
-    days = (
-        log.groupBy("token_address", "curve_address", day_start("block_time").alias("trade_date"))
-        .agg(
-            F.countDistinct("tx_hash").alias("tx_count"),
-            F.countDistinct("trader_address").alias("active_traders_count"),
-            F.sum("base_asset_amount").alias("volume"),
-            F.sum("token_amount").alias("tokens"),
-            F.avg(ratio("base_asset_amount", "token_amount")).alias("average_price"),
-        )
+    """Daily velocity at the unweighted average execution price, from the decoded logs, newest first.
+
+    Trades are summed per trader first and transactions counted by themselves, so nothing is expanded.
+    """
+    dated = log.withColumn("trade_date", day_start("block_time"))
+    price = ratio("base_asset_amount", "token_amount")
+    per_trader = dated.groupBy(*DAY_KEY, "trader_address").agg(
+        F.sum("base_asset_amount").alias("volume"), F.sum("token_amount").alias("tokens"),
+        F.sum(price).alias("price_sum"), F.count(price).alias("price_count"),
+    )
+    days = _with_transactions(
+        per_trader.groupBy(*DAY_KEY).agg(
+            F.count("trader_address").alias("active_traders_count"),
+            F.sum("volume").alias("volume"),
+            F.sum("tokens").alias("tokens"),
+            ratio(F.sum("price_sum"), F.sum("price_count")).alias("average_price"),
+        ),
+        dated,
     )
     cap = F.col("initial_token_supply") * F.col("average_price")
     v = F.col("token_velocity")

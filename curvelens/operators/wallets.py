@@ -10,7 +10,7 @@ from curvelens.functions.scalars import (
     count_if, first_match, flag, is_buy, is_sell, ratio, rounded, signed, steady, sum_if,
 )
 from curvelens.operators.ranks import ranked
-from curvelens.operators.skew import spread_join
+from curvelens.operators.skew import BUCKETS, spread_join
 
 WALLET_KEY = ["token_address", "curve_address", "trader_address"]
 
@@ -34,11 +34,21 @@ def wallet_measures() -> list[Column]:
     ]
 
 
+def merged_measures() -> list[Column]:
+    """:func:`wallet_measures` from partial rows that carry ``gas_sum`` and ``gas_count`` instead of the mean."""
+    least, most = ["first_trade_timestamp", "first_trade_block"], ["last_trade_timestamp", "max_gas_gwei"]
+    summed = [
+        "buy_count", "sell_count", "total_base_invested", "total_base_realized", "current_token_balance", "volume_base",
+        "gas_sum", "gas_count",
+    ]
+    return [*(F.min(c).alias(c) for c in least), *(F.max(c).alias(c) for c in most), *(F.sum(c).alias(c) for c in summed)]
+
+
 def is_sniper(thresholds: Thresholds) -> Column:
     return F.col("blocks_since_curve_creation") <= thresholds.sniper_blocks
 
 
-def _creators(meta: DataFrame) -> DataFrame:
+def creators(meta: DataFrame) -> DataFrame:
     """One row per curve and creator, with the curve's first block and its number of creation events."""
     curve = Window.partitionBy("curve_address")
     return meta.select(
@@ -55,11 +65,14 @@ def wallet_base(swaps: DataFrame, meta: DataFrame, thresholds: Thresholds = Thre
     the curve is not needed, and only wallet rows meet the join. A curve created n times counts each
     of its trades n times, as in the trade table.
     """
+    return classified(swaps.groupBy(*WALLET_KEY).agg(*wallet_measures()), meta, thresholds)
+
+
+def classified(measured: DataFrame, meta: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """:func:`wallet_base` from one row of measures per wallet."""
     counted = ["buy_count", "sell_count", "total_base_invested", "total_base_realized", "current_token_balance",
                "volume_base"]
-    wallets = spread_join(
-        swaps.groupBy(*WALLET_KEY).agg(*wallet_measures()), _creators(meta), ["curve_address"], by="trader_address"
-    )
+    wallets = spread_join(measured, creators(meta), ["curve_address"], by="trader_address")
     by_creator = F.col("trader_address").eqNullSafe(F.col("creator_address")) & F.col("creator_address").isNotNull()
     buys, sells, balance = F.col("buy_count"), F.col("sell_count"), F.col("current_token_balance")
     return (
@@ -278,16 +291,39 @@ def supply_concentration(
         raise ValueError(f"unknown denominator: {denominator}")
     pct = F.col("pct_supply_held")
     sniper = F.col("wallet_cohort").isin("BLOCK_0_1_MEV_SNIPER", "EARLY_BOT_SNIPER")
-    spread = holders.groupBy(*key).agg(
-        F.countDistinct("trader_address").alias("unique_holders"),
-        count_if(sniper).alias("sniper_count"),
-        sum_if(sniper, "current_token_balance").alias("sniper_held_tokens"),
-        steady(F.sum(F.pow(F.greatest(F.lit(0.0), pct), F.lit(2.0))), 2).alias("concentration_hhi"),
+    # A curve's holders are dealt into parts. A part's sums and its largest holders are one short row, so a
+    # curve is gathered from BUCKETS of those, whatever the number of its holders.
+    salted = holders.withColumn("_part", F.pmod(F.xxhash64("trader_address"), F.lit(BUCKETS)))
+    largest = Window.partitionBy("curve_address", "_part").orderBy(F.desc("current_token_balance"), "trader_address")
+    top = thresholds.top_holders
+    holder = F.struct((-F.col("current_token_balance")).alias("order"), "trader_address", "token_address", pct.alias("pct"))
+    same_holder = Window.partitionBy("curve_address", "_part", "token_address", "trader_address").orderBy(F.lit(0))
+    parts = (
+        salted.withColumn("_nth", F.row_number().over(largest))
+        .withColumn("_once", F.row_number().over(same_holder) == 1)
+        .groupBy(*key, "_part")
+        .agg(
+            count_if(F.col("_once") & F.col("trader_address").isNotNull()).alias("holders"),
+            count_if(sniper).alias("snipers"),
+            F.sum(F.pow(F.greatest(F.lit(0.0), pct), F.lit(2.0))).alias("squares"),
+            F.collect_list(F.when(F.col("_nth") <= top, holder)).alias("largest"),
+        )
+    )
+    curves = parts.groupBy("curve_address").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("largest"))), 1, top).alias("largest"),
+        F.collect_list(F.struct("token_address", "holders", "snipers", "squares")).alias("sums"),
     )
-    top = top_holders(holders, thresholds).groupBy(*key).agg(F.sum("pct_supply_held").alias("top_share"))
+    own = F.filter("largest", lambda x: x["token_address"].eqNullSafe(F.col("s.token_address")))
     hhi = F.col("concentration_hhi")
     return (
-        spread.join(top, key, "left")
+        curves.select("curve_address", "largest", F.explode("sums").alias("s"))
+        .groupBy("curve_address", F.col("s.token_address").alias("token_address"))
+        .agg(
+            F.sum("s.holders").alias("unique_holders"),
+            F.sum("s.snipers").alias("sniper_count"),
+            steady(F.sum("s.squares"), 2).alias("concentration_hhi"),
+            F.first(F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda t, x: t + x["pct"]))).alias("top_share"),
+        )
         .withColumns(
             {
                 "top_10_supply_pct": steady("top_share", 2),

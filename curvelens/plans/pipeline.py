@@ -240,7 +240,7 @@ class Pipeline:
 
     @cached_property
     def kpi_summary(self) -> DataFrame:
-        return kpis.kpi_summary(self.dim_tokens, self.token_velocity, self.dim_wallets)
+        return kpis.kpi_summary(self.states, self.meta, self.thresholds, self.close)
 
     @cached_property
     def protocol_kpis(self) -> DataFrame:

@@ -11,11 +11,15 @@ next batch rebuild.
 Everything a batch writes depends on its input and on the tables of the batch before, and is
 overwritten when the batch is repeated; so a batch that fails half-way is simply run again.
 
-Tables under the folder:
-  states/   per-trade states, by trade_date and batch_id     late/    trades behind the watermark
-  alerts/   alert rows, by batch_id                          snipers/ wallets of launch blocks, by batch_id
-  hours/    hourly fees, by batch_id                         daily/   daily fact, by trade_date
-  carry/    balances, buys of launch blocks, pending trades and clock of each batch
+Alerts have an identity: their kind, curve and, where each trade may raise one, the trade. The table of
+alerts holds one row for each. A trade alert stays as it was first raised; a sniper alert is raised once the
+limit is passed and follows the buys of the launch blocks as they come.
+
+Tables under the folder (``SegmentTable``: few files after any number of batches):
+  states/   per-trade states, by trade_date      late/      trades behind the watermark
+  alerts/   alert rows by identity               hours/     hourly fees
+  carry/    balances, buys of launch blocks, pending trades and clock; of the last batches only
+  partial/, marts/  see ``streaming.marts``
 """
 
 from __future__ import annotations
@@ -27,23 +31,41 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelens.contracts import ALERTS, FCT_CURVE_DAILY, Thresholds
-from curvelens.functions.scalars import day_text, is_sell, signed, sum_if
-from curvelens.operators import alerts, curve, marts, risk
+from curvelens.contracts import ALERTS, Thresholds
+from curvelens.functions.scalars import day_text, hour_index, is_sell, signed, sum_if
+from curvelens.operators import alerts, curve, risk
 from curvelens.operators.running import SliceSpec
 from curvelens.operators.skew import spread_join
-from curvelens.operators.wallets import WALLET_KEY
+from curvelens.streaming.marts import BUCKETS, LiveMarts
+from curvelens.streaming.segments import FAN, SegmentTable, remove
 from curvelens.streaming.sources import SAME_TRADE
 
 
+#: Batches whose carried state is kept; the last one may be run again and needs the one before it.
+KEPT = 3
+
+
 @dataclass(frozen=True)
 class _Carry:
     newest: datetime
+    first_hour: int | None
     pending: DataFrame
     balances: DataFrame
     early: DataFrame
 
 
+def _by_identity(rows: DataFrame) -> DataFrame:
+    """One row per alert: followed ones as of the last batch, others as first raised."""
+    batch, followed = F.col("batch_id"), F.col("alert_type").isin("SNIPER_HIJACK", "FEE_SPIKE")
+    order = F.when(followed, -batch).otherwise(batch)
+    key = ["alert_type", "token_address", "curve_address", "alert_key"]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def _hour_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("hour").agg(F.sum("hourly_fees").alias("hourly_fees"))
+
+
 class LiveCurves:
     """Processes micro-batches of staged swaps. ``launches`` returns the launch parameters as of now."""
 
@@ -55,10 +77,18 @@ class LiveCurves:
         delay: str = "10 minutes",
         thresholds: Thresholds = Thresholds(),
         slices: SliceSpec = SliceSpec(),
-        daily: bool = True,
+        with_marts: bool = True,
+        with_alerts: bool = True,
+        fan: int = FAN,
+        buckets: int = BUCKETS,
     ):
         self.spark, self.folder, self.launches = spark, folder.rstrip("/"), launches
-        self.delay, self.thresholds, self.slices, self.daily = delay, thresholds, slices, daily
+        self.delay, self.thresholds, self.slices, self.with_alerts = delay, thresholds, slices, with_alerts
+        self.state_table = SegmentTable(spark, f"{self.folder}/states", partition="trade_date", fan=fan)
+        self.late_table = SegmentTable(spark, f"{self.folder}/late", fan=fan)
+        self.alert_table = SegmentTable(spark, f"{self.folder}/alerts", _by_identity, fan=fan)
+        self.hour_table = SegmentTable(spark, f"{self.folder}/hours", _hour_sums, fan=fan)
+        self.marts = LiveMarts(spark, self.folder, launches, self.state_table, thresholds, fan, buckets) if with_marts else None
 
     # ------------------------------------------------------------------ driving
     def start(self, swaps: DataFrame, trigger: dict | None = None):
@@ -70,7 +100,11 @@ class LiveCurves:
             .start()
         )
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+    def finish(self, swaps: DataFrame) -> None:
+        """Processes the trades that still wait, after the stream has ended for good. ``swaps``: any staged swaps."""
+        self.process(swaps.where("false"), self._last_batch() + 1, ending=True)
+
+    def process(self, batch: DataFrame, batch_id: int, ending: bool = False) -> None:
         carry = self._carry(batch_id - 1)
         # newest block time ever seen; one row reaches the driver
         newest = batch.agg(F.max("block_timestamp").alias("newest")).first()["newest"]
@@ -78,29 +112,33 @@ class LiveCurves:
             newest = carry.newest
 
         time = F.col("block_timestamp")
-        waiting = batch
+        waiting, late = batch, batch.where("false")
         if carry:
             # trades without a time are never late
             passed = F.coalesce(time <= self._mark(carry.newest), F.lit(False))
-            self._overwrite(batch.where(passed), "late", batch_id)
+            late = batch.where(passed)
             waiting = batch.where(~passed).unionByName(carry.pending)
+        self.late_table.write(late, batch_id)
         here = f"{self.folder}/carry/batch={batch_id}"
+        ready = F.lit(True) if ending else F.coalesce(time <= self._mark(newest), F.lit(True))
         (
             # a log row may be delivered twice; legs of one transaction differ in trader, side or amounts
-            waiting.dropDuplicates(SAME_TRADE).withColumn("ready", F.coalesce(time <= self._mark(newest), F.lit(True)))
-            .write.mode("overwrite").parquet(f"{here}/trades")
+            waiting.dropDuplicates(SAME_TRADE).withColumn("ready", ready).write.mode("overwrite").parquet(f"{here}/trades")
         )
         ready = self.spark.read.parquet(f"{here}/trades").where("ready").drop("ready")
 
-        stored = self._store_states(self._states(ready, carry), batch_id)
-        self._store_balances(stored, ready, carry, batch_id)
-        self._store_alerts(stored, carry, batch_id)
-        self._store_early(ready, carry, batch_id)
-        self._store_hours(ready, batch_id, carry, newest)
-        if self.daily:
-            self._store_daily(stored, batch_id)
-        clock = self.spark.createDataFrame([(newest,)], "newest timestamp_ntz")
+        keyed = self._states(ready, carry).withColumn("trade_date", day_text("block_timestamp"))
+        stored = self.state_table.write(keyed, batch_id)
+        self._store_balances(ready, carry, batch_id)
+        first_hour = carry.first_hour if carry else None
+        if self.with_alerts:
+            first_hour = self._store_alerts(stored, ready, carry, newest, batch_id, ending)
+        if self.marts:
+            self.marts.update(stored, ready, batch_id)
+        clock = self.spark.createDataFrame([(newest, first_hour)], "newest timestamp_ntz, first_hour long")
         clock.write.mode("overwrite").parquet(f"{here}/clock")
+        if batch_id >= KEPT:
+            remove(self.spark, f"{self.folder}/carry/batch={batch_id - KEPT}")
 
     def _mark(self, newest) -> Column:
         """Watermark: the newest block time less the allowed delay."""
@@ -109,19 +147,15 @@ class LiveCurves:
     # ------------------------------------------------------------------ results
     def states(self) -> DataFrame:
         """Stored states and provisional ones for the trades still inside the watermark delay."""
-        stored = self.spark.read.parquet(f"{self.folder}/states").drop("trade_date", "batch_id")
-        carry = self._carry(self._last_batch())
-        return stored.unionByName(self._states(carry.pending, carry))
+        last = self._last_batch()
+        stored, carry = self.state_table.read(last).drop("trade_date"), self._carry(last)
+        return stored.unionByName(self._states(carry.pending, carry)) if carry else stored
 
     def alerts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/alerts").drop("batch_id")
-
-    def daily_fact(self) -> DataFrame:
-        daily = self.spark.read.parquet(f"{self.folder}/daily")
-        return daily.withColumn("trade_date", F.col("trade_date").cast("string")).select(*FCT_CURVE_DAILY)
+        return self.alert_table.read(self._last_batch()).select(*ALERTS)
 
     def late(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/late").drop("batch_id")
+        return self.late_table.read(self._last_batch())
 
     # ------------------------------------------------------------------ carried state
     def _last_batch(self) -> int:
@@ -134,13 +168,12 @@ class LiveCurves:
         if batch_id < 0:
             return None
         base = f"{self.folder}/carry/batch={batch_id}"
-        newest = self.spark.read.parquet(f"{base}/clock").first()["newest"]
+        newest, first_hour = self.spark.read.parquet(f"{base}/clock").first()
         if newest is None:  # only empty batches so far
             return None
-        pending = self.spark.read.parquet(f"{base}/trades").where("not ready").drop("ready")
-        return _Carry(
-            newest, pending, self.spark.read.parquet(f"{base}/balances"), self.spark.read.parquet(f"{base}/early")
-        )
+        read = self.spark.read.parquet
+        early = read(f"{base}/early") if self.with_alerts else None
+        return _Carry(newest, first_hour, read(f"{base}/trades").where("not ready").drop("ready"), read(f"{base}/balances"), early)
 
     def _states(self, ready: DataFrame, carry: _Carry | None) -> DataFrame:
         return curve.trade_states(
@@ -148,20 +181,7 @@ class LiveCurves:
             opening=carry.balances if carry else None,
         )
 
-    def _store_states(self, states: DataFrame, batch_id: int) -> DataFrame:
-        keyed = states.withColumns({"trade_date": day_text("block_timestamp"), "batch_id": F.lit(batch_id)})
-        path = f"{self.folder}/states"
-        (
-            keyed.write.mode("overwrite").partitionBy("trade_date", "batch_id")
-            .option("partitionOverwriteMode", "dynamic").parquet(path)
-        )
-        return (
-            self.spark.read.schema(keyed.schema).parquet(path)
-            .where(F.col("batch_id") == batch_id)
-            .withColumn("trade_date", F.col("trade_date").cast("string"))
-        )
-
-    def _store_balances(self, stored: DataFrame, ready: DataFrame, carry: _Carry | None, batch_id: int) -> None:
+    def _store_balances(self, ready: DataFrame, carry: _Carry | None, batch_id: int) -> None:
         """Balances per curve after this batch: sums of all trades, known curve or not."""
         creators = self.launches().select("curve_address", F.col("creator_address").alias("trader_address")).distinct()
         own = spread_join(ready, creators, ["curve_address", "trader_address"], by="tx_hash")
@@ -171,33 +191,34 @@ class LiveCurves:
         moved = ready.groupBy("curve_address").agg(
             F.sum(signed("base_asset_amount")).alias("base"), F.sum(signed("token_amount")).alias("tokens")
         )
-        peak = stored.groupBy("curve_address").agg(F.max("curve_fill_pct").alias("peak_fill"))
-        balances = (
-            moved.join(creator, "curve_address", "left").join(peak, "curve_address", "left")
-            .select("curve_address", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in curve.RUNNING], "peak_fill")
+        balances = moved.join(creator, "curve_address", "left").select(
+            "curve_address", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in curve.RUNNING]
         )
         if carry:
             balances = balances.unionByName(carry.balances).groupBy("curve_address").agg(
-                *[F.sum(name).alias(name) for name in curve.RUNNING], F.max("peak_fill").alias("peak_fill")
+                *[F.sum(name).alias(name) for name in curve.RUNNING]
             )
         balances.write.mode("overwrite").parquet(f"{self.folder}/carry/batch={batch_id}/balances")
 
-    # ------------------------------------------------------------------ derived tables
-    def _overwrite(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch_id={batch_id}")
-
-    def _store_alerts(self, stored: DataFrame, carry: _Carry | None, batch_id: int) -> None:
-        raised = alerts.trade_alerts(stored, self.thresholds)
-        if carry:  # a curve announces its graduation once
-            announced = carry.balances.where(F.col("peak_fill") >= self.thresholds.imminent_fill)
-            raised = (
-                raised.join(announced.select("curve_address", F.lit(True).alias("announced")), "curve_address", "left")
-                .where((F.col("alert_type") != "IMMINENT_GRADUATION") | F.col("announced").isNull())
-            )
-        self._overwrite(raised.select(*ALERTS), "alerts", batch_id)
-
-    def _store_early(self, ready: DataFrame, carry: _Carry | None, batch_id: int) -> None:
-        """Buys of launch blocks so far, at most a few rows per curve, and an alert once they pass the limit."""
+    # ------------------------------------------------------------------ alerts
+    def _store_alerts(
+        self, stored: DataFrame, ready: DataFrame, carry: _Carry | None, newest, batch_id: int, ending: bool
+    ) -> int | None:
+        """Alerts of this batch by identity; returns the first hour of the tape."""
+        none = F.lit("").alias("alert_key")
+        raised = alerts.keyed_trade_alerts(stored, self.thresholds)
+        hijacks = self._hijacks(ready, carry, batch_id).select(*ALERTS, none)
+        first_hour, spikes = self._spikes(ready, carry, newest, batch_id, ending)
+        spikes = spikes.select(*ALERTS, F.col("event_ts").cast("string").alias("alert_key"))
+        rows = raised.unionByName(hijacks).unionByName(spikes)
+        self.alert_table.write(rows.withColumn("batch_id", F.lit(batch_id)), batch_id)
+        return first_hour
+
+    def _hijacks(self, ready: DataFrame, carry: _Carry | None, batch_id: int) -> DataFrame:
+        """Curves whose launch blocks are over the limit, where this batch changed what is known of them.
+
+        The buys of launch blocks so far are carried on: at most a few rows per curve.
+        """
         keys, launches = ["curve_address", "block_number"], self.launches()
         blocks = risk.bought_by_block(ready).join(risk.launch_blocks(launches, self.thresholds).select(*keys).distinct(), keys)
         if carry:
@@ -209,48 +230,22 @@ class LiveCurves:
         now = alerts.sniper_hijack(risk.penetration(self.spark.read.parquet(path), launches, self.thresholds), self.thresholds)
         if carry:
             before = alerts.sniper_hijack(risk.penetration(carry.early, launches, self.thresholds), self.thresholds)
-            now = now.join(before.select("token_address", "curve_address"), ["token_address", "curve_address"], "left_anti")
-        now.select(*ALERTS).write.mode("append").parquet(f"{self.folder}/alerts/batch_id={batch_id}")
-
-    def _store_hours(self, ready: DataFrame, batch_id: int, carry: _Carry | None, newest) -> None:
-        """Hourly fees of this batch, and an alert for every hour that has just closed on a spike."""
-        self._overwrite(alerts.hourly_fees(ready), "hours", batch_id)
-        hours = (
-            self.spark.read.parquet(f"{self.folder}/hours").where(F.col("batch_id") <= batch_id)
-            .groupBy("hour").agg(F.sum("hourly_fees").alias("hourly_fees"))
-        )
+            now = now.join(before, ["token_address", "curve_address", "event_ts", "metric_value"], "left_anti")
+        return now
+
+    def _spikes(self, ready: DataFrame, carry: _Carry | None, newest, batch_id: int, ending: bool) -> tuple[int | None, DataFrame]:
+        """Alerts for the hours that have just closed on a spike, and the first hour of the tape.
+
+        Of earlier hours only those are read that a closing hour is compared with.
+        """
+        now = self.hour_table.write(alerts.hourly_fees(ready), batch_id)
+        known = [h for h in (now.agg(F.min("hour")).first()[0], carry.first_hour if carry else None) if h is not None]
         end = F.col("hour_start") + F.expr("interval 1 hour") + F.expr(f"interval {self.delay}")
-        closed = end <= F.lit(newest).cast("timestamp_ntz")
+        closed = F.lit(True) if ending else end <= F.lit(newest).cast("timestamp_ntz")
+        hours = self.hour_table.read(batch_id)
         if carry:
             closed &= end > F.lit(carry.newest).cast("timestamp_ntz")
-        spikes = alerts.fee_spike(hours, self.thresholds).where(F.col("is_spike") & closed)
-        text, factor = F.lit(None).cast("string"), self.thresholds.fee_spike_factor
-        spikes.select(
-            F.lit("FEE_SPIKE").alias("alert_type"), F.lit("Info").alias("severity"), text.alias("token_address"),
-            text.alias("curve_address"), F.col("hour_start").alias("event_ts"), text.alias("tx_hash"),
-            F.col("hourly_fees").alias("metric_value"), (F.col("trailing_mean") * factor).alias("threshold"),
-        ).write.mode("append").parquet(f"{self.folder}/alerts/batch_id={batch_id}")
-
-    def _store_daily(self, stored: DataFrame, batch_id: int) -> None:
-        """Rebuilds the days this batch touched; other days of the daily fact stay as they are.
-
-        Whether a wallet is a sniper is settled by the first blocks of a launch, so the wallets seen
-        there are all the daily fact needs to know of earlier days.
-        """
-        early = F.col("block_number") - F.col("creation_block") <= self.thresholds.sniper_blocks
-        self._overwrite(stored.where(early & ~F.col("by_creator")).select(*WALLET_KEY).distinct(), "snipers", batch_id)
-        snipers = (
-            self.spark.read.parquet(f"{self.folder}/snipers").where(F.col("batch_id") <= batch_id)
-            .select(*WALLET_KEY, F.lit("SNIPER").alias("behavioral_cohort")).distinct()
-        )
-        days = stored.select("trade_date").distinct()
-        touched = (
-            self.spark.read.schema(stored.schema).parquet(f"{self.folder}/states")
-            .where(F.col("batch_id") <= batch_id)
-            .withColumn("trade_date", F.col("trade_date").cast("string"))
-            .join(days, "trade_date", "left_semi")
-            .drop("trade_date", "batch_id")
-        )
-        marts.fct_curve_daily(touched, touched, snipers, self.launches(), self.thresholds).write.mode("overwrite").partitionBy(
-            "trade_date"
-        ).option("partitionOverwriteMode", "dynamic").parquet(f"{self.folder}/daily")
+            oldest = F.lit(carry.newest).cast("timestamp_ntz") - F.expr(f"interval {self.delay}")
+            hours = hours.where(F.col("hour") >= hour_index(oldest) - self.thresholds.fee_spike_hours - 1)
+        spikes = alerts.fee_spike(hours, self.thresholds, since=min(known, default=0)).where(closed)
+        return min(known, default=None), alerts.fee_alerts(spikes, self.thresholds)

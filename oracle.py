@@ -16,7 +16,7 @@ raw_swaps as (
          '0xCURVE_' || c as curve_address, '0xUSER_' || user_id as trader_address,
          if(event_type = 'error', 'sell', 'buy') as trade_type, value / 20 as base_asset_amount,
          value * 1000 * (1 + event_id % 7) as token_amount, value / 2000 as protocol_fee_amount,
-         (10 + event_id % 200)::double as gas_price_gwei, (event_id % 2147483648)::integer as tx_index
+         (10 + event_id % 200)::double as gas_price_gwei, event_id::bigint as tx_index
   from tape where event_type in ('purchase', 'click', 'error')
 ),
 raw_launches as (
@@ -511,6 +511,13 @@ union all select 'grain_dim_tokens', count(*), count(*) - count(distinct token_a
 }
 SELECTS["curve_state_stream"] = SELECTS["curve_state"]
 SELECTS["marts_read_back"] = SELECTS["fct_trades"]
+SELECTS["inflow_15m_stream"] = SELECTS["inflow_15m"]
+SELECTS["alerts_stream"] = SELECTS["alerts"] + f"""
+union all
+select 'FEE_SPIKE', 'Info', null, null, hour_start, null, hourly_fees, round(trailing_mean * 3, 6)
+from ({SELECTS["fee_spike"].strip()}) where is_spike"""
+for _mart in ("fct_trades", "fct_curve_daily", "dim_wallets", "dim_tokens"):
+    SELECTS[f"{_mart}_stream"] = SELECTS[_mart]
 
 
 def statements() -> dict[str, str]:

@@ -55,30 +55,14 @@ def files(spark, folder, tmp_path, tape):
 
 def test_live_states_equal_batch(spark, tmp_path, tape, files):
     stream = staged_stream(stream_table(spark, files, RAW_SWAPS, max_files=1))
-    live = LiveCurves(spark, str(tmp_path / "live"), lambda: tape.meta, slices=SliceSpec(blocks=24, max_rows=5, tx_run=50))
+    live = LiveCurves(
+        spark, str(tmp_path / "live"), lambda: tape.meta, slices=SliceSpec(blocks=24, max_rows=5, tx_run=50), with_marts=False,
+    )
     live.start(stream).awaitTermination()
     assert live._last_batch() == 4
     assert live.late().count() == 0
     assert_same(live.states().select(*CURVE_STATE), tape.curve_state, "tx_hash")
 
-    # alerts of final trades
-    end = tape.swaps.agg(F.max("block_timestamp")).first()[0]
-    final = tape.alerts.where(F.col("event_ts") <= F.lit(end - timedelta(minutes=10)))
-    got = live.alerts().where(F.col("alert_type") != "FEE_SPIKE")
-    # a hijack is announced when the limit is passed, with the buys known by then
-    hijack = F.col("alert_type") == "SNIPER_HIJACK"
-    curves = lambda df: sorted(r["curve_address"] for r in df.where(hijack).collect())
-    assert curves(got) == curves(final) != []
-    got, final = got.where(~hijack), final.where(~hijack)
-    assert_same(got, final, "alert_type", "curve_address", "tx_hash")
-
-    # complete days of the daily fact
-    last_day = str((end - timedelta(minutes=10)).date())
-    assert_same(
-        live.daily_fact().where(F.col("trade_date") < last_day),
-        tape.fct_curve_daily.where(F.col("trade_date") < last_day), "curve_address", "trade_date",
-    )
-
 
 def test_legs_and_missing_times_are_kept(spark, tmp_path, tape):
     from launch_data import LAUNCHES, SWAPS, raw_tables, swap
@@ -91,11 +75,10 @@ def test_legs_and_missing_times_are_kept(spark, tmp_path, tape):
     batches = [SWAPS[:3] + legs[:1], [legs[1], odd, legs[0]], SWAPS[3:6]]
     raw = raw_tables(spark, SWAPS[:6] + legs + [odd], LAUNCHES[:1])
     p = Pipeline(raw)
-    live = LiveCurves(spark, str(tmp_path / "legs"), lambda: p.meta, delay="300 minutes", daily=False)
+    live = LiveCurves(spark, str(tmp_path / "legs"), lambda: p.meta, delay="300 minutes", with_marts=False, with_alerts=False)
     for number, rows in enumerate(batches):
         live.process(Pipeline(raw_tables(spark, rows, LAUNCHES[:1])).swaps, number)
-    late = spark.read.parquet(str(tmp_path / "legs" / "late")).count()
-    assert live.states().count() + late == p.curve_state.count() == 9
+    assert live.states().count() + live.late().count() == p.curve_state.count() == 9
 
 
 def test_late_trades_go_to_the_side_table(spark, tmp_path):
@@ -104,7 +87,7 @@ def test_late_trades_go_to_the_side_table(spark, tmp_path):
     parts = [["0xsw_1", "0xsw_2"], ["0xsw_3", "0xsw_4", "0xsw_5"], ["0xsw_6", "0xsw_50"], ["0xsw_3", "0xsw_7"]]
     write_batches(spark, SWAPS[:7] + [late], tmp_path / "in", parts)
     meta = Pipeline(raw_tables(spark, SWAPS, LAUNCHES)).meta
-    live = LiveCurves(spark, str(tmp_path / "live"), lambda: meta)
+    live = LiveCurves(spark, str(tmp_path / "live"), lambda: meta, with_marts=False, with_alerts=False)
     live.start(staged_stream(stream_table(spark, str(tmp_path / "in"), RAW_SWAPS, max_files=1))).awaitTermination()
     assert {r["tx_hash"] for r in live.late().collect()} <= {"0xsw_50", again["tx_hash"]}
     assert "0xsw_50" in {r["tx_hash"] for r in live.late().collect()}
@@ -114,7 +97,7 @@ def test_late_trades_go_to_the_side_table(spark, tmp_path):
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     p = Pipeline(raw_tables(spark, SWAPS, LAUNCHES))
-    live = LiveCurves(spark, str(tmp_path / "live"), lambda: p.meta)
+    live = LiveCurves(spark, str(tmp_path / "live"), lambda: p.meta, with_marts=False)
     first, second = p.swaps.where(F.col("token_address") == "0xnova"), p.swaps.where(F.col("token_address") != "0xnova")
     for batch, number in [(first, 0), (second, 1), (second, 1)]:
         live.process(batch, number)
@@ -135,7 +118,7 @@ def test_live_fee_spike(spark, tmp_path):
     spike = swap(500, 1199, timedelta(hours=199, minutes=1), "nova", "0xa", "BUY", 1, 10, protocol_fee_amount=1.0)
     after = swap(501, 1201, timedelta(hours=201), "nova", "0xa", "BUY", 1, 10)
     swaps = Pipeline(raw_tables(spark, quiet + [spike, after], LAUNCHES)).swaps
-    live = LiveCurves(spark, str(tmp_path / "live"), lambda: Pipeline(raw_tables(spark, [], LAUNCHES)).meta, daily=False)
+    live = LiveCurves(spark, str(tmp_path / "live"), lambda: Pipeline(raw_tables(spark, [], LAUNCHES)).meta, with_marts=False)
     cut = F.lit(T0 + timedelta(hours=199, minutes=30)).cast("timestamp_ntz")
     live.process(swaps.where(F.col("block_timestamp") < cut), 0)
     assert live.alerts().where(F.col("alert_type") == "FEE_SPIKE").count() == 0
@@ -144,21 +127,85 @@ def test_live_fee_spike(spark, tmp_path):
     assert row["metric_value"] == pytest.approx(1.01)
 
 
-def test_inflow_windows(spark, tmp_path, tape, files):
-    stream = staged_stream(stream_table(spark, files, RAW_SWAPS, max_files=1))
-    rollups.run_to_table(rollups.inflow_15m(stream), str(tmp_path / "inflow"))
-    end = tape.swaps.agg(F.max("block_timestamp")).first()[0] - timedelta(minutes=10)
-    closed = tape.inflow_15m.where(F.col("window_start") + F.expr("interval 15 minutes") <= F.lit(end))
-    assert_same(rollups.read_table(spark, str(tmp_path / "inflow")), closed, "curve_address", "window_start")
 
+def test_live_windows_equal_batch(spark, tmp_path, tape, files):
+    live, key = rollups.LiveRollup(spark, str(tmp_path / "inflow"), rollups.INFLOW_15M, fan=2), ["curve_address", "window_start"]
+    live.start(staged_stream(stream_table(spark, files, RAW_SWAPS, max_files=1))).awaitTermination()
+    assert live._last_batch() == 4 and live.late().count() == 0
+    assert_same(live.current(), tape.inflow_15m, *key)
+    end = tape.swaps.agg(F.max("block_timestamp")).first()[0] - timedelta(minutes=25)
+    assert_same(live.final(), tape.inflow_15m.where(F.col("window_start") <= F.lit(end)), *key)
 
-def test_rollup_drops_repeated_log_rows(spark, tmp_path):
-    write_batches(spark, SWAPS, tmp_path / "in", [[s["tx_hash"] for s in SWAPS[:5]], ["0xsw_5"], [s["tx_hash"] for s in SWAPS[5:]]])
-    stream = staged_stream(stream_table(spark, str(tmp_path / "in"), RAW_SWAPS, max_files=1))
-    rollups.run_to_table(rollups.rollup_5m(stream), str(tmp_path / "out"))
-    p = Pipeline(raw_tables(spark, SWAPS, LAUNCHES))
-    want = p.rollup_5m.where(F.col("window_start") < F.lit(T0 + timedelta(minutes=150)))
-    assert_same(rollups.read_table(spark, str(tmp_path / "out")), want, "window_start")
+
+@pytest.mark.parametrize("windows, stage, key", [
+    (rollups.ROLLUP_5M, "rollup_5m", ["window_start"]), (rollups.INFLOW_15M, "inflow_15m", ["curve_address", "window_start"]),
+])
+def test_late_trades_correct_their_windows(spark, tmp_path, windows, stage, key):
+    """Late, repeated and early trades over several batches: what is shown is the batch roll-up of all of them."""
+    late = [swap(50, 1003, timedelta(minutes=1), "nova", "0xlate", "BUY", 1, 10), swap(51, 1003, timedelta(minutes=3), "nova", "0xsniper_1", "SELL", 1, 10)]
+    batches = [SWAPS[:5] + SWAPS[:1], SWAPS[5:6] + late + late[:1], [], SWAPS[6:] + late[1:] + SWAPS[2:3]]
+    live, seen = rollups.LiveRollup(spark, str(tmp_path / "live"), windows, fan=2), []
+    for number, part in enumerate(batches):
+        seen += [x for x in part if x not in seen]
+        batch = Pipeline(raw_tables(spark, part, LAUNCHES)).swaps
+        live.process(batch, number)
+        if number == 1:
+            live.process(batch, number)  # a batch may be run again
+        if number in (1, 3):
+            assert_same(live.current(), getattr(Pipeline(raw_tables(spark, seen, LAUNCHES)), stage), *key)
+    assert sorted(r["tx_hash"] for r in live.late().collect()) == ["0xsw_50", "0xsw_51"]
+
+
+def test_segments_hold_every_batch_in_few_files(spark, tmp_path):
+    from curvelens.streaming.segments import SegmentTable
+
+    plain = SegmentTable(spark, str(tmp_path / "rows"), fan=3)
+    sums = SegmentTable(spark, str(tmp_path / "sums"), lambda r: r.groupBy("k").agg(F.sum("v").alias("v")), partition="k", fan=3)
+    for n in range(20):
+        batch = spark.createDataFrame([(n, n % 4)] if n % 5 else [], "v long, k int").coalesce(1)
+        for table in (plain, sums):
+            for _ in range(1 + (n in (8, 17))):  # merges are repeated too
+                table.write(batch, n)
+        if n in (0, 1, 8, 9, 17, 19):
+            want = [k for k in range(n + 1) if k % 5]
+            assert sorted(r.v for r in plain.read(n).collect()) == want
+            assert {r.k: r.v for r in sums.read(n).collect()} == {k: sum(v for v in want if v % 4 == k) for k in {v % 4 for v in want}}
+            assert len(plain.segments(n)) <= 2 * 3
+    folders = [p for p in (tmp_path / "rows").glob("level=*/segment=*")]
+    assert len(folders) <= 2 * 3 * 3  # at most two generations of each level
+
+
+def test_segment_numbers_cover_all_batches():
+    from curvelens.streaming.segments import SegmentTable
+
+    for fan in (2, 3, 8):
+        table = SegmentTable(None, "x", fan=fan)
+        for n in range(-1, 1000):
+            covered = [b for level, k in table.segments(n) for b in range(k * fan**level, (k + 1) * fan**level)]
+            assert covered == list(range(n + 1))
+            assert len(table.segments(n)) <= (fan - 1) * 10
+
+
+def test_live_marts_relabel_earlier_trades(spark, tmp_path):
+    """A wallet turns into a whale, a hash is mined again, a batch is repeated; earlier rows follow."""
+    day = timedelta(days=1)
+    more = [
+        swap(60, 1200, day, "nova", "0xretail_1", "BUY", 20, 1e6), swap(61, 1201, day * 2, "nova", "0xretail_2", "SELL", 1, 90e6),
+        dict(swap(62, 1300, day * 3, "nova", "0xretail_3", "BUY", 1, 1e6), tx_hash="0xsw_3"),
+        swap(63, 2200, day * 3, "phantom", "0xsniper_9", "BUY", 30, 1e6),
+    ]
+    batches = [SWAPS, [], more]
+    p = Pipeline(raw_tables(spark, SWAPS + more, LAUNCHES))
+    live = LiveCurves(spark, str(tmp_path / "live"), lambda: p.meta, delay="0 minutes", fan=2, buckets=2)
+    for number, part in enumerate(batches):
+        live.process(Pipeline(raw_tables(spark, part, LAUNCHES)).swaps, number)
+    live.process(Pipeline(raw_tables(spark, batches[-1], LAUNCHES)).swaps, len(batches) - 1)
+    for name, key in [("fct_trades", ["tx_hash", "block_number"]), ("fct_curve_daily", ["curve_address", "trade_date"]),
+                      ("dim_wallets", ["trader_address"]), ("dim_tokens", ["token_address"])]:
+        assert_same(getattr(live.marts, name)(), getattr(p, name), *key)
+    cohorts = {r["trader_cohort"] for r in live.marts.fct_trades().where("trader_address = '0xretail_1'").collect()}
+    assert cohorts == {"WHALE"}
+    assert_same(live.alerts(), p.alerts, "alert_type", "curve_address", "tx_hash", "event_ts", "metric_value")
 
 
 def test_marts_written(spark, tmp_path, tape):
