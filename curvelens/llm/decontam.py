@@ -1,9 +1,10 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-A test item is sketched by the k smallest hashes of its five-word shingles, a document is the large
-set in which the sketch is looked up. Items are partitioned by size, and a partition whose largest
+A test item is sketched by k of its five-word shingles, the smallest in an order of all shingles: those of
+few items first, then by hash. A document is the large set in which the sketch is looked up. Items are partitioned by size, and a partition whose largest
 item has q shingles takes k = floor(q * (1 - t)) + 1: an item contained to the share t lacks fewer
-shingles than its sketch has, so every such document meets the sketch. Candidates are then verified by
+shingles than its sketch has, so every such document meets the sketch, whatever the order. Wording that many
+items share stands last in it and leads to no candidates. Candidates are then verified by
 exact shingle containment.
 """
 
@@ -32,6 +33,14 @@ def sketches(sets: DataFrame, share: float = CONTAINMENT) -> DataFrame:
     return sets.select("item_id", F.explode(F.slice("__shingles", F.lit(1), k)).alias("__shingle"))
 
 
+def rare_first(sets: DataFrame, key: str) -> DataFrame:
+    """The items with their shingles in the order of the sketches."""
+    each = sets.select(key, F.explode("__shingles").alias("__shingle"))
+    items = each.groupBy("__shingle").agg(F.count(F.lit(1)).alias("__n"))
+    ordered = each.join(items, "__shingle").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__n", "__shingle"))).alias("__s"))
+    return sets.drop("__shingles").join(ordered, key).withColumn("__shingles", F.col("__s.__shingle")).drop("__s")
+
+
 def _row() -> Column:
     """The key of a document: rows of one id and text are the same document, other texts are others."""
     return F.xxhash64("doc_id", body())
@@ -43,7 +52,7 @@ def _found(docs: DataFrame, items: DataFrame, share: float, width: int) -> DataF
         item_shingles(items, width).withColumn("__item", F.xxhash64("item_id", "__shingles")), "items"
     )
     marks = staged(
-        sketches(sets.withColumn("item_id", F.col("__item")), share).groupBy("__shingle")
+        sketches(rare_first(sets.withColumn("item_id", F.col("__item")), "__item"), share).groupBy("__shingle")
         .agg(F.collect_set("item_id").alias("__items")), "sketches",
     )
     rows = docs.select(_row().alias("__row"), shingles(words(body()), width).alias("__shingles"))

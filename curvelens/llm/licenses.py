@@ -57,8 +57,8 @@ TALK = ["licence", "license", "licensed", "copyright"]
 FAMILIES = sorted(TEMPLATES)
 OTHER = "none"
 
-#: Paragraphs of the corpus to learn from, for each family and for ordinary text; n-grams kept.
-FAMILY_ROWS, OTHER_ROWS, FEATURES = 300, 6_000, 2_000
+#: Paragraphs of the corpus to learn from, for each family and for ordinary text; n-grams of an ordinary one; n-grams kept.
+FAMILY_ROWS, OTHER_ROWS, ROW_GRAMS, FEATURES = 300, 6_000, 400, 2_000
 #: Share of ordinary paragraphs in which a feature may occur.
 COMMON = 0.001
 CONFIDENT, ALIKE = 0.5, 0.6
@@ -166,6 +166,12 @@ def _has(line: Column, marks: list[str]) -> Column:
     return line.rlike(f"(?i)(?<![^{APART}])(?:{found})") if marks else F.lit(False)
 
 
+def _drawn(found: Column) -> Column:
+    """At most ROW_GRAMS n-grams, those of the smallest hashes."""
+    hashed = F.array_sort(F.transform(found, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    return F.transform(F.slice(hashed, 1, ROW_GRAMS), lambda x: x["g"])
+
+
 def train(docs: DataFrame) -> Model:
     """A model from the templates and bounded samples of the corpus, those of the smallest hashes."""
     lines = paragraphs(docs)
@@ -181,7 +187,7 @@ def train(docs: DataFrame) -> Model:
     plain = staged(plain, "ordinary-lines")
     held = F.pmod(F.xxhash64("__line", F.lit("fold")), F.lit(5)) == 0
     rows = found.select("__grams", "y", held.alias("held")).unionByName(
-        plain.select(F.slice(grams(F.col("__line")), 1, 400).alias("__grams"), F.lit(len(FAMILIES)).alias("y"), held.alias("held"))
+        plain.select(_drawn(grams(F.col("__line"))).alias("__grams"), F.lit(len(FAMILIES)).alias("y"), held.alias("held"))
     ).collect()
     own = [(sorted(_grams(_tokens(t))), i) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
     return fit(own + [(r["__grams"], r.y) for r in rows if not r.held], [(r["__grams"], r.y) for r in rows if r.held])
@@ -207,14 +213,15 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     weights = spark.createDataFrame([(g, [float(v) for v in margins[i]]) for g, i in model.features.items()], "__g string, __w array<double>")
     each = found.select("__row", "paragraph", F.explode("__grams").alias("__g")).join(F.broadcast(weights), "__g")
     sums = each.groupBy("__row", "paragraph").agg(*[F.sum(F.get("__w", F.lit(i))).alias(f"__z{i}") for i in range(len(FAMILIES))])
-    scored = found.withColumn("__talk", talk).join(sums, ["__row", "paragraph"], "left")
+    scored = hit.join(sums, ["__row", "paragraph"], "left")
     z = [F.coalesce(F.col(f"__z{i}"), F.lit(0.0)) + float(margins[-1, i]) for i in range(len(FAMILIES))]
     top = F.greatest(*z, F.lit(0.0))
     mass = sum((F.exp(v - top) for v in z), F.exp(-top))
     best = F.array_max(F.array(*[F.struct(v.alias("z"), F.lit(i).alias("i")) for i, v in enumerate(z)]))
     scored = scored.withColumns({"__best": best, "__p": F.exp(F.greatest(*z) - top) / mass})
+    scored = scored.where((F.col("__p") >= CONFIDENT) | talk).withColumn("__grams", grams(F.col("__line")))
     near = reduce(lambda c, i: c.when(F.col("__best.i") == i, _similarity(F.col("__grams"), FAMILIES[i])), range(len(FAMILIES)), F.when(F.lit(False), 0.0))
-    scored = scored.withColumn("similarity", F.round(near, 9)).where((F.col("__p") >= CONFIDENT) | F.col("__talk"))
+    scored = scored.withColumn("similarity", F.round(near, 9))
     confirmed = (F.col("__p") >= CONFIDENT) & (F.col("similarity") >= ALIKE)
     family = F.when(confirmed, F.get(F.array(*map(F.lit, FAMILIES)), F.col("__best.i"))).otherwise(F.lit("unknown"))
     notices = scored.select("__row", "paragraph", family.alias("family"), F.round("__p", 6).alias("confidence"), "similarity", confirmed.alias("confirmed"))

@@ -52,12 +52,15 @@ def plain(rows, libraries):
     docs, holders = [], Counter()
     for doc_id, text in rows:
         a, b = plain_tokens(text, libraries)
-        ends = sorted({e for *_, e in a} & {e for *_, e in b})
-        groups, start = [], 0
-        for end in ends:
-            inside = lambda side: ",".join(str(i) for i, s, e in side if start <= s and e <= end)  # noqa: E731, B023
-            groups.append(f"{inside(a)}|{inside(b)}")
-            start = end
+        ends = {e for *_, e in a} & {e for *_, e in b}
+        sides = []
+        for side in (a, b):
+            sides.append([[]])
+            for i, _, e in side:
+                sides[-1][-1].append(str(i))
+                if e in ends:
+                    sides[-1].append([])
+        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in zip(*sides)][:-1]
         links, k = [], 0
         for i, s, e in a:
             while k < len(b) and b[k][2] <= s:

@@ -13,8 +13,10 @@ import pytest
 from brute import components, dedup_lines, leaks, shingles
 from corpus_data import EDGES, documents, lines, prose
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from curvelens.llm import decontam, fingerprints, jaccard_join, line_dedup, queries, sharding, sql
+from curvelens.llm import decontam, fingerprints, jaccard_join, line_dedup, lm, queries, sharding, sql
 from curvelens.llm import components as graph
 
 FOLDER = "/root/testdata/sf0.001"
@@ -175,6 +177,30 @@ def test_rows_of_one_id_leak_apart(spark):
     assert left == Counter(r for r in rows if r[1] != item)
 
 
+def test_ids_beyond_doubles(spark):
+    """Beside a null id, neighbouring ids over 2^53 stay apart in the join, the language model and the pipeline's stage."""
+    same, other = prose("same", 30), prose("other", 30)
+    rows = [(2**60 + 1, same), (2**60 + 2, other), (None, prose("none", 30)), (2**60 + 3, same)]
+    docs = documents(spark, rows)
+    want = {2**60 + 1: 2**60 + 1, 2**60 + 2: 2**60 + 2, 2**60 + 3: 2**60 + 1, None: None}
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == want
+    assert sorted(r.doc_id or 0 for r in jaccard_join.one_of_each(docs).collect()) == [0, 2**60 + 1, 2**60 + 2]
+    assert {r.doc_id for r in lm.score(docs, F.lit(False)).collect()} == set(want)
+
+
+def test_shared_wording_of_items_leads_to_no_candidates(spark):
+    opening = "read the text below and answer every question"
+    items = [(k, f"{opening} {prose(('item', k), 32)}") for k in range(60)]
+    rows = [(k, f"{opening} {prose(('doc', k), 40)}") for k in range(80)] + [(100, "so " + items[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sets = decontam.item_shingles(bench)
+    marks = decontam.sketches(decontam.rare_first(sets, "item_id"))
+    common = shingles(opening)
+    assert marks.groupBy("__shingle").count().agg(F.max("count")).first()[0] == 1 and common
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == leaks(rows, items) == {(100, 7)}
+
+
 def test_native_plans_hold_no_python(spark, sample):
     for df in (fingerprints.fingerprint_edits(sample), line_dedup.remove_repeated_lines(sample), sharding.shard(sample)):
         plan = df._jdf.queryExecution().toString()
