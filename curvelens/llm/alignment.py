@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from curvelens.llm.common import ship, staged
 from curvelens.llm.stretches import ByteLevel, Memory, cut, portions, spelled
 
 PIECE_SPACE = "▁"
-#: Stretches a worker remembers in each of two generations.
-REMEMBERED = 150_000
+#: Stretches a worker remembers in each of two generations; bytes that the piece model gets at a time, and what it gets first.
+REMEMBERED, PORTION, LEAD = 150_000, 1 << 14, "a"
 CHUNK = "chunk long, docs binary, pairs binary, holders binary, bounds binary, at binary, times binary"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
@@ -59,16 +60,17 @@ def aligned(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     return group[label[:n]], group[label[n:]]
 
 
-class Stretch:
+class Stretch(NamedTuple):
     """What a stretch adds to a document: its groups, their counts, and its links as pairs of ids in one number."""
 
-    __slots__ = ("groups", "counts", "links")
+    groups: str
+    n_a: int
+    n_b: int
+    n_groups: int
+    links: np.ndarray
 
-    def __init__(self, groups: str, counts: tuple[int, int, int], links: np.ndarray):
-        self.groups, self.counts, self.links = groups, counts, links
 
-
-NOTHING = Stretch("", (0, 0, 0), np.empty(0, np.int64))
+NOTHING = Stretch("", 0, 0, 0, np.empty(0, np.int64))
 
 
 class Aligner:
@@ -80,69 +82,90 @@ class Aligner:
         self.a_bytes = self.a.bytes_of
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(PIECE_SPACE, " ").encode() for i, p in enumerate(names)]
-        self.space = self.b.piece_to_id(PIECE_SPACE)
+        self.lead = self.b.encode(LEAD)
         inner = any(PIECE_SPACE in p.lstrip(PIECE_SPACE) or "\n" in p for p in names)
         self.cuts = self.a.cuts and not inner
-        size = max(len(self.a_bytes), len(names))
-        self.said = {end: np.array([f"{i}{end}" for i in range(size)], object) for end in (",", "|", ";", "")}
+        self.ids = max(len(self.a_bytes), len(names))
+        self.said = np.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(self.ids)], object)
         self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
         self.memory = Memory(REMEMBERED)
 
     def fresh(self, stretches: list[str]) -> list[Stretch | None]:
-        """Alignments of stretches as ``cut`` gives them."""
-        full = [spelled(s) for s in stretches]
+        """Alignments of stretches as ``cut`` gives them; None where a side does not give their bytes.
+
+        Laid end to end, stretches are a text whose encoding is theirs end to end.
+        """
+        if not stretches:
+            return []
+        full = list(map(spelled, stretches))
+        raw = [s.encode() for s in full]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        a = self.a.ids("".join(full)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(ends // PORTION, prepend=0)).tolist()
+        parts = [LEAD + "".join(full[i:j]) for i, j in zip([0, *cuts], [*cuts, len(full)]) if i < j]
+        found = self.b.encode(parts, num_threads=1)
+        b = np.array(list(chain.from_iterable(x[len(self.lead):] for x in found)), np.int64)
+        text, a_end, b_end = b"".join(raw), np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        if (
+            all(x[: len(self.lead)] == self.lead for x in found) and self._bytes(self.a_bytes, a) == text == self._bytes(self.b_bytes, b)
+            and np.isin(ends, a_end, kind="sort").all() and np.isin(ends, b_end, kind="sort").all()
+        ):
+            return self._split(a, b, a_end, b_end, ends)
         # the model adds a space: not part of a stretch that begins with a line feed
-        b = self.b.encode([s if f[0] == "\n" else f[1:] for s, f in zip(stretches, full)], num_threads=1) if full else []
-        b = [(x[1:] if x[:1] == [self.space] else []) if f[0] == "\n" else x for f, x in zip(full, b)]
-        return self._matched(full, [self.a.stretch(f) for f in full], b)
+        b = [self.b.encode(LEAD + s)[len(self.lead):] if s[0] == "\n" else self.b.encode(s[1:]) for s in full]
+        return self._matched(raw, [self.a.stretch(s) for s in full], b)
 
     def whole(self, texts: list[str]) -> list[Stretch | None]:
         """Alignments of whole texts."""
         full = [" " + t for t in texts]
-        return self._matched(full, [self.a.ids(f).tolist() for f in full], self.b.encode(texts, num_threads=1) if texts else [])
-
-    def _matched(self, texts: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[Stretch | None]:
-        """None where a side does not give the bytes of its text."""
-        a, b, good = [], [], []
-        for s, x, y in zip(texts, a_ids, b_ids):
-            raw = s.encode()
-            good.append(b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]))
-            if good[-1]:
-                a.append(x)
-                b.append(y)
-        made = iter(self._together(a, b) if a else [])
+        b = self.b.encode(texts, num_threads=1) if texts else []
+        return self._matched([s.encode() for s in full], [self.a.ids(s).tolist() for s in full], b)
+
+    @staticmethod
+    def _bytes(of: list[bytes], ids: np.ndarray) -> bytes:
+        return b"".join(map(of.__getitem__, ids.tolist()))
+
+    def _matched(self, texts: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[Stretch | None]:
+        """Alignments of texts that are encoded each for itself; None where a side does not give the bytes."""
+        good = [
+            b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y])
+            for raw, x, y in zip(texts, a_ids, b_ids)
+        ]
+        kept = [k for k, ok in enumerate(good) if ok]
+        if not kept:
+            return [None] * len(texts)
+        a, b = (np.array(list(chain.from_iterable(side[k] for k in kept)), np.int64) for side in (a_ids, b_ids))
+        ends = np.cumsum([len(texts[k]) for k in kept])
+        made = iter(self._split(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), ends))
         return [next(made) if ok else None for ok in good]
 
-    def _together(self, a: list[list[int]], b: list[list[int]]) -> list[Stretch]:
-        a_id, b_id = (np.concatenate([np.array(x, np.int64) for x in side]) for side in (a, b))
-        a_end, b_end = np.cumsum(self.a_size[a_id]), np.cumsum(self.b_size[b_id])
-        a_start, b_start = a_end - self.a_size[a_id], b_end - self.b_size[b_id]
+    def _split(self, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, ends: np.ndarray) -> list[Stretch]:
+        """Alignments of two rows of tokens, for each stretch that ends at one of ``ends``."""
+        a_start, b_start = a_end - self.a_size[a], b_end - self.b_size[b]
         a_group, b_group = aligned(a_start, a_end, b_start, b_end)
 
         first = np.searchsorted(b_end, a_start, "right")
         each = np.searchsorted(b_start, a_end, "left") - first
-        link_a = np.repeat(a_id, each)
-        link_b = b_id[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)]
-        links = (link_a << 32) | link_b
+        links = (np.repeat(a, each) << 32) | b[_spread(each) + np.repeat(first, each)]
 
-        ids, side = np.concatenate([a_id, b_id]), np.repeat([0, 1], [len(a_id), len(b_id)])
+        ids, side = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
         group = np.concatenate([a_group, b_group])
-        order = np.lexsort((np.arange(len(ids)), side, group))
+        order = np.argsort(2 * group + side, kind="stable")
         ids, side, group = ids[order], side[order], group[order]
-        end_a, end_b = np.cumsum([len(x) for x in a]), np.cumsum([len(x) for x in b])
-        stop = end_a + end_b
-        last = np.zeros(len(ids), bool)
-        last[stop - 1] = True
+        to_a, to_b = np.searchsorted(a_end, ends, "right"), np.searchsorted(b_end, ends, "right")
+        stop = to_a + to_b
         turn, over = np.append(side[1:] != side[:-1], False), np.append(group[1:] != group[:-1], False)
-        said = np.where(last, self.said[""][ids], np.where(over, self.said[";"][ids], np.where(turn, self.said["|"][ids], self.said[","][ids]))).tolist()
-        groups = np.cumsum(np.append(0, over))  # so far, at each token
-        n_links = np.append(0, np.cumsum(each))
-        out, at, from_link = [], 0, 0
-        for x, y, to, to_a in zip(a, b, stop.tolist(), end_a.tolist()):
-            to_link = int(n_links[to_a])
-            out.append(Stretch("".join(said[at:to]), (len(x), len(y), int(groups[to - 1] - groups[at]) + 1), links[from_link:to_link]))
-            at, from_link = to, to_link
-        return out
+        end = np.where(over, 2, turn)
+        end[stop - 1] = 3
+        said = self.said[end * self.ids + ids].tolist()
+        chars = np.append(0, np.cumsum(np.fromiter(map(len, said), np.int64, len(said))))[np.append(0, stop)].tolist()
+        said = "".join(said)
+        n_groups = np.diff(group[stop - 1] + 1, prepend=0)
+        to_link = np.append(0, np.append(0, np.cumsum(each))[to_a]).tolist()
+        rows = zip(np.diff(to_a, prepend=0).tolist(), np.diff(to_b, prepend=0).tolist(), n_groups.tolist())
+        return [
+            Stretch(said[chars[k] : chars[k + 1]], *row, links[to_link[k] : to_link[k + 1]]) for k, row in enumerate(rows)
+        ]
 
     def documents(self, texts: list[str]) -> tuple[list[np.ndarray], list[Stretch]]:
         """The stretches of the texts, and each text as places in that list; a text without tokens has none."""
@@ -202,7 +225,7 @@ def _portioned(batches: Iterator[pa.RecordBatch], byte_level: str, piece_model:
     align, n = _aligner(byte_level, piece_model), TaskContext.get().partitionId() << 32
     for batch, texts in portions(batches):
         docs, held = align.documents(texts)
-        counts = np.array([(*s.counts, len(s.links)) for s in held], np.int64).reshape(-1, 4)
+        counts = np.array([(*s[1:4], len(s.links)) for s in held], np.int64).reshape(-1, 4)
         sums = np.array([counts[d].sum(axis=0) for d in docs], np.int64).reshape(-1, 4)
         said = [s.groups for s in held]
         groups = [";".join(map(said.__getitem__, d.tolist())) for d in docs]

@@ -3,7 +3,8 @@
 Paragraphs are lines. A multinomial logistic regression on sparse word one- and two-grams tells licence
 families from ordinary text; it learns from the notice templates and from paragraphs of the corpus that
 equal a template or resemble none. A temperature fitted on held-out paragraphs calibrates it, and an
-unsure paragraph is ``unknown``. A family counts as confirmed if the paragraph resembles a template of it.
+unsure paragraph is ``unknown``. A family counts as confirmed if the paragraph resembles a template of it and
+has the template's version numbers.
 """
 
 from __future__ import annotations
@@ -144,18 +145,24 @@ def fit(rows: list[tuple[list[str], int]], held: list[tuple[list[str], int]]) ->
 
 
 def _similarity(found: Column, family: str) -> Column:
-    """Largest Jaccard similarity of a paragraph's n-grams to the family's templates."""
+    """Largest Jaccard similarity of a paragraph's n-grams to the family's templates.
+
+    A template counts only if all its numbers stand in the paragraph: another version is another licence.
+    """
     alike = []
     for t in TEMPLATES[family]:
-        whole = sorted(_grams(_tokens(t)))
+        whole, numbers = sorted(_grams(_tokens(t))), sorted({w for w in _tokens(t) if w[0].isdigit()})
         shared = F.size(F.array_intersect(found, F.array(*map(F.lit, whole))))
-        alike.append(shared / (F.size(found) + len(whole) - shared))
+        similarity = shared / (F.size(found) + len(whole) - shared)
+        for n in numbers:
+            similarity = F.when(F.array_contains(found, n), similarity).otherwise(F.lit(0.0))
+        alike.append(similarity)
     return F.greatest(*alike) if len(alike) > 1 else alike[0]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """__row, paragraph (from 0) and __line of every line that is not empty."""
-    keyed = docs.select(F.xxhash64("doc_id", body()).alias("__row"), body().alias("__t"))
+    keyed = docs.select(_row().alias("__row"), body().alias("__t"))
     return keyed.select("__row", F.posexplode(F.split("__t", "\n")).alias("paragraph", "__line")).where("__line <> ''")
 
 
@@ -201,7 +208,16 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     * Null and empty texts have no paragraphs. A document may have several notices.
     * Repeated rows report alike, each once; null ids report like others. Extra columns are ignored.
     """
-    model = model or train(docs)
+    ids = docs.select("doc_id", _row().alias("__row"))
+    return ids.join(_notices(docs, model or train(docs)), "__row").drop("__row")
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", body())
+
+
+def _notices(docs: DataFrame, model: Model) -> DataFrame:
+    """``scan`` with the key of a row in the place of its id, staged."""
     spark, margins = docs.sparkSession, model.margins
     marks = sorted({*model.telling(), *TALK})
     lines = paragraphs(docs)
@@ -225,20 +241,21 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     confirmed = (F.col("__p") >= CONFIDENT) & (F.col("similarity") >= ALIKE)
     family = F.when(confirmed, F.get(F.array(*map(F.lit, FAMILIES)), F.col("__best.i"))).otherwise(F.lit("unknown"))
     notices = scored.select("__row", "paragraph", family.alias("family"), F.round("__p", 6).alias("confidence"), "similarity", confirmed.alias("confirmed"))
-    ids = docs.select("doc_id", F.xxhash64("doc_id", body()).alias("__row"))
-    return ids.join(staged(notices, "notices"), "__row").drop("__row")
+    return staged(notices, "notices")
 
 
 def document_licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every document with its notices: doc_id, n_notices, families (sorted, distinct) and first_paragraph.
 
-    Documents without a notice have 0, an empty list and null. Rows of one doc_id are one document.
+    Documents without a notice have 0, an empty list and null. Rows of one doc_id are one document; rows without an
+    id are documents of their own, those of equal texts one.
     """
-    of = scan(docs, model).select("doc_id", "paragraph", "family").distinct()
-    every = docs.select("doc_id", F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("string").alias("family"))
-    return every.unionByName(of).groupBy("doc_id").agg(
+    notices = _notices(docs, model or train(docs))
+    ids = docs.select("doc_id", _row().alias("__row")).distinct()
+    own = F.when(F.col("doc_id").isNull(), F.col("__row")).alias("__own")
+    of = ids.join(notices, "__row").select("doc_id", own, "paragraph", "family").distinct()
+    every = ids.select("doc_id", own, F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("string").alias("family"))
+    return every.unionByName(of).groupBy("doc_id", "__own").agg(
         F.count("paragraph").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.min("paragraph").alias("first_paragraph"),
-    )
-
-
+    ).drop("__own")

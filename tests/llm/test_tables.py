@@ -16,7 +16,7 @@ from corpus_data import EDGES, documents, lines, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curvelens.llm import decontam, fingerprints, jaccard_join, line_dedup, lm, queries, sharding, sql
+from curvelens.llm import decontam, fingerprints, jaccard_join, licenses, line_dedup, lm, queries, sharding, sql
 from curvelens.llm import components as graph
 
 FOLDER = "/root/testdata/sf0.001"
@@ -102,6 +102,45 @@ def test_trees_lose_no_pair():
     assert len(list(jaccard_join.candidates(two, limit=3))) == 3
 
 
+def test_near_misses_are_settled(spark, monkeypatch):
+    """A family of copies that link with some others and just miss the rest, settled in tiles of few classes."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", 600)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(120):
+        text = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 1, 2, 3])):
+            text[at] = f"x{k}{at}"
+        rows.append((k, " ".join(text)))
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    want = components(rows)
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_tiles_bring_enough_links():
+    import pandas as pd
+
+    base = [f"w{k}" for k in range(60)]
+    texts = {c: " ".join([*base[:c], f"x{c}", *base[c + 1 :]]) for c in range(8)}
+    found = {(a, b) for a in texts for b in texts if a < b}
+    tiles = jaccard_join._tiled(found, 1)
+    assert jaccard_join._members(tiles)["c"].tolist() == list(texts)
+    links = jaccard_join._judged(tiles, pd.DataFrame({"c": list(texts), "text": list(texts.values())}))
+    assert 0 < len(links) <= 7
+    rows = list(texts.items())
+    want = components(rows)
+    reach = {c: c for c in texts}
+    for a, b in sorted(map(tuple, links.to_numpy().tolist())):
+        old, new = max(reach[a], reach[b]), min(reach[a], reach[b])
+        reach = {c: new if r == old else r for c, r in reach.items()}
+    assert reach == want
+    split = jaccard_join._tiled(found, 3)
+    assert sorted(tuple(p) for x in split["pairs"] for p in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()) == sorted(found)
+    assert len(jaccard_join._tiled(set(), 3)) == 0
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = jaccard_join.near_duplicates(edges).collect()
     assert len(got) == len(EDGES) and jaccard_join.near_duplicates(nothing).count() == 0
@@ -202,7 +241,11 @@ def test_shared_wording_of_items_leads_to_no_candidates(spark):
 
 
 def test_native_plans_hold_no_python(spark, sample):
-    for df in (fingerprints.fingerprint_edits(sample), line_dedup.remove_repeated_lines(sample), sharding.shard(sample)):
+    bench = queries.table(spark, FOLDER, "benchmark")
+    for df in (
+        fingerprints.fingerprint_edits(sample), line_dedup.remove_repeated_lines(sample), sharding.shard(sample),
+        licenses.document_licences(sample), decontam.leaks(sample, bench),
+    ):
         plan = df._jdf.queryExecution().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
 

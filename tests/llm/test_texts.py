@@ -152,6 +152,20 @@ def test_licence_edges(spark, edges, nothing):
     ]
     got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan(documents(spark, rows)).collect()}
     assert got == {(1, 1, "Apache-2.0", True), (None, 0, "MIT", True), (2, 0, "unknown", False), (4, 0, "MIT", True), (4, 1, "CC-BY-NC-4.0", True)}
+    whole = Counter(tuple(r) for r in licenses.document_licences(documents(spark, [*rows, (None, "no notice"), (None, None)])).collect())
+    assert whole == Counter([(1, 1, "Apache-2.0", 1), (None, 1, "MIT", 0), (2, 1, "unknown", 0), (3, 0, "", None), (4, 2, "CC-BY-NC-4.0,MIT", 0),
+                             (None, 0, "", None), (None, 0, "", None)])
+
+
+def test_other_versions_are_not_confirmed(spark):
+    rows = [
+        (1, "This work is licensed under the GNU General Public License, version 3."),
+        (2, "This work is licensed under the GNU General Public License, version 2."),
+        (3, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License."),
+        (4, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ]
+    got = {r.doc_id: (r.family, r.confirmed) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {1: ("GPL-3.0", True), 2: ("unknown", False), 3: ("unknown", False), 4: ("CC-BY-SA-4.0", True)}
 
 
 def test_quality_on_held_out_rows(spark):
