@@ -34,6 +34,7 @@ def trade_states(
     track_creator: bool = False,
     status: str = "instant",
     opening: DataFrame | None = None,
+    only: str | None = None,
 ) -> DataFrame:
     """Staged swaps with the reserves, prices, fill and status of their curve after each of them.
 
@@ -42,7 +43,11 @@ def trade_states(
     creator's running balance and sales. ``status='sticky'`` keeps a curve graduated after its first
     graduation; the default follows each trade. ``opening`` holds one row of running totals per
     curve (``base``, ``tokens``, ...) from which the trades continue, as in the streaming job.
+    ``only`` leaves out slices of the tape without trades of interest: ``'creator'`` keeps those with a trade of the
+    creator (and needs ``track_creator``), ``'graduated'`` those in which the curve may be full.
     """
+    if only not in (None, "creator", "graduated") or only == "creator" and not track_creator or only and opening is not None:
+        raise ValueError(f"unknown or unfit choice of slices: {only}")
     launches = _launches(meta)
     if opening is not None:
         launches = launches.join(opening.withColumn("opened", F.lit(True)).withColumnsRenamed(
@@ -62,7 +67,14 @@ def trade_states(
             link=("creator_address",),
         )
     deltas = {"base": signed("base_asset_amount"), "tokens": signed("token_amount")}
-    walked = running_totals(swaps, deltas, spec, attached=attached).withColumnRenamed("first_of_key", "first_of_curve")
+    # the most that the curve can hold inside the slice, free of summing noise
+    most = (F.col("_sum_base") + F.col("_gross_base")) * (1 + 1e-9) + 1e-9
+    kept = {
+        "creator": F.col("_contributes"),
+        "graduated": (fill_pct(most, "graduation_threshold_base") >= thresholds.graduated_fill)
+        | (F.col("graduation_threshold_base") < 0),
+    }.get(only)
+    walked = running_totals(swaps, deltas, spec, attached=attached, only=kept).withColumnRenamed("first_of_key", "first_of_curve")
     if opening is not None:
         names = RUNNING if track_creator else RUNNING[:2]
         walked = walked.withColumns(

@@ -81,10 +81,14 @@ def running_totals(
     spec: SliceSpec = SliceSpec(),
     key: str = "curve_address",
     attached: Attached | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """Adds ``<name>_before`` and ``<name>_after`` for every delta, and ``first_of_key``.
 
-    With ``attached``, only trades of its keys remain, once per copy.
+    With ``attached``, only trades of its keys remain, once per copy. ``only`` picks the slices whose trades are
+    wanted; the others are summed but not walked. It may use the columns of ``attached.rows``, the opening
+    balances ``_sum_<name>``, the positive deltas of the slice ``_gross_<name>``, and ``_contributes``: whether
+    the slice has contributors.
     """
     moves = _placed(trades.where(F.col(key).isNotNull()), spec)
     late = attached.deltas if attached else {}
@@ -92,15 +96,23 @@ def running_totals(
     sums = [f"_sum_{name}" for name in names]
     copies = [attached.copy] if attached else []
     slice_key = [key, "_bin", "_block", "_run"]
+    gross = [F.sum(F.greatest(delta, F.lit(0.0))).alias(f"_gross_{name}") for name, delta in deltas.items()] if only is not None else []
+    bounds = [f"_gross_{name}" for name in deltas] if gross else []
+    if late:  # summed once, by the finest slices
+        link = list(attached.link)
+        finest = _placed(attached.contributors, spec).groupBy(*slice_key, *link).agg(*_sums(late))
 
     def with_late_sums(totals: DataFrame, grain: list[str]) -> DataFrame:
         if not late:
             return totals
-        own = _placed(attached.contributors, spec).groupBy(*grain, *attached.link).agg(*_sums(late))
+        own = finest
+        if grain != slice_key:
+            own = finest.groupBy(*grain, *link).agg(*[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in late])
+        own = own.withColumn("_contributes", F.lit(True))
         zeros = {f"_sum_{name}": F.coalesce(f"_sum_{name}", F.lit(0.0)) for name in late}
-        return totals.join(own, [*grain, *attached.link], "left").withColumns(zeros)
+        return totals.join(own, [*grain, *link], "left").withColumns(zeros)
 
-    bins = moves.groupBy(key, "_bin").agg(F.count("*").alias("_rows"), *_sums(deltas))
+    bins = moves.groupBy(key, "_bin").agg(F.count("*").alias("_rows"), *_sums(deltas), *gross)
     over_full = F.col("_rows") > spec.max_rows
     # The NULL tests never fail. They keep the sums in this plan, so that it is the same aggregate as
     # the one for the balances and Spark computes it once.
@@ -115,17 +127,19 @@ def running_totals(
         {"_opens_key": F.row_number().over(along_key) == 1} | {s: _opening(s, before) for s in sums}
     )
     whole = opened.where(~over_full).selectExpr("*", "0L as _block", "0L as _run")
-    cuts = moves.join(full, [key, "_bin"]).groupBy(*slice_key).agg(*_sums(deltas))
+    cuts = moves.join(full, [key, "_bin"]).groupBy(*slice_key).agg(*_sums(deltas), *gross)
     along_bin = Window.partitionBy(key, "_bin", *copies).orderBy("_block", "_run")
     before_cut = along_bin.rowsBetween(Window.unboundedPreceding, -1)
-    opened_bins = opened.where(over_full).withColumnsRenamed({s: f"_bin{s}" for s in sums})
+    opened_bins = opened.where(over_full).drop("_contributes", *bounds).withColumnsRenamed({s: f"_bin{s}" for s in sums})
     cut = with_late_sums(cuts.join(opened_bins, [key, "_bin"]), slice_key).withColumns(
         {"_opens_key": F.col("_opens_key") & (F.row_number().over(along_bin) == 1)}
         | {s: F.col(f"_bin{s}") + _opening(s, before_cut) for s in sums}
     )
     extra = [c for c in attached.rows.columns if c != key] if attached else []
     columns = [*slice_key, *extra, "_opens_key", *sums]
-    slices = whole.select(*columns).unionByName(cut.select(*columns))
+    told = [*columns, *bounds, *(["_contributes"] if late else [])]
+    slices = whole.select(*told).unionByName(cut.select(*told))
+    slices = (slices if only is None else slices.where(only)).select(*columns)
 
     # the trades, shuffled once by slice
     sliced = moves.join(full, [key, "_bin"], "left").withColumns(

@@ -116,7 +116,17 @@ class Pipeline:
 
     @cached_property
     def time_to_graduation(self) -> DataFrame:
-        return curve.time_to_graduation(self.states)
+        some = self._some_states("graduated") if self.status == "instant" else self.states
+        return curve.time_to_graduation(some)
+
+    def _some_states(self, only: str) -> DataFrame:
+        """States of the slices that matter; all of them where they have been written already."""
+        stored, creator = self.__dict__.get("states"), only == "creator"
+        if stored is not None and stored is self.__dict__.get("tracked_states"):
+            return stored
+        return curve.trade_states(
+            self.swaps, self.meta, self.slices, self.thresholds, track_creator=creator, status=self.status, only=only
+        )
 
     @cached_property
     def curve_monitor(self) -> DataFrame:
@@ -173,7 +183,7 @@ class Pipeline:
 
     @cached_property
     def dev_activity(self) -> DataFrame:
-        return risk.dev_activity(self.tracked_states)
+        return risk.dev_activity(self._some_states("creator"))
 
     @cached_property
     def dump_risk(self) -> DataFrame:
@@ -274,8 +284,8 @@ class Pipeline:
             return quality.check_velocity(self.token_velocity)
         if name == "wallet_grain":
             return quality.check_wallet_grain(self.swaps, self.meta, self.dim_wallets)
-        if name == "grain":
-            return quality.check_grain(self.tables())
+        if name == "grain":  # all marts at once, from one build of what they share
+            return quality.check_grain(self.materialised().tables())
         raise ValueError(f"unknown check: {name}")
 
     CHECKS = ("graduation", "snipers", "whales", "velocity", "wallet_grain", "grain")
@@ -295,16 +305,18 @@ class Pipeline:
             df.createOrReplaceTempView(name)
 
     def materialised(self, path: str | None = None) -> Pipeline:
-        """The same pipeline with the per-trade states written once and read back.
+        """The same pipeline with the per-trade states and the wallet rows written once and read back.
 
-        For jobs that need several results: the states are the one expensive stage they share. The
-        table lies in the cluster's shared folder, so a lost executor costs only its own tasks.
+        For jobs that need several results: they share these two stages. The tables lie in the cluster's
+        shared folder, so a lost executor costs only its own tasks.
         """
         spark = self.raw.swaps.sparkSession
-        path = path or shared_dir(spark, "trade-states")
+        path = (path or shared_dir(spark, "trade-states")).rstrip("/")
         self.tracked_states.write.mode("overwrite").parquet(path)
+        self.wallet_base.write.mode("overwrite").parquet(f"{path}-wallets")
         same = Pipeline(self.raw, self.thresholds, self.slices, self.close, self.status, self.totals)
         same.tracked_states = same.states = spark.read.parquet(path)
+        same.wallet_base = spark.read.parquet(f"{path}-wallets")
         return same
 
     def write_marts(self, folder: str, states_path: str | None = None) -> None:

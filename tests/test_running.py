@@ -103,6 +103,28 @@ def test_sliced_reports_agree(spark, folder):
             assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in b.items()} == a
 
 
+@pytest.mark.parametrize("spec", [SliceSpec(), SliceSpec(blocks=24, max_rows=5, tx_run=50), SliceSpec(blocks=2, max_rows=1, tx_run=1)])
+def test_slices_left_out_change_nothing(spark, folder, spec):
+    """Creator trades and graduations from the slices that matter, against all states."""
+    from curvelens import RawTables
+    from curvelens.operators import curve, risk
+
+    p = Pipeline(RawTables.from_events(spark, folder), slices=spec)
+    for got, want, key in [
+        (p.dev_activity, risk.dev_activity(p.tracked_states), ["tx_hash"]),
+        (p.time_to_graduation, curve.time_to_graduation(p.states), ["curve_address"]),
+    ]:
+        got, want = rows(got, *key), rows(want, *key)
+        assert len(got) == len(want) > 0
+        for g, w in zip(got, want, strict=True):
+            assert {k: pytest.approx(v, abs=1e-6) if isinstance(v, float) else v for k, v in w.items()} == g
+    if spec.blocks == 24:
+        every = p.states.count()
+        for only, creator in [("creator", True), ("graduated", False)]:
+            some = curve.trade_states(p.swaps, p.meta, spec, p.thresholds, track_creator=creator, only=only)
+            assert 0 < some.count() < every
+
+
 def exchanged(plan):
     """For every exchange of a plan printout: its line and the line of its child."""
     lines = plan.splitlines()
