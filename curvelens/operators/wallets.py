@@ -239,24 +239,6 @@ def wallet_forensics(log: DataFrame, curves: DataFrame, thresholds: Thresholds =
     )
 
 
-def top_holders(forensics: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """The largest holders of each curve, ties by address.
-
-    Because only the first ranks are kept, each map task passes on no more than that many rows per
-    curve (window group limit); a hot curve's holders never meet in one task.
-    """
-    largest = Window.partitionBy("curve_address").orderBy(F.desc("current_token_balance"), "trader_address")
-    return (
-        forensics.where(F.col("current_token_balance") > 0)
-        .withColumn("holder_rank", F.row_number().over(largest))
-        .where(F.col("holder_rank") <= thresholds.top_holders)
-        .select(
-            "curve_address", "token_address", "trader_address", "holder_rank", "current_token_balance",
-            "pct_supply_held", "wallet_cohort",
-        )
-    )
-
-
 def holder_ranks(forensics: DataFrame) -> DataFrame:
     """All holders of each curve by falling balance, ties by address.
 

@@ -150,7 +150,8 @@ def test_plan_shuffles_whole_trades_once(spark, folder, stage):
     wide = [e for e, child in exchanged(plan) if "tx_hash" in child and "tx_index" in child and "ReusedExchange" not in e]
     by_slice = [e for e in wide if "_bin" in e and "_run" in e]
     assert len(by_slice) == 1
-    assert len(wide) - len(by_slice) <= (stage == "alerts")  # alert rows by curve and type, after the rank limit
+    # without broadcasts, trades also meet the short list of over-full slices
+    assert all("_bin" in e for e in wide) and len(wide) <= 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "ReusedExchange" in plan
 
@@ -163,11 +164,13 @@ def test_plan_has_no_whole_curve_window_over_trades(spark, folder):
     assert windows and all("_bin" in w and "_run" in w for w in windows)
 
 
-def test_top_holders_are_limited_before_the_shuffle(spark, folder):
+def test_holders_of_a_curve_are_dealt_into_parts(spark, folder):
     from curvelens import RawTables
 
-    plan = plan_of(spark, Pipeline(RawTables.from_events(spark, folder)).holder_rank)
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    plan = plan_of(spark, Pipeline(RawTables.from_events(spark, folder)).supply_concentration())
+    windows = [line for line in plan.splitlines() if "Window [" in line and "current_token_balance" in line]
+    assert windows and all("_part" in w for w in windows)
+    assert plan.count("FileScan") == 2 and "Expand" not in plan
 
 
 def test_running_totals_on_other_keys(spark):
