@@ -13,11 +13,11 @@ lists a pair once, however often it occurs in it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -60,17 +60,10 @@ def aligned(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     return group[label[:n]], group[label[n:]]
 
 
-class Stretch(NamedTuple):
-    """What a stretch adds to a document: its groups, their counts, and its links as pairs of ids in one number."""
-
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: np.ndarray
-
-
-NOTHING = Stretch("", 0, 0, 0, np.empty(0, np.int64))
+#: What a stretch adds to a document: its groups, the numbers of its tokens A, B and groups, and its links as pairs of
+#: ids in one number.
+Stretch = tuple[str, int, int, int, np.ndarray]
+NOTHING: Stretch = ("", 0, 0, 0, np.empty(0, np.int64))
 
 
 class Aligner:
@@ -87,6 +80,8 @@ class Aligner:
         self.cuts = self.a.cuts and not inner
         self.ids = max(len(self.a_bytes), len(names))
         self.said = np.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(self.ids)], object)
+        self.said_size = np.array(list(map(len, self.said)))
+        self.b_flat = np.frombuffer(b"".join(self.b_bytes), np.uint8)
         self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
         self.memory = Memory(REMEMBERED)
 
@@ -98,22 +93,23 @@ class Aligner:
         if not stretches:
             return []
         full = list(map(spelled, stretches))
-        raw = [s.encode() for s in full]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        a = self.a.ids("".join(full)).astype(np.int64)
+        text = "".join(full)
+        raw = np.frombuffer("\0".join([*full, ""]).encode(), np.uint8)  # no stretch has a zero
+        ends = np.flatnonzero(raw == 0) - np.arange(len(full))
+        raw = raw[raw != 0]
+        a = self.a.ids(text).astype(np.int64)
         cuts = np.flatnonzero(np.diff(ends // PORTION, prepend=0)).tolist()
         parts = [LEAD + "".join(full[i:j]) for i, j in zip([0, *cuts], [*cuts, len(full)]) if i < j]
         found = self.b.encode(parts, num_threads=1)
         b = np.array(list(chain.from_iterable(x[len(self.lead):] for x in found)), np.int64)
-        text, a_end, b_end = b"".join(raw), np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        if (
-            all(x[: len(self.lead)] == self.lead for x in found) and self._bytes(self.a_bytes, a) == text == self._bytes(self.b_bytes, b)
-            and np.isin(ends, a_end, kind="sort").all() and np.isin(ends, b_end, kind="sort").all()
-        ):
-            return self._split(a, b, a_end, b_end, ends)
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # side A is byte-level: it always gives the bytes of its text
+        if all(x[: len(self.lead)] == self.lead for x in found) and a_end[-1] == len(raw) and np.array_equal(self._b_text(b), raw):
+            if all((e[np.searchsorted(e, ends)] == ends).all() for e in (a_end, b_end)):
+                return self._split(a, b, a_end, b_end, ends)
         # the model adds a space: not part of a stretch that begins with a line feed
         b = [self.b.encode(LEAD + s)[len(self.lead):] if s[0] == "\n" else self.b.encode(s[1:]) for s in full]
-        return self._matched(raw, [self.a.stretch(s) for s in full], b)
+        return self._matched([s.encode() for s in full], [self.a.stretch(s) for s in full], b)
 
     def whole(self, texts: list[str]) -> list[Stretch | None]:
         """Alignments of whole texts."""
@@ -121,9 +117,9 @@ class Aligner:
         b = self.b.encode(texts, num_threads=1) if texts else []
         return self._matched([s.encode() for s in full], [self.a.ids(s).tolist() for s in full], b)
 
-    @staticmethod
-    def _bytes(of: list[bytes], ids: np.ndarray) -> bytes:
-        return b"".join(map(of.__getitem__, ids.tolist()))
+    def _b_text(self, ids: np.ndarray) -> np.ndarray:
+        size = self.b_size[ids]
+        return self.b_flat[np.repeat((np.cumsum(self.b_size) - self.b_size)[ids], size) + _spread(size)]
 
     def _matched(self, texts: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[Stretch | None]:
         """Alignments of texts that are encoded each for itself; None where a side does not give the bytes."""
@@ -157,14 +153,15 @@ class Aligner:
         turn, over = np.append(side[1:] != side[:-1], False), np.append(group[1:] != group[:-1], False)
         end = np.where(over, 2, turn)
         end[stop - 1] = 3
-        said = self.said[end * self.ids + ids].tolist()
-        chars = np.append(0, np.cumsum(np.fromiter(map(len, said), np.int64, len(said))))[np.append(0, stop)].tolist()
-        said = "".join(said)
+        word = end * self.ids + ids
+        chars = np.append(0, np.cumsum(self.said_size[word]))[np.append(0, stop)].tolist()
+        said = "".join(self.said[word].tolist())
         n_groups = np.diff(group[stop - 1] + 1, prepend=0)
         to_link = np.append(0, np.append(0, np.cumsum(each))[to_a]).tolist()
-        rows = zip(np.diff(to_a, prepend=0).tolist(), np.diff(to_b, prepend=0).tolist(), n_groups.tolist())
+        n_a, n_b = np.diff(to_a, prepend=0).tolist(), np.diff(to_b, prepend=0).tolist()
         return [
-            Stretch(said[chars[k] : chars[k + 1]], *row, links[to_link[k] : to_link[k + 1]]) for k, row in enumerate(rows)
+            (said[i:j], x, y, z, links[k:m])
+            for i, j, x, y, z, k, m in zip(chars, chars[1:], n_a, n_b, n_groups.tolist(), to_link, to_link[1:])
         ]
 
     def documents(self, texts: list[str]) -> tuple[list[np.ndarray], list[Stretch]]:
@@ -202,8 +199,8 @@ def linked_pairs(docs: list[np.ndarray], held: list[Stretch]) -> tuple[np.ndarra
     flat = np.concatenate([*docs, np.empty(0, np.int64)])
     code, often = np.unique(owner * max(len(held), 1) + flat, return_counts=True)  # each stretch of a document once
     owner, flat = np.divmod(code, max(len(held), 1))
-    sizes = np.array([len(s.links) for s in held], np.int64)
-    pairs, where = np.unique(np.concatenate([s.links for s in held]) if held else np.empty(0, np.int64), return_inverse=True)
+    sizes = np.array([len(s[4]) for s in held], np.int64)
+    pairs, where = np.unique(np.concatenate([s[4] for s in held]) if held else np.empty(0, np.int64), return_inverse=True)
     begin = np.cumsum(sizes) - sizes
     each = sizes[flat]
     pair = where[np.repeat(begin[flat], each) + _spread(each)]
@@ -223,11 +220,12 @@ def digest(groups: str) -> str:
 
 def _portioned(batches: Iterator[pa.RecordBatch], byte_level: str, piece_model: str, say) -> Iterator[pa.RecordBatch]:
     align, n = _aligner(byte_level, piece_model), TaskContext.get().partitionId() << 32
+    gc.disable()  # what is remembered has no cycles, and is large to look through
     for batch, texts in portions(batches):
         docs, held = align.documents(texts)
-        counts = np.array([(*s[1:4], len(s.links)) for s in held], np.int64).reshape(-1, 4)
+        counts = np.array([(x, y, z, len(links)) for _, x, y, z, links in held], np.int64).reshape(-1, 4)
         sums = np.array([counts[d].sum(axis=0) for d in docs], np.int64).reshape(-1, 4)
-        said = [s.groups for s in held]
+        said = [s[0] for s in held]
         groups = [";".join(map(said.__getitem__, d.tolist())) for d in docs]
         named = pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(sums[:, k]) for k in range(4)),
