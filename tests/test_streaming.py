@@ -188,28 +188,6 @@ def test_segment_numbers_cover_all_batches():
             assert len(table.segments(n)) <= (fan - 1) * 10
 
 
-def test_live_marts_relabel_earlier_trades(spark, tmp_path):
-    """A wallet turns into a whale, a hash is mined again, a batch is repeated; earlier rows follow."""
-    day = timedelta(days=1)
-    more = [
-        swap(60, 1200, day, "nova", "0xretail_1", "BUY", 20, 1e6), swap(61, 1201, day * 2, "nova", "0xretail_2", "SELL", 1, 90e6),
-        dict(swap(62, 1300, day * 3, "nova", "0xretail_3", "BUY", 1, 1e6), tx_hash="0xsw_3"),
-        swap(63, 2200, day * 3, "phantom", "0xsniper_9", "BUY", 30, 1e6),
-    ]
-    batches = [SWAPS, [], more]
-    p = Pipeline(raw_tables(spark, SWAPS + more, LAUNCHES))
-    live = LiveCurves(spark, str(tmp_path / "live"), lambda: p.meta, delay="0 minutes", fan=2, buckets=2)
-    for number, part in enumerate(batches):
-        live.process(Pipeline(raw_tables(spark, part, LAUNCHES)).swaps, number)
-    live.process(Pipeline(raw_tables(spark, batches[-1], LAUNCHES)).swaps, len(batches) - 1)
-    for name, key in [("fct_trades", ["tx_hash", "block_number"]), ("fct_curve_daily", ["curve_address", "trade_date"]),
-                      ("dim_wallets", ["trader_address"]), ("dim_tokens", ["token_address"])]:
-        assert_same(getattr(live.marts, name)(), getattr(p, name), *key)
-    cohorts = {r["trader_cohort"] for r in live.marts.fct_trades().where("trader_address = '0xretail_1'").collect()}
-    assert cohorts == {"WHALE"}
-    assert_same(live.alerts(), p.alerts, "alert_type", "curve_address", "tx_hash", "event_ts", "metric_value")
-
-
 def test_marts_written(spark, tmp_path, tape):
     tape.write_marts(str(tmp_path / "marts"), str(tmp_path / "states"))
     for name, key in [("fct_trades", ["tx_hash"]), ("fct_curve_daily", ["curve_address", "trade_date"]),
