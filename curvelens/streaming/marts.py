@@ -54,7 +54,7 @@ class LiveMarts:
         thresholds: Thresholds = Thresholds(), fan: int = FAN, buckets: int = BUCKETS,
     ):
         self.spark, self.folder, self.launches, self.states = spark, f"{folder.rstrip('/')}/marts", launches, states
-        self.thresholds, self.buckets = thresholds, buckets
+        self.thresholds, self.buckets, self.carry = thresholds, buckets, f"{folder.rstrip('/')}/carry"
 
         def table(name: str, merge, partition: str) -> SegmentTable:
             return SegmentTable(spark, f"{folder.rstrip('/')}/partial/{name}", merge, partition, fan)
@@ -96,7 +96,9 @@ class LiveMarts:
         relabelled = self._relabelled(touched, batch_id)
         moved = _of_keys(self.days.read(batch_id), relabelled, WALLET_KEY).select("trade_date")
         days = stored.select("trade_date").union(moved).distinct()
-        self._write_facts(days, batch_id)
+        labels = wallets.wallet_clusters(self._classified(self.measures.read(batch_id))).select(*WALLET_KEY, *LABELS)
+        # both facts read them
+        self._write_facts(self._stored(days, "days", batch_id), self._stored(labels, "labels", batch_id), batch_id)
         self._write_wallets(touched, batch_id)
         self._write_tokens(touched, batch_id)
 
@@ -141,9 +143,13 @@ class LiveMarts:
         both = labels(batch_id).join(old, _same(key, [f"_{c}" for c in key]))
         return both.where(~_same(LABELS, [f"_{c}" for c in LABELS])).select(*WALLET_KEY)
 
-    def _write_facts(self, days: DataFrame, batch_id: int) -> None:
+    def _stored(self, rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = f"{self.carry}/batch={batch_id}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _write_facts(self, days: DataFrame, labels: DataFrame, batch_id: int) -> None:
         states = _on_days(self.states.read(batch_id), days)
-        labels = wallets.wallet_clusters(self._classified(self.measures.read(batch_id)))
         trades = marts.fct_trades(states, labels).withColumn("trade_date", day_text("block_timestamp"))
         write_mart(trades, f"{self.folder}/fct_trades", partition_by="trade_date", dynamic=True)
         rows = _on_days(self.days.read(batch_id), days)
