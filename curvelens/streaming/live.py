@@ -18,7 +18,8 @@ limit is passed and follows the buys of the launch blocks as they come.
 Tables under the folder (``SegmentTable``: few files after any number of batches):
   states/   per-trade states, by trade_date      late/      trades behind the watermark
   alerts/   alert rows by identity               hours/     hourly fees
-  carry/    balances, buys of launch blocks, pending trades and clock; of the last batches only
+  carry/    launches, balances, buys of launch blocks, pending trades and clock, touched days and labels;
+            of the last batches only
   partial/, marts/  see ``streaming.marts``
 """
 
@@ -82,13 +83,13 @@ class LiveCurves:
         fan: int = FAN,
         buckets: int = BUCKETS,
     ):
-        self.spark, self.folder, self.launches = spark, folder.rstrip("/"), launches
+        self.spark, self.folder, self._source, self._known = spark, folder.rstrip("/"), launches, None
         self.delay, self.thresholds, self.slices, self.with_alerts = delay, thresholds, slices, with_alerts
         self.state_table = SegmentTable(spark, f"{self.folder}/states", partition="trade_date", fan=fan)
         self.late_table = SegmentTable(spark, f"{self.folder}/late", fan=fan)
         self.alert_table = SegmentTable(spark, f"{self.folder}/alerts", _by_identity, fan=fan)
         self.hour_table = SegmentTable(spark, f"{self.folder}/hours", _hour_sums, fan=fan)
-        self.marts = LiveMarts(spark, self.folder, launches, self.state_table, thresholds, fan, buckets) if with_marts else None
+        self.marts = LiveMarts(spark, self.folder, self.launches, self.state_table, thresholds, fan, buckets) if with_marts else None
 
     # ------------------------------------------------------------------ driving
     def start(self, swaps: DataFrame, trigger: dict | None = None):
@@ -105,6 +106,20 @@ class LiveCurves:
         self.process(swaps.where("false"), self._last_batch() + 1, ending=True)
 
     def process(self, batch: DataFrame, batch_id: int, ending: bool = False) -> None:
+        # stored once for the batch: its steps ask for them many times, and all see the same ones
+        known, path = self._source(), f"{self.folder}/carry/batch={batch_id}/launches"
+        known.write.mode("overwrite").parquet(path)
+        self._known = self.spark.read.schema(known.schema).parquet(path)
+        try:
+            self._process(batch, batch_id, ending)
+        finally:
+            self._known = None
+
+    def launches(self) -> DataFrame:
+        """Launch parameters: as of the batch in process, else as of now."""
+        return self._source() if self._known is None else self._known
+
+    def _process(self, batch: DataFrame, batch_id: int, ending: bool) -> None:
         carry = self._carry(batch_id - 1)
         # newest block time ever seen; one row reaches the driver
         newest = batch.agg(F.max("block_timestamp").alias("newest")).first()["newest"]

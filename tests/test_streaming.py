@@ -8,6 +8,7 @@ from launch_data import LAUNCHES, SWAPS, T0, raw_tables, rows, swap
 from curvelens import Pipeline, RawTables
 from curvelens.contracts import CURVE_STATE, RAW_SWAPS
 from curvelens.operators.running import SliceSpec
+from curvelens.streaming import marts as live_marts
 from curvelens.streaming import rollups
 from curvelens.streaming.live import LiveCurves
 from curvelens.streaming.sources import staged_stream, stream_table
@@ -114,6 +115,23 @@ def test_empty_first_batch(spark, tmp_path):
     assert_same(live.states().select(*CURVE_STATE), p.curve_state, "tx_hash")
 
 
+def test_launches_and_labels_are_found_once_a_batch(spark, tmp_path, monkeypatch):
+    p, asked, seen = Pipeline(raw_tables(spark, SWAPS, LAUNCHES)), [], []
+    live = LiveCurves(spark, str(tmp_path / "live"), lambda: asked.append(1) or p.meta)
+    for module, name in [(live_marts.marts, "fct_trades"), (live_marts.marts, "daily_fact")]:
+        made = getattr(module, name)
+        place = 1 if name == "fct_trades" else 2
+        monkeypatch.setattr(module, name, lambda *a, made=made, place=place: seen.append(a[place]) or made(*a))
+    live.process(p.swaps, 0)
+    assert len(asked) == 1
+    live.process(p.swaps.where("false"), 1, ending=True)
+    assert len(asked) == 2
+    assert len(seen) == 4 and not any("Join" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
+    assert_same(live.marts.dim_wallets(), p.dim_wallets, "trader_address")
+    assert_same(live.marts.dim_tokens(), p.dim_tokens, "token_address")
+    assert_same(live.marts.fct_trades(), p.fct_trades, "tx_hash")
+
+
 def test_live_fee_spike(spark, tmp_path):
     quiet = [swap(i, 1000 + i, timedelta(hours=i), "nova", "0xa", "BUY", 1, 10) for i in range(200)]
     spike = swap(500, 1199, timedelta(hours=199, minutes=1), "nova", "0xa", "BUY", 1, 10, protocol_fee_amount=1.0)
