@@ -126,6 +126,15 @@ def test_fingerprints_at_the_edges(spark, edges, nothing):
     assert fingerprints.fingerprint_edits(documents(spark, [(None, "abc"), (None, "abd")])).count() == 2
 
 
+def test_fingerprints_draw_once_for_texts_that_share_a_word(spark, monkeypatch):
+    texts = documents(spark, [(i, f"all of it {'twice ' * (1 + i % 2)}{i // 4}") for i in range(60)] + [(90, None), (91, ""), (None, "all")])
+    got = fingerprints.fingerprint_edits(texts)
+    sums = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x and "min(" in x]
+    assert sums and not any("ln(" in x for x in sums)  # drawn before the values go to their texts
+    monkeypatch.setattr(fingerprints, "SHARED", 3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, fingerprints.fingerprint_edits(texts).collect()))
+
+
 def test_successors_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BLOCKS", 7)
     ids = [3 * i for i in range(100)]
