@@ -334,6 +334,45 @@ def test_language_model_starts_from_all_tokens(monkeypatch):
     assert one != two
 
 
+def test_language_model_contexts_share_no_counts(monkeypatch):
+    """Each choice of each token gets the counts of its own context, over all chunks, as in a plain walk."""
+    (x, coder), (y, _) = _chunk(90_000, 6, (0, 400, 60_000)), _chunk(50_000, 7, (0, 20_000))
+    x.held[1] = True
+    monkeypatch.setattr(lm.Chunk, "of", classmethod(lambda cls, row, buckets: row["x"]))
+    monkeypatch.setattr(lm, "MERGED", 1000)
+    sent = pd.concat(lm._learned(iter([pd.DataFrame({"chunk": [0, 1], "x": [x, y]})]), coder, 16, 5))
+    told = pd.concat([lm._told(part) for _, part in sent.groupby("range")])
+    count, walks = Counter(), []
+    for c in (x, y):
+        classes, members, learned = lm.class_of(c.counts), lm.member_of(c.hashes), np.repeat(~c.held, c.sizes)
+        for k, ctx in enumerate(lm.contexts(c.hashes, c.first)):
+            for _, here, node, bit in lm.paths(coder, classes, members):
+                walks.append((c, k, here, node, bit))
+                count.update(zip(ctx[here][learned[here]].tolist(), node[learned[here]].tolist(), bit[learned[here]].tolist()))
+    assert len(count) > 200_000
+    for chunk, c in enumerate((x, y)):
+        pieces, learned = told[told["chunk"] == chunk].to_dict("records"), np.repeat(~c.held, c.sizes)
+        whole, alone = (lm.Seen.of(c, coder, pieces, 5, without_own=own) for own in (False, True))
+        contexts = lm.contexts(c.hashes, c.first)
+        for _, k, here, node, bit in (w for w in walks if w[0] is c):
+            both = np.array([[count[h, n, b] for b in (0, 1)] for h, n in zip(contexts[k][here].tolist(), node.tolist())])
+            at = whole.place(whole.at[k][here], node)
+            assert (whole.values.ravel()[at] == lm._values(both[:, 0], both[:, 1])).all()
+            own = learned[here]
+            assert (alone.values.ravel()[at][own] == lm._values(both[own, 0] - (1 - bit[own]), both[own, 1] - bit[own])).all()
+
+
+def test_language_model_knows_a_phrase_among_many_contexts(spark):
+    """Known phrases are told from shuffled ones, also beside more contexts than fixed tables would hold."""
+    rng = np.random.default_rng(8)
+    name = lambda ids: " ".join(f"w{i}" for i in ids)
+    phrases = rng.integers(0, 400, (40, 60))
+    rows = [(i, name(p)) for i, p in enumerate(phrases)] + [(100 + i, name(rng.integers(0, 400, 4000))) for i in range(90)]
+    rows += [(1000 + i, name(p)) for i, p in enumerate(phrases)] + [(2000 + i, name(rng.permutation(p))) for i, p in enumerate(phrases)]
+    got = {r.doc_id: r.score for r in lm.score(documents(spark, rows), F.col("doc_id") >= 1000).collect()}
+    assert all(got[1000 + i] > got[2000 + i] + 0.2 * 60 for i in range(len(phrases)))
+
+
 def test_language_model_edges(spark, edges, nothing):
     got = lm.score(edges, F.col("doc_id") == 5).collect()
     assert len(got) == len(EDGES) and sum(r.held_out for r in got) == 1
