@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from brute import likeness, words
@@ -15,7 +16,7 @@ from corpus_data import EDGES, documents, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from curvelens.llm import bpe, fingerprints, licenses, lm, quality, queries, toxicity
+from curvelens.llm import bpe, common, fingerprints, licenses, lm, quality, queries, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -373,6 +374,15 @@ def test_language_model_knows_a_phrase_among_many_contexts(spark):
     assert all(got[1000 + i] > got[2000 + i] + 0.2 * 60 for i in range(len(phrases)))
 
 
+def test_staged_rows_of_many_megabytes_are_read_one_by_one(spark):
+    """Each row is a row group of its own, the least a Parquet reader holds, and the rows stay the same."""
+    rows = spark.range(7).select("id", F.repeat(F.lit("x"), 1000).alias("fat")).coalesce(1)
+    again = common.staged(rows, "fat", together=1)
+    assert sorted(again.collect()) == sorted(rows.collect())
+    sizes = [f for file in again.inputFiles() if (f := pq.ParquetFile(file.removeprefix("file://")).metadata.num_row_groups)]
+    assert sum(sizes) == 7
+
+
 def test_language_model_edges(spark, edges, nothing):
     got = lm.score(edges, F.col("doc_id") == 5).collect()
     assert len(got) == len(EDGES) and sum(r.held_out for r in got) == 1
