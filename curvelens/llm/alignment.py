@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelens.llm.common import ship, staged
+from curvelens.llm.planes import pack, planes, steps, unpack, unplanes, unsteps
 from curvelens.llm.stretches import ByteLevel, Memory, cut, portions, spelled
 
 PIECE_SPACE = "▁"
-#: Stretches a worker remembers in each of two generations; bytes that the piece model gets at a time, and what it gets first.
-REMEMBERED, PORTION, LEAD = 150_000, 1 << 14, "a"
+#: Characters of a portion, which a worker holds as arrays of links, and stretches that a task remembers in each of two generations.
+AT_A_TIME, REMEMBERED = 1 << 20, 60_000
+#: Bytes that the piece model gets at a time, and what it gets first.
+PORTION, LEAD = 1 << 14, "a"
 CHUNK = "chunk long, docs binary, pairs binary, holders binary, bounds binary, at binary, times binary"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
@@ -221,41 +224,50 @@ def digest(groups: str) -> str:
 def _portioned(batches: Iterator[pa.RecordBatch], byte_level: str, piece_model: str, say) -> Iterator[pa.RecordBatch]:
     align, n = _aligner(byte_level, piece_model), TaskContext.get().partitionId() << 32
     gc.disable()  # what is remembered has no cycles, and is large to look through
-    for batch, texts in portions(batches):
-        docs, held = align.documents(texts)
-        counts = np.array([(x, y, z, len(links)) for _, x, y, z, links in held], np.int64).reshape(-1, 4)
-        sums = np.array([counts[d].sum(axis=0) for d in docs], np.int64).reshape(-1, 4)
-        said = [s[0] for s in held]
-        groups = [";".join(map(said.__getitem__, d.tolist())) for d in docs]
-        named = pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(sums[:, k]) for k in range(4)),
-             pa.array(list(map(say, groups)), pa.string())],
-            names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"],
-        )
-        pairs, holders, bounds, at, times = linked_pairs(docs, held)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, named.schema) as out:
-            out.write_batch(named)
-        row = (sink.getvalue().to_pybytes(), pairs, holders.astype(np.int32), bounds, at.astype(np.int32), times.astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n], pa.int64()), *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in row)],
-            names=["chunk", "docs", "pairs", "holders", "bounds", "at", "times"],
-        )
-        n += 1
+    try:
+        for batch, texts in portions(batches, AT_A_TIME):
+            yield _portion(align, n, batch, texts, say)
+            n += 1
+    finally:  # a worker lives on and serves later stages
+        align.memory.clear()
+        gc.enable()
+        gc.collect()
+
+
+def _portion(align: Aligner, n: int, batch: pa.RecordBatch, texts: list[str], say) -> pa.RecordBatch:
+    docs, held = align.documents(texts)
+    counts = np.array([(x, y, z, len(links)) for _, x, y, z, links in held], np.int64).reshape(-1, 4)
+    sums = np.array([counts[d].sum(axis=0) for d in docs], np.int64).reshape(-1, 4)
+    said = [s[0] for s in held]
+    groups = [";".join(map(said.__getitem__, d.tolist())) for d in docs]
+    named = pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), *(pa.array(sums[:, k]) for k in range(4)),
+         pa.array(list(map(say, groups)), pa.string())],
+        names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"],
+    )
+    pairs, holders, bounds, at, times = linked_pairs(docs, held)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, named.schema) as out:
+        out.write_batch(named)
+    row = (pack(sink.getvalue().to_pybytes()), steps(pairs), planes(holders.astype(np.int32)), steps(bounds), steps(at.astype(np.int32)), planes(times.astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([n], pa.int64()), *(pa.array([x], pa.binary()) for x in row)],
+        names=["chunk", "docs", "pairs", "holders", "bounds", "at", "times"],
+    )
 
 
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         for chunk, pairs, holders in zip(part["chunk"], part["pairs"], part["holders"]):
-            pairs = np.frombuffer(pairs, np.int64)
-            yield pd.DataFrame({"chunk": chunk, "i": np.arange(len(pairs)), "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "n": np.frombuffer(holders, np.int32)})
+            pairs = unsteps(pairs, np.int64)
+            yield pd.DataFrame({"chunk": chunk, "i": np.arange(len(pairs)), "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "n": unplanes(holders, np.int32)})
 
 
 def _judged(portion: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     row = portion.iloc[0]
-    with pa.ipc.open_stream(row["docs"]) as stream:
+    with pa.ipc.open_stream(pa.py_buffer(unpack(row["docs"], np.uint8))) as stream:
         out = stream.read_all()
-    bounds, at, times = np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["at"], np.int32), np.frombuffer(row["times"], np.int32).astype(np.int64)
+    bounds, at, times = unsteps(row["bounds"], np.int64), unsteps(row["at"], np.int32), unplanes(row["times"], np.int32).astype(np.int64)
     holders, best = np.zeros((2, len(counts)), np.int64)
     holders[counts["i"]], best[counts["i"]] = counts["holders"], counts["best"]
     sums = [np.append(0, np.cumsum(times * v[at]))[bounds] for v in (best, holders)]

@@ -40,7 +40,11 @@ class Memory:
     """Values by stretch, of two generations so that it stays bounded."""
 
     def __init__(self, remembered: int):
-        self.now, self.old, self.long, self.remembered = {}, {}, [], remembered
+        self.remembered = remembered
+        self.clear()
+
+    def clear(self) -> None:
+        self.now, self.old, self.long = {}, {}, []
 
     def learn(self, stretches: Iterable[str], fresh: Callable[[list[str]], Iterable]) -> dict:
         """Values of some stretches; ``fresh`` makes those that are not known."""
@@ -116,14 +120,15 @@ class ByteLevel:
         return self.ranked.encode_ordinary(text) if self.cuts else self.ids(text).tolist()
 
 
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with the strings of column ``text`` (null: empty), AT_A_TIME characters or one row each."""
+def portions(batches: Iterator[pa.RecordBatch], at_a_time: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with the strings of column ``text`` (null: empty), at least so many characters (AT_A_TIME) or one row each."""
+    enough = at_a_time or AT_A_TIME
     for batch in batches:
         texts, start, held = batch.column("text"), 0, 0
         part: list[str] = []
         for i in range(batch.num_rows):
             part.append(texts[i].as_py() or "")
             held += len(part[-1])
-            if held >= AT_A_TIME or i == batch.num_rows - 1:
+            if held >= enough or i == batch.num_rows - 1:
                 yield batch.slice(start, i + 1 - start), part
                 start, held, part = i + 1, 0, []

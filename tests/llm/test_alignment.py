@@ -1,10 +1,13 @@
 """Alignment of two tokenizers against a plain version on the libraries themselves."""
 
+import gc
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -120,3 +123,19 @@ def test_alignment_edges(spark, edges, nothing, libraries):
     assert alignment.align(nothing, A, B).count() == 0
     big = [(2**60 + 1, "one two"), (2**60 + 2, "one two"), (None, "one two")]
     assert as_counter(alignment.align(documents(spark, big), A, B)) == plain(big, libraries)
+
+
+def test_a_worker_holds_little_and_keeps_nothing(monkeypatch):
+    monkeypatch.setattr(alignment.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    align = alignment._aligner(A, B)
+    rows, held = [], 0
+    for row in alignment._portioned(iter([batch]), A, B, alignment.digest):
+        rows.append(row)
+        held = max(held, len(align.memory.now))
+    assert len(rows) == -(-sum(map(len, texts)) // (1 << 20)) and held > 1000
+    assert sum(r.nbytes for r in rows) < sum(map(len, texts)) // 2  # packed: links alone are several numbers a word
+    assert not align.memory.now and not align.memory.old and gc.isenabled()
