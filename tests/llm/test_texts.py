@@ -114,6 +114,18 @@ def test_weighted_words_count_repetitions(spark):
     assert got == [Counter({"a": 3, "b": 2, "c-a": 1}), Counter(), Counter({"a" * 50: 1, "x": 5000})]
 
 
+def test_words_are_counted_by_hash_alone(spark):
+    """No text is joined, matched and cut again to count its words."""
+    texts = ["b a B  c-a a\ta", "", "a" * 50 + " x" * 5000, "one"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.counted_words(F.col("t")).alias("c")).collect()
+    for t, counted in rows:
+        want = Counter(t.lower().split())
+        hashes = dict(spark.createDataFrame([(w,) for w in want], "w string").select("w", F.xxhash64("w")).collect())
+        assert {r.w: r.n for r in counted} == {hashes[w]: n for w, n in want.items()} and len(counted) == len(want)
+    plan = fingerprints.fingerprint_edits(documents(spark, [(1, "a b a")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
 def test_fingerprints_at_the_edges(spark, edges, nothing):
     rows = fingerprints.fingerprint_edits(edges).collect()
     assert len(rows) == len(EDGES) and fingerprints.fingerprint_edits(nothing).count() == 0
