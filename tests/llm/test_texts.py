@@ -148,6 +148,24 @@ def test_fingerprints_draw_once_for_texts_that_share_a_word(spark, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, fingerprints.fingerprint_edits(texts).collect()))
 
 
+def test_large_values_are_not_drawn(spark):
+    """What is told to be large without logarithms is large, and it is most of the values."""
+    draws = spark.range(4000).select(F.xxhash64("id").alias("w"), F.when(F.col("id") % 4 == 0, 3.0).otherwise(1.0).alias("n"))
+    once, below, likely = F.when(F.col("n") == 1, 1.0).otherwise(0.0), 0.05, F.ln(0.05 / F.lit(1.0))
+    values = draws.select(
+        "n", fingerprints.sample(F.col("w"), F.ln("n"), F.lit(5)).alias("v"),
+        fingerprints.sample(F.col("w"), F.ln("n"), F.lit(5), below * F.col("n"), once).alias("told"), likely.alias("most"),
+    ).collect()
+    assert all(r.told == r.v for r in values if r.v < r.most) and any(r.v < r.most and r.n > 1 for r in values)
+    assert all(r.told in (None, r.v) for r in values) and np.mean([r.told is None for r in values if r.n == 1]) > 0.85
+
+
+def test_a_text_without_a_likely_value_is_no_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "LIKELY", 0.01)
+    with pytest.raises(Exception, match="raise LIKELY"):
+        fingerprints.fingerprint_edits(documents(spark, [(1, "some words of a text"), (2, "and of another")])).collect()
+
+
 def test_successors_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BLOCKS", 7)
     ids = [3 * i for i in range(100)]
