@@ -80,6 +80,33 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == components(rows)
 
 
+def test_shingles_of_many_texts_at_once(monkeypatch):
+    """The same sets one by one and together, equal where the sets of word runs are equal, and no word hashed alone."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "B", "b", "longerword", "éÉ", "x" * 20, "\x0b", "\t\n"], k=rng.randint(0, 30))) for _ in range(300)]
+    texts += [None, "", " ", "one", "a b c d", "a b c d e", "ab c d e f", "a bc d e f", "w" * 9, "w" * 17, "w" * 256, "w" * 257, "w" * 300 + " v u t s"]
+    sets = list(jaccard_join.shingle_sets(texts))
+    assert all((np.diff(s.astype(object)) > 0).all() for s in sets)
+    monkeypatch.setattr(jaccard_join, "HASHED_TOGETHER", 64)
+    assert [s.tolist() for s in jaccard_join.shingle_sets(texts)] == [s.tolist() for s in sets] == [jaccard_join.shingles(t).tolist() for t in texts]
+    want = [shingles(t) for t in texts]
+    name = {frozenset(w): s.tolist() for w, s in zip(want, sets)}
+    assert all(len(w) == len(s) and name[frozenset(w)] == s.tolist() for w, s in zip(want, sets))
+    assert len({tuple(s) for s in name.values()}) == len(name)
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", None)
+    assert len(jaccard_join.shingles("some words that are hashed together")) == 2
+
+
+def test_leaf_folds_its_bitmap():
+    rng = np.random.default_rng(1)
+    for bits in (64, 128, 1024):
+        flags = rng.random(bits) < 0.3
+        node = jaccard_join.leaf(1, int(flags.sum()), np.packbits(flags).tobytes(), 1)
+        half = np.packbits(flags.reshape(-1, 2).any(axis=1)).tobytes()
+        assert node.half == int.from_bytes(half, "big") and node.hidden == 0
+        assert node.hidden_half == flags.sum() - flags.reshape(-1, 2).any(axis=1).sum()
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     sets = []
