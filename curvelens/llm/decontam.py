@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from curvelens.llm.common import body, shingles, small, staged, words
+from curvelens.llm.common import body, each_shingle, shingles, small, staged, words
 
 CONTAINMENT = 0.75
 WIDTH = 5
@@ -55,8 +55,7 @@ def _found(docs: DataFrame, items: DataFrame, share: float, width: int) -> DataF
         sketches(rare_first(sets.withColumn("item_id", F.col("__item")), "__item"), share).groupBy("__shingle")
         .agg(F.collect_set("item_id").alias("__items")), "sketches",
     )
-    rows = docs.select(_row().alias("__row"), shingles(words(body()), width).alias("__shingles"))
-    hits = rows.select("__row", F.explode("__shingles").alias("__shingle")).join(small(marks), "__shingle")
+    hits = each_shingle(docs.withColumn("__row", _row()), "__row", words(body()), width).join(small(marks), "__shingle")
     found = staged(hits.select("__row", F.explode("__items").alias("__item")).distinct(), "leak-candidates")
 
     # Documents that met a sketch are read again; their shingles are compared with whole items.

@@ -9,6 +9,7 @@ evidence is left out of the site means that it meets.
 from __future__ import annotations
 
 import math
+import operator
 import re
 import zlib
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from curvelens.llm.common import ship, small, staged
 FIT_ROWS = 20_000
 BINS, STEPS, RIDGE = 8, 300, 1e-3
 SYMBOLS, MARKS = b"#$%&*+/<=>@\\^_`{|}~", b"!?.,;:"
+LOUD = (b"!!", b"!?", b"?!", b"??")
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 PART = 4096  # bytes that the repetition of words is measured on at a time
 
@@ -37,11 +39,12 @@ def measures(text: str | None) -> list[float]:
     n, count = len(raw), len(words)
     share = lambda chars: (n - len(raw.translate(None, chars))) / n
     lines = raw.count(b"\n") + 1
+    loud = re.findall(rb"[!?]{2,}", raw) if any(two in raw for two in LOUD) else []
     packed = sum(len(zlib.compress(raw[i : i + PART], 1)) for i in range(0, n, PART))
     return [
         math.log1p(n), n / count, share(SYMBOLS), share(MARKS), share(UPPER), share(DIGITS), raw.count(b" | ") / count,
-        len(set(words)) / count, packed / n, count / lines, sum(map(len, re.findall(rb"[!?]{2,}", raw))) / count,
-        sum(a == b for a, b in zip(words, words[1:])) / count,
+        len(set(words)) / count, packed / n, count / lines, sum(map(len, loud)) / count,
+        sum(map(operator.eq, words, words[1:])) / count,
     ]
 
 

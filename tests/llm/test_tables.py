@@ -16,7 +16,7 @@ from corpus_data import EDGES, documents, lines, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curvelens.llm import decontam, fingerprints, jaccard_join, licenses, line_dedup, lm, queries, sharding, sql
+from curvelens.llm import common, decontam, fingerprints, jaccard_join, licenses, line_dedup, lm, queries, sharding, sql
 from curvelens.llm import components as graph
 
 FOLDER = "/root/testdata/sf0.001"
@@ -107,6 +107,14 @@ def test_leaf_folds_its_bitmap():
         assert node.hidden_half == flags.sum() - flags.reshape(-1, 2).any(axis=1).sum()
 
 
+def test_every_shingle_is_a_row(spark):
+    texts = ["", "one", "A b c d", "a b c d e", "É a b c d e a b c d e a b", "x  y\tz Q\nw v", "a b c d e f a b c d e f"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = common.each_shingle(docs, "k", common.words(F.col("t"))).where("__shingle is not null").distinct().collect()
+    lists = docs.select("k", common.shingles(common.words(F.col("t"))).alias("s")).collect()
+    assert sorted(map(tuple, rows)) == sorted((r.k, s) for r in lists for s in r.s)
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     sets = []

@@ -44,6 +44,30 @@ def test_streamed_ids_equal_the_library(pieces, library, monkeypatch, block, lon
         assert bpe.decode(ids, pieces.merges) == text
 
 
+def test_new_pieces_are_merged_together(pieces, library, monkeypatch):
+    """Texts of one block: no piece is merged on its own, and the ids are those of the library."""
+    rng = random.Random(5)
+    text = lambda k: "".join(rng.choice("abcdeéß12 -中\n") for _ in range(40 * k))
+    texts = [text(k) for k in range(30)] + [None, "", "x" * 300 + " y", "a<|endoftext|>b", "q" * 70 + "é" * 40]
+    fresh = bpe.PieceCache(pieces.merges)
+    with monkeypatch.context() as m:
+        m.setattr(bpe.Merges, "merge", None)
+        got = bpe.encode_all(texts[:30], fresh)
+    got += bpe.encode_all(texts[30:], fresh)
+    assert [list(memoryview(g).cast("I")) for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [bpe.decode(g, pieces.merges) for g in got] == [t or "" for t in texts]
+    raw = [bytes(rng.choices(range(256), k=rng.randint(1, 128))) for _ in range(300)] + [b"a", b"aa" * 60]
+    assert bpe.Merges(PATH).merge_all(raw) == [bpe._pack(pieces.merges.merge(r)) for r in raw]
+
+
+def test_latin_texts_are_split_alike():
+    rng = random.Random(6)
+    signs = [chr(c) for c in range(bpe.LATIN)]
+    texts = ["".join(rng.choices(signs, k=200)) for _ in range(100)] + ["".join(rng.choices("ab '\t\n\x85\xa0\x1cst1²-", k=200)) for _ in range(300)]
+    assert all(bpe.split(t) == bpe.LATIN_PIECES.findall(t) == bpe.PIECES.findall(t) for t in texts)
+    assert bpe.split("é 中文") == bpe.PIECES.findall("é 中文")
+
+
 def test_stream_keeps_a_bounded_window(pieces):
     stream, most = bpe.PieceStream(pieces.merges), 0
     out = []
